@@ -189,3 +189,183 @@ SELECT symbol, 'open' AS event, t AS time, session FROM l
 WHERE session_new AND pt IS NOT NULL AND session IS NOT NULL
 UNION ALL SELECT symbol, 'close', pt, ps FROM l
 WHERE session_new AND pt IS NOT NULL AND ps IS NOT NULL"""
+
+
+# ---- features ---------------------------------------------------------------
+
+PERIODS = list(range(5, 165, 5))
+
+
+def ribbon_cte(src: str = "scaled") -> str:
+    """Adds ribbon and ribbon_prev lists to ``src`` (which has rn) as ``fan``."""
+    lines = ", ".join(
+        f"CASE WHEN rn >= {p} THEN avg(close) OVER (PARTITION BY symbol ORDER BY t "
+        f"ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) END" for p in PERIODS)
+    return f""",
+fan0 AS (SELECT *, [{lines}] AS ribbon FROM {src}),
+fan AS (SELECT *, lag(ribbon) OVER (PARTITION BY symbol ORDER BY t) AS ribbon_prev FROM fan0)"""
+
+
+REGIME_CTE = """,
+warm AS (SELECT *, list_count(ribbon) = 32 AND coalesce(list_count(ribbon_prev), 0) = 32
+                   AND range_scale IS NOT NULL AS ok FROM fan),
+readings AS (
+  SELECT * EXCLUDE (ok),
+    CASE WHEN ok THEN list_sum([sign(ribbon[i] - ribbon[i + 1]) FOR i IN range(1, 32)]) / 31.0 END AS ribbon_align,
+    CASE WHEN ok THEN list_sum([sign(ribbon[i] - ribbon_prev[i]) FOR i IN range(1, 33)]) / 32.0 END AS ribbon_agree,
+    CASE WHEN ok THEN (list_max(ribbon) - list_min(ribbon)) / range_scale END AS ribbon_width
+  FROM warm)"""
+
+SQL["range_scale"] = ("WITH " + bars_cte("event_type", 3600) + scale_cte() +
+                      "SELECT symbol, t AS time, range_scale FROM scaled")
+
+SQL["absorption"] = "WITH " + bars_cte() + """
+SELECT symbol, t AS time,
+       CASE WHEN delta IS NULL THEN NULL
+            ELSE (close > open AND delta < 0) OR (close < open AND delta > 0) END AS absorption,
+       CASE WHEN close > open AND delta < 0 THEN 'buy' WHEN close < open AND delta > 0 THEN 'sell' END
+         AS absorption_side
+FROM bars"""
+
+SQL["session_absorption"] = ("WITH " + bars_cte() + gaps_cte("bars") + sessions_cte("gapped") + """
+SELECT coalesce(session, 'halt') AS session, count(*) AS bars,
+       CAST(sum(CAST(gap_before AS INT)) AS BIGINT) AS gaps, CAST(sum(delta) AS BIGINT) AS delta,
+       CAST(sum(CAST((close > open AND delta < 0) OR (close < open AND delta > 0) AS INT)) AS BIGINT)
+         AS absorbed,
+       round(avg(CAST((close > open AND delta < 0) OR (close < open AND delta > 0) AS INT)), 6)
+         AS absorbed_share
+FROM sess GROUP BY 1""")
+
+SQL["ribbon_lines"] = ("WITH " + bars_cte() + scale_cte() + ribbon_cte() + """
+SELECT symbol, t AS time, CAST(p AS INTEGER) * 5 AS period, round(ribbon[p], 6) AS value,
+       round(ribbon_prev[p], 6) AS previous
+FROM fan, range(1, 33) r(p) WHERE ribbon[p] IS NOT NULL""")
+
+SQL["named_averages"] = ("WITH " + bars_cte() + scale_cte() + "SELECT symbol, t AS time, " + ", ".join(
+    f"CASE WHEN rn >= {p} THEN round(avg(close) OVER (PARTITION BY symbol ORDER BY t "
+    f"ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW), 6) END AS ma_{p}" for p in (50, 100, 200))
+    + " FROM scaled")
+
+SQL["regime_readings"] = ("WITH " + bars_cte() + scale_cte() + ribbon_cte() + REGIME_CTE + """
+SELECT symbol, t AS time, round(ribbon_align, 6) AS ribbon_align, round(ribbon_agree, 6) AS ribbon_agree,
+       round(ribbon_width, 6) AS ribbon_width FROM readings WHERE ribbon_width IS NOT NULL""")
+
+SQL["regime_label"] = ("WITH RECURSIVE " + bars_cte() + scale_cte() + ribbon_cte() + REGIME_CTE + """,
+cls AS MATERIALIZED (
+  SELECT symbol, t, row_number() OVER (PARTITION BY symbol ORDER BY t) AS k,
+         CASE WHEN ribbon_width < 2.0 THEN 'transition'
+              WHEN ribbon_width >= 5.0 AND ribbon_align >= 0.6 THEN 'up'
+              WHEN ribbon_width >= 5.0 AND ribbon_align <= -0.6 THEN 'down' ELSE 'chop' END AS c
+  FROM readings WHERE ribbon_width IS NOT NULL),
+walk(symbol, k, t, regime, cand, n, regime_new) AS (
+  SELECT symbol, k, t, c, c, 0, FALSE FROM cls WHERE k = 1
+  UNION ALL
+  SELECT x.symbol, x.k, x.t,
+         CASE WHEN x.c <> w.regime AND (CASE WHEN x.c = w.cand THEN w.n + 1 ELSE 1 END) >= 3
+              THEN x.c ELSE w.regime END,
+         x.c,
+         CASE WHEN x.c = w.regime THEN 0
+              WHEN (CASE WHEN x.c = w.cand THEN w.n + 1 ELSE 1 END) >= 3 THEN 0
+              WHEN x.c = w.cand THEN w.n + 1 ELSE 1 END,
+         x.c <> w.regime AND (CASE WHEN x.c = w.cand THEN w.n + 1 ELSE 1 END) >= 3
+  FROM walk w JOIN cls x ON x.symbol = w.symbol AND x.k = w.k + 1)
+SELECT symbol, t AS time, regime, regime_new FROM walk""")
+
+
+# ---- structure --------------------------------------------------------------
+
+def structure_cte(bars: str) -> str:
+    """Swing and break state machine as a recursion over the bar number; result ``st``.
+
+    ``bars`` is a CTE with symbol, t, rn, high, low, close, range_scale.
+    """
+    return f""",
+mb AS MATERIALIZED (SELECT symbol, t, rn, high, low, close, range_scale FROM {bars}),
+st0 AS (
+  SELECT symbol, 0::BIGINT AS rn, 0::BIGINT AS t, NULL::DOUBLE AS close, NULL::DOUBLE AS scale,
+         NULL::VARCHAR AS side, NULL::DOUBLE AS hi, NULL::BIGINT AS hit, NULL::DOUBLE AS lo,
+         NULL::BIGINT AS lot, NULL::VARCHAR AS swing, NULL::DOUBLE AS sp, NULL::BIGINT AS stime,
+         NULL::DOUBLE AS lh, NULL::BIGINT AS lht, NULL::DOUBLE AS ll, NULL::BIGINT AS llt,
+         NULL::VARCHAR AS bos, NULL::DOUBLE AS bl, NULL::BIGINT AS bt
+  FROM (SELECT DISTINCT symbol FROM mb)),
+st AS (
+  SELECT * FROM st0
+  UNION ALL
+  SELECT symbol, rn, t, close, scale,
+         CASE WHEN scale IS NULL THEN side WHEN side IS NULL THEN 'high'
+              WHEN conf = 'high' THEN 'low' WHEN conf = 'low' THEN 'high' ELSE side END,
+         CASE WHEN scale IS NULL THEN hi WHEN side IS NULL OR ext = 'high' OR conf = 'low' THEN bh ELSE hi END,
+         CASE WHEN scale IS NULL THEN hit WHEN side IS NULL OR ext = 'high' OR conf = 'low' THEN t ELSE hit END,
+         CASE WHEN scale IS NULL THEN lo WHEN side IS NULL OR ext = 'low' OR conf = 'high' THEN bw ELSE lo END,
+         CASE WHEN scale IS NULL THEN lot WHEN side IS NULL OR ext = 'low' OR conf = 'high' THEN t ELSE lot END,
+         conf,
+         CASE conf WHEN 'high' THEN hi WHEN 'low' THEN lo END,
+         CASE conf WHEN 'high' THEN hit WHEN 'low' THEN lot END,
+         CASE WHEN conf = 'high' THEN hi WHEN bk = 'up' THEN NULL ELSE lh END,
+         CASE WHEN conf = 'high' THEN hit WHEN bk = 'up' THEN NULL ELSE lht END,
+         CASE WHEN conf = 'low' THEN lo WHEN bk = 'down' THEN NULL ELSE ll END,
+         CASE WHEN conf = 'low' THEN lot WHEN bk = 'down' THEN NULL ELSE llt END,
+         bk,
+         CASE bk WHEN 'up' THEN lh WHEN 'down' THEN ll END,
+         CASE bk WHEN 'up' THEN lht WHEN 'down' THEN llt END
+  FROM (
+    SELECT m.symbol, m.rn, m.t, m.close, m.range_scale AS scale, m.high AS bh, m.low AS bw,
+           s.side, s.hi, s.hit, s.lo, s.lot, s.lh, s.lht, s.ll, s.llt,
+           CASE WHEN m.range_scale IS NULL THEN NULL
+                WHEN s.side = 'high' AND m.high > s.hi THEN 'high'
+                WHEN s.side = 'low' AND m.low < s.lo THEN 'low' END AS ext,
+           CASE WHEN m.range_scale IS NULL THEN NULL
+                WHEN s.side = 'high' AND m.high <= s.hi AND s.hi - m.low >= 3.0 * m.range_scale THEN 'high'
+                WHEN s.side = 'low' AND m.low >= s.lo AND m.high - s.lo >= 3.0 * m.range_scale THEN 'low' END AS conf,
+           CASE WHEN m.close > s.lh THEN 'up' WHEN m.close < s.ll THEN 'down' END AS bk
+    FROM st s JOIN mb m ON m.symbol = s.symbol AND m.rn = s.rn + 1) x),
+struct AS MATERIALIZED (
+  SELECT symbol, t, rn, swing, sp AS swing_price, stime AS swing_time,
+         CASE WHEN scale IS NOT NULL THEN hi END AS extreme_high,
+         CASE WHEN scale IS NOT NULL THEN hit END AS extreme_high_time,
+         CASE WHEN scale IS NOT NULL THEN lo END AS extreme_low,
+         CASE WHEN scale IS NOT NULL THEN lot END AS extreme_low_time,
+         CASE WHEN scale IS NOT NULL THEN side END AS hunting,
+         CASE WHEN side = 'high' THEN hi - close ELSE close - lo END / scale AS retrace,
+         CASE WHEN scale IS NULL THEN NULL WHEN side = 'high' THEN hi - 3.0 * scale
+              ELSE lo + 3.0 * scale END AS "trigger",
+         bos, bl AS bos_level, bt AS bos_time
+  FROM st WHERE rn > 0)"""
+
+
+STRUCT_TYPE = "WITH RECURSIVE " + bars_cte("event_type", 3600) + scale_cte() + structure_cte("scaled")
+STRUCT_ALL = "WITH RECURSIVE " + bars_cte() + scale_cte() + structure_cte("scaled")
+
+SQL["swings"] = STRUCT_TYPE + """
+SELECT symbol, t AS time, swing, swing_price, swing_time, extreme_high, extreme_high_time, extreme_low,
+       extreme_low_time, hunting, round(retrace, 6) AS retrace, "trigger" FROM struct"""
+
+SQL["breaks"] = STRUCT_TYPE + """
+SELECT symbol, t AS time, bos, bos_level, bos_time FROM struct WHERE bos IS NOT NULL"""
+
+LEGS_CTE = """,
+turns AS (SELECT *, lag(swing_price) OVER w AS fp, lag(swing_time) OVER w AS ft
+          FROM struct WHERE swing IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY t))"""
+
+SQL["legs"] = STRUCT_TYPE + LEGS_CTE + """
+SELECT symbol, t AS time, CASE WHEN swing_price > fp THEN 'up' ELSE 'down' END AS leg,
+       fp AS leg_from_price, ft AS leg_from_time, swing_price AS leg_to_price, swing_time AS leg_to_time
+FROM turns WHERE ft IS NOT NULL"""
+
+EVENTS_CTE = """,
+ev AS (
+  SELECT symbol, t AS seen_at, 'swing' AS layer, swing AS kind, swing_time AS time, swing_price AS price
+  FROM struct WHERE swing IS NOT NULL
+  UNION ALL SELECT symbol, t, 'breaks', bos, t, bos_level FROM struct WHERE bos IS NOT NULL
+  UNION ALL SELECT symbol, t, 'absorption', CASE WHEN close > open THEN 'buy' ELSE 'sell' END, t, close
+  FROM bars WHERE (close > open AND delta < 0) OR (close < open AND delta > 0))"""
+
+SQL["structure_events"] = STRUCT_TYPE + EVENTS_CTE + """
+SELECT symbol, seen_at, layer, kind, time, price FROM ev"""
+
+SQL["latest_per_key"] = STRUCT_TYPE + EVENTS_CTE + """
+SELECT symbol, layer, 'layer' AS rule, kind, seen_at, time, price FROM (
+  SELECT *, rank() OVER (PARTITION BY symbol, layer ORDER BY seen_at DESC) AS r FROM ev) WHERE r = 1
+UNION ALL
+SELECT symbol, layer, 'id' AS rule, kind, seen_at, time, price FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, layer, kind ORDER BY seen_at DESC) AS r FROM ev) WHERE r = 1"""

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tickframe import config
 from tickframe.operators import bars as B
+from tickframe.operators import features as X
 from tickframe.operators import prepare as P
 from tickframe.operators import sessions as S
-from tickframe.operators.series import secs, settle
+from tickframe.operators import structure as ST
+from tickframe.operators.series import number_rows, secs, settle
 from tickframe.plans import market as M
 from tickframe.schemas import FLOW, OHLC
 
@@ -133,5 +135,110 @@ def session_boundaries(spark, sf):
     return S.boundaries(settle(S.label(M.bars(spark, sf))))
 
 
+
+# ---- features ---------------------------------------------------------------
+
+def _time():
+    return secs("ts").alias("time")
+
+
+def _rounded(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def _scaled(base: DataFrame, step: int) -> DataFrame:
+    """Numbered bars with the volatility scale, as a table."""
+    return settle(X.range_scale(number_rows(base, ["symbol"]), step, window=M.TEST_WINDOW))
+
+
+@query
+def range_scale(spark, sf):
+    return _scaled(M.bars(spark, sf, "event_type", 3600), 3600).select("symbol", _time(), "range_scale")
+
+
+@query
+def absorption(spark, sf):
+    return X.absorption(M.bars(spark, sf)).select("symbol", _time(), "absorption", "absorption_side")
+
+
+@query
 def session_absorption(spark, sf):
-    return session_labels(spark, sf)
+    """Signed-flow bars with gap flags and sessions: which session absorbs the most."""
+    marked = P.mark_gaps(M.bars(spark, sf), M.STEP)
+    rows = X.absorption(marked.withColumn("session", S.session_name("ts")))
+    hit = F.col("absorption").cast("long")
+    return rows.groupBy(F.coalesce("session", F.lit("halt")).alias("session")).agg(
+        F.count(F.lit(1)).alias("bars"), F.sum(F.col("gap_before").cast("long")).alias("gaps"),
+        F.sum("delta").alias("delta"), F.sum(hit).alias("absorbed"),
+        F.round(F.avg(hit), 6).alias("absorbed_share"))
+
+
+@query
+def ribbon_lines(spark, sf):
+    fan = X.ribbon(number_rows(M.bars(spark, sf), ["symbol"]))
+    lines = F.transform("ribbon", lambda v, i: F.struct(
+        F.get(F.array(*[F.lit(p) for p in config.RIBBON_PERIODS]), i).alias("period"),
+        F.round(v, 6).alias("value"), F.round(F.get("ribbon_prev", i), 6).alias("previous")))
+    return (fan.select("symbol", _time(), F.explode(lines).alias("l"))
+            .select("symbol", "time", "l.*").where("value is not null"))
+
+
+@query
+def named_averages(spark, sf):
+    lines = X.named_averages(number_rows(M.bars(spark, sf), ["symbol"]))
+    return lines.select("symbol", _time(), *[
+        F.round(F.get("ma", F.lit(i)), 6).alias(f"ma_{p}") for i, p in enumerate(config.NAMED_AVERAGES)])
+
+
+def _regime(spark, sf) -> DataFrame:
+    return X.regime_readings(X.ribbon(_scaled(M.bars(spark, sf), M.STEP)))
+
+
+@query
+def regime_readings(spark, sf):
+    return _regime(spark, sf).where("ribbon_width is not null").select(
+        "symbol", _time(), *_rounded("ribbon_align", "ribbon_agree", "ribbon_width"))
+
+
+@query
+def regime_label(spark, sf):
+    rows = settle(_regime(spark, sf).select("symbol", "ts", "ribbon_align", "ribbon_width"))
+    return X.regime_label(rows).select("symbol", _time(), "regime", "regime_new")
+
+
+# ---- structure --------------------------------------------------------------
+
+def _structure(spark, sf, by="event_type", step=3600) -> DataFrame:
+    return ST.structure(_scaled(M.bars(spark, sf, by, step), step))
+
+
+@query
+def swings(spark, sf):
+    return _structure(spark, sf).select(
+        "symbol", _time(), "swing", "swing_price", "swing_time", "extreme_high", "extreme_high_time",
+        "extreme_low", "extreme_low_time", "hunting", F.round("retrace", 6).alias("retrace"), "trigger")
+
+
+@query
+def breaks(spark, sf):
+    return _structure(spark, sf).where("bos is not null").select(
+        "symbol", _time(), "bos", "bos_level", "bos_time")
+
+
+@query
+def legs(spark, sf):
+    return ST.legs(settle(_structure(spark, sf))).select(
+        "symbol", _time(), "leg", "leg_from_price", "leg_from_time", "leg_to_price", "leg_to_time")
+
+
+@query
+def structure_events(spark, sf):
+    return ST.structure_events(X.absorption(_structure(spark, sf)))
+
+
+@query
+def latest_per_key(spark, sf):
+    events = settle(ST.structure_events(X.absorption(_structure(spark, sf))))
+    by_layer = ST.newest_per_layer(events).withColumn("rule", F.lit("layer"))
+    by_id = ST.newest_per_id(events, ["symbol", "layer", "kind"]).withColumn("rule", F.lit("id"))
+    return by_layer.unionByName(by_id)
