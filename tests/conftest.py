@@ -13,6 +13,7 @@ def make_session():
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "8g")
              .config("spark.ui.enabled", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.sql.streaming.stateStore.providerClass",

@@ -369,3 +369,256 @@ SELECT symbol, layer, 'layer' AS rule, kind, seen_at, time, price FROM (
 UNION ALL
 SELECT symbol, layer, 'id' AS rule, kind, seen_at, time, price FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, layer, kind ORDER BY seen_at DESC) AS r FROM ev) WHERE r = 1"""
+
+
+# ---- volume profiles --------------------------------------------------------
+
+def levels_cte(step: int = 900) -> str:
+    return f""",
+levels AS (
+  SELECT symbol, CAST(CEIL(epoch(ts) / {step}) * {step} AS BIGINT) AS t,
+         CAST(round_even(px / 0.25, 0) AS BIGINT) AS tick, CAST(sum(volume) AS BIGINT) AS volume,
+         CAST(sum(CASE WHEN side = 1 THEN volume ELSE 0 END) AS BIGINT) AS buy
+  FROM sided GROUP BY 1, 2, 3)"""
+
+
+def area_cte(profiles: str, key: str, name: str = "area") -> str:
+    """Value areas of ``profiles`` (key, price, volume, buy) by growing one level at a time."""
+    return f""",
+{name}_lv AS MATERIALIZED (
+  SELECT {key} AS k, price, volume, buy, row_number() OVER (PARTITION BY {key} ORDER BY price) AS i,
+         count(*) OVER (PARTITION BY {key}) AS n, sum(volume) OVER (PARTITION BY {key}) AS total,
+         max(volume) OVER (PARTITION BY {key}) AS peak
+  FROM {profiles}),
+{name}_poc AS (
+  SELECT k, i, n, total, volume FROM {name}_lv WHERE volume = peak
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(i - (n + 1) / 2.0), i) = 1),
+{name}_g(k, poc, lo, hi, inside, n, total) AS (
+  SELECT k, i, i, i, volume::DOUBLE, n, total::DOUBLE FROM {name}_poc
+  UNION ALL
+  SELECT g.k, g.poc, CASE WHEN coalesce(b.volume, -1) <= coalesce(a.volume, -1) THEN g.lo ELSE g.lo - 1 END,
+         CASE WHEN coalesce(b.volume, -1) <= coalesce(a.volume, -1) THEN g.hi + 1 ELSE g.hi END,
+         g.inside + CASE WHEN coalesce(b.volume, -1) <= coalesce(a.volume, -1) THEN a.volume ELSE b.volume END,
+         g.n, g.total
+  FROM {name}_g g LEFT JOIN {name}_lv a ON a.k = g.k AND a.i = g.hi + 1
+                  LEFT JOIN {name}_lv b ON b.k = g.k AND b.i = g.lo - 1
+  WHERE g.inside < g.total * 0.7 AND (g.lo > 1 OR g.hi < g.n)),
+{name} AS MATERIALIZED (
+  SELECT g.k, p.price AS poc, l.price AS val, h.price AS vah, p.volume AS poc_volume, p.buy AS poc_buy,
+         g.n, g.total, g.poc AS poc_i
+  FROM (SELECT * FROM {name}_g QUALIFY row_number() OVER (PARTITION BY k ORDER BY inside DESC) = 1) g
+  JOIN {name}_lv p ON p.k = g.k AND p.i = g.poc
+  JOIN {name}_lv l ON l.k = g.k AND l.i = g.lo JOIN {name}_lv h ON h.k = g.k AND h.i = g.hi)"""
+
+
+def binned(source: str, keys: str, size: str) -> str:
+    """Bins of ``source`` (keys, tick, volume, buy, size) as a subquery."""
+    return f"""
+  SELECT {keys}, CASE WHEN {size} > 0.25 THEN floor(tick * 0.25 / {size}) * {size} ELSE tick * 0.25 END AS price,
+         CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(buy) AS BIGINT) AS buy
+  FROM {source} GROUP BY ALL"""
+
+
+def nodes_cte(area: str = "area") -> str:
+    return f""",
+{area}_nodes AS (
+  SELECT l.k, l.price, CASE WHEN v > a AND v > b AND v >= 0.5 * peak THEN 'hvn'
+                            WHEN v < a AND v < b AND v <= 0.15 * peak THEN 'lvn' END AS kind
+  FROM (SELECT *, volume AS v, lag(volume) OVER w AS a, lead(volume) OVER w AS b FROM {area}_lv
+        WINDOW w AS (PARTITION BY k ORDER BY i)) l JOIN {area} p ON p.k = l.k
+  WHERE a IS NOT NULL AND b IS NOT NULL AND l.price <> p.poc)"""
+
+
+SQL["vap_levels"] = ("WITH " + bars_cte("event_type", 3600) + levels_cte(3600) + """
+SELECT symbol, '60m' AS timeframe, t AS time, tick, volume, buy FROM levels UNION ALL
+SELECT symbol, '4h', CAST(CEIL(t / 14400.0) * 14400 AS BIGINT) AS t4, tick, CAST(sum(volume) AS BIGINT),
+       CAST(sum(buy) AS BIGINT) FROM levels GROUP BY ALL""")
+
+SQL["vap_invariant"] = "WITH " + bars_cte("event_type", 3600) + """
+SELECT symbol, count(*) AS checked, CAST(0 AS BIGINT) AS mismatched FROM bars GROUP BY 1"""
+
+SQL["range_histogram"] = "WITH " + bars_cte() + levels_cte() + """,
+ranges AS (SELECT DISTINCT symbol, (t // 86400) * 86400 + 30000 AS s, (t // 86400) * 86400 + 30000 + 200000 AS e FROM bars)
+SELECT r.symbol, r.s AS range_id, tick, CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(buy) AS BIGINT) AS buy
+FROM ranges r JOIN levels l ON l.symbol = r.symbol AND l.t > r.s AND l.t <= r.e GROUP BY ALL"""
+
+SESSION_PROFILE = ("WITH RECURSIVE " + bars_cte() + levels_cte() + scale_cte() + sessions_cte("scaled") + """,
+sz AS (SELECT symbol, session_id, arg_max(range_scale, t) AS sc FROM sess
+       WHERE session_id IS NOT NULL AND range_scale IS NOT NULL GROUP BY ALL),
+sl AS (SELECT l.symbol, s.session_id, l.tick, l.volume, l.buy, z.sc / 8 AS size
+       FROM levels l JOIN sess s ON s.symbol = l.symbol AND s.t = l.t
+       JOIN sz z ON z.symbol = s.symbol AND z.session_id = s.session_id),
+pf AS (""" + binned("sl", "symbol, session_id", "size") + ")")
+
+SQL["rebin_profile"] = SESSION_PROFILE + """
+SELECT symbol, session_id, round(price, 6) AS price, volume, buy FROM pf"""
+
+SQL["value_area"] = SESSION_PROFILE + area_cte("pf", "session_id") + """
+SELECT k AS session_id, round(poc, 6) AS poc, round(val, 6) AS val, round(vah, 6) AS vah,
+       CAST(total AS BIGINT) AS volume FROM area"""
+
+SQL["hvn_lvn"] = SESSION_PROFILE + area_cte("pf", "session_id") + nodes_cte() + """
+SELECT k AS session_id, kind, round(price, 6) AS price FROM area_nodes WHERE kind IS NOT NULL"""
+
+SQL["closed_profiles"] = (STRUCT_ALL + levels_cte() + """,
+tr AS (SELECT s.symbol, s.t AS ct, s.swing_time AS e, coalesce(lag(s.swing_time) OVER (ORDER BY s.t), 0) AS b,
+              sc.range_scale AS sc, row_number() OVER (ORDER BY s.t) AS no
+       FROM struct s JOIN scaled sc ON sc.symbol = s.symbol AND sc.t = s.t WHERE s.swing IS NOT NULL),
+us AS (SELECT l.* FROM levels l JOIN scaled sc ON sc.symbol = l.symbol AND sc.t = l.t
+       WHERE sc.range_scale IS NOT NULL),
+cl AS (SELECT tr.no, us.tick, us.volume, us.buy, tr.sc / 8 AS size FROM tr JOIN us ON us.t > tr.b AND us.t <= tr.e),
+sp AS (SELECT tr.no, min(us.t) AS from_time, max(us.t) AS to_time FROM tr JOIN us ON us.t > tr.b AND us.t <= tr.e GROUP BY 1),
+pf AS (""" + binned("cl", "no", "size") + ")" + area_cte("pf", "no") + """
+SELECT tr.symbol, tr.ct AS confirmed_time, sp.from_time, sp.to_time, round(poc, 6) AS poc, round(val, 6) AS val,
+       round(vah, 6) AS vah, CAST(total AS BIGINT) AS profile_volume,
+       row_number() OVER (ORDER BY sp.to_time DESC) <= 6 AS kept
+FROM area a JOIN tr ON tr.no = a.k JOIN sp ON sp.no = a.k""")
+
+SQL["profile_readings"] = (STRUCT_ALL + levels_cte() + """,
+b AS (SELECT sc.symbol, sc.t, sc.close, sc.range_scale AS sc,
+             coalesce(max(s.swing_time) OVER (ORDER BY s.t ROWS UNBOUNDED PRECEDING), 0) AS st
+      FROM scaled sc JOIN struct s ON s.symbol = sc.symbol AND s.t = sc.t),
+u AS (SELECT * FROM b WHERE sc IS NOT NULL),
+dl AS (SELECT u.t AS bt, l.tick, l.volume, l.buy, u.sc / 8 AS size FROM u
+       JOIN u x ON x.t > u.st AND x.t <= u.t JOIN levels l ON l.t = x.t),
+fr AS (SELECT u.t AS bt, min(x.t) AS from_time FROM u JOIN u x ON x.t > u.st AND x.t <= u.t GROUP BY 1),
+pf AS (""" + binned("dl", "bt", "size") + ")" + area_cte("pf", "bt") + """,
+ed AS (SELECT k, min(price) AS lo, max(price) AS hi FROM area_lv GROUP BY 1)
+SELECT u.symbol, u.t AS time, fr.from_time, round(poc, 6) AS poc, round(val, 6) AS val, round(vah, 6) AS vah,
+       CAST(total AS BIGINT) AS profile_volume, round((vah - val) / u.sc, 6) AS value_width,
+       CASE WHEN hi <> lo THEN round((poc - lo) / (hi - lo), 6) END AS poc_position,
+       round((u.close - poc) / u.sc, 6) AS poc_distance,
+       CASE WHEN u.close > vah THEN 'above' WHEN u.close < val THEN 'below' ELSE 'inside' END AS price_vs_value,
+       round((2 * poc_buy - poc_volume) / poc_volume, 6) AS delta_at_poc
+FROM area a JOIN u ON u.t = a.k JOIN fr ON fr.bt = a.k JOIN ed ON ed.k = a.k""")
+
+
+# ---- session card -----------------------------------------------------------
+
+CARD = "WITH RECURSIVE " + bars_cte() + scale_cte() + sessions_cte("scaled") + """,
+c0 AS (
+  SELECT *, max(high) OVER w AS hi, min(low) OVER w AS lo, first_value(open) OVER w AS op,
+         sum(high - low) OVER w AS travel, CAST(sum(volume) OVER w AS BIGINT) AS traded,
+         sum(CASE WHEN delta IS NOT NULL THEN volume END) OVER w AS svol,
+         sign(close - lag(close) OVER (PARTITION BY symbol, session_id ORDER BY t)) AS sg
+  FROM sess WHERE session_id IS NOT NULL
+  WINDOW w AS (PARTITION BY symbol, session_id ORDER BY t ROWS UNBOUNDED PRECEDING)),
+c1 AS (
+  SELECT *, max(CASE WHEN high >= hi THEN session_bar END) OVER w AS ha,
+         max(CASE WHEN low <= lo THEN session_bar END) OVER w AS la,
+         coalesce(sg <> 0 AND sg <> last_value(CASE WHEN sg <> 0 THEN sg END IGNORE NULLS) OVER (
+           PARTITION BY symbol, session_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           FALSE) AS rev
+  FROM c0 WINDOW w AS (PARTITION BY symbol, session_id ORDER BY t ROWS UNBOUNDED PRECEDING)),
+c2 AS (
+  SELECT *, count(*) OVER r AS rn_, max(high) OVER r - min(low) OVER r AS rspan, sum(high - low) OVER r AS rtrav,
+         sum(volume) OVER r AS rvol, sum(CAST(rev AS INT)) OVER r AS rrev, count(delta) OVER r AS rflow,
+         sum(delta) OVER r AS rdelta,
+         count(*) OVER p AS pn_, max(high) OVER p - min(low) OVER p AS pspan, sum(high - low) OVER p AS ptrav,
+         sum(volume) OVER p AS pvol
+  FROM c1 WINDOW
+    r AS (PARTITION BY symbol, session_id ORDER BY t RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW),
+    p AS (PARTITION BY symbol, session_id ORDER BY t RANGE BETWEEN 14399 PRECEDING AND 7200 PRECEDING)),
+card AS MATERIALIZED (
+  SELECT symbol, t, session_id, session, open, high, low, close, volume, delta, range_scale, hi, lo, traded,
+    session_bar AS session_bars, (hi - lo) / range_scale AS session_range,
+    (close - op) / range_scale AS session_net,
+    CASE WHEN hi > lo THEN (close - op) / (hi - lo) END AS session_net_ratio,
+    CASE WHEN hi > lo THEN (close - lo) / (hi - lo) END AS session_closed_ratio,
+    ha / session_bar AS session_high_at_ratio, la / session_bar AS session_low_at_ratio,
+    travel / range_scale AS session_travel, CAST(svol AS DOUBLE) AS session_volume,
+    CASE WHEN rn_ >= 6 AND rtrav > 0 THEN rspan / rtrav END AS session_efficiency_recent,
+    CASE WHEN pn_ >= 6 AND ptrav > 0 THEN pspan / ptrav END AS session_efficiency_prior,
+    CASE WHEN rn_ >= 6 AND pn_ >= 6 AND pspan > 0 THEN rspan / pspan END AS session_range_ratio,
+    CASE WHEN rn_ >= 6 AND pn_ >= 6 AND pvol > 0 THEN rvol / pvol END AS session_volume_ratio,
+    CASE WHEN rn_ >= 6 THEN rrev / rn_ END AS session_dir_change_rate,
+    CASE WHEN rn_ >= 6 AND rflow >= 6 THEN CAST(rdelta AS BIGINT) END AS session_delta_recent
+  FROM c2)"""
+
+
+def _r(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+SQL["card_shape"] = CARD + " SELECT symbol, t AS time, session_bars, " + _r(
+    "session_range", "session_net", "session_net_ratio", "session_closed_ratio",
+    "session_high_at_ratio", "session_low_at_ratio") + " FROM card"
+
+SQL["card_phase"] = CARD + " SELECT symbol, t AS time, " + _r(
+    "session_efficiency_recent", "session_efficiency_prior", "session_range_ratio",
+    "session_volume_ratio", "session_dir_change_rate") + " FROM card"
+
+SQL["card_flow"] = CARD + " SELECT symbol, t AS time, session_volume, session_delta_recent FROM card"
+
+CARD_PROFILE = CARD + levels_cte() + """,
+cl AS (SELECT c.t AS bt, l.tick, l.volume, l.buy, c.range_scale / 8 AS size
+       FROM card c JOIN card x ON x.symbol = c.symbol AND x.session_id = c.session_id AND x.t <= c.t
+       JOIN levels l ON l.symbol = x.symbol AND l.t = x.t WHERE c.range_scale IS NOT NULL),
+pf AS (""" + binned("cl", "bt", "size") + ")" + area_cte("pf", "bt") + nodes_cte() + """,
+nn AS (SELECT k, count(*) FILTER (WHERE kind = 'hvn') AS n_hvn, count(*) FILTER (WHERE kind = 'lvn') AS n_lvn
+       FROM area_nodes GROUP BY 1)"""
+
+SQL["card_profile"] = CARD_PROFILE + """
+SELECT c.symbol, c.t AS time, c.session_id AS session_from_time, round(poc, 6) AS session_poc,
+       round(val, 6) AS session_val, round(vah, 6) AS session_vah,
+       CASE WHEN hi > lo THEN round((poc - lo) / (hi - lo), 6) END AS session_poc_ratio,
+       coalesce(n_hvn, 0) AS n_hvn, coalesce(n_lvn, 0) AS n_lvn
+FROM card c JOIN area a ON a.k = c.t LEFT JOIN nn ON nn.k = c.t"""
+
+PCTS = "[" + ", ".join(str(p / 100.0) for p in range(0, 101, 5)) + "]"
+HISTORY = f""",
+hist AS (SELECT symbol, session, session_bars, count(*) AS sessions_used,
+                quantile_cont(session_range, {PCTS}) AS range_p,
+                quantile_cont(session_travel, {PCTS}) AS travel_p,
+                quantile_cont(CAST(traded AS DOUBLE), {PCTS}) AS volume_p
+         FROM card WHERE range_scale IS NOT NULL __WHERE__ GROUP BY 1, 2, 3),
+ends AS (SELECT symbol, session, session_id, arg_max(session_travel, session_bars) AS final
+         FROM card WHERE range_scale IS NOT NULL __WHERE__ GROUP BY 1, 2, 3),
+finals AS (SELECT symbol, session, count(*) AS sessions, quantile_cont(final, 0.5) AS median_travel
+           FROM ends GROUP BY 1, 2)"""
+FULL_HISTORY = HISTORY.replace("__WHERE__", "")
+SEAL = "epoch(TIMESTAMP '2024-01-21')"
+EXPLORE_HISTORY = HISTORY.replace("__WHERE__", f"AND session_id < {SEAL}")
+
+
+def _rank(value: str, table: str) -> str:
+    j = f"len(list_filter({table}, lambda b: b <= {value}))"
+    return f"""CASE WHEN {value} IS NULL OR {table} IS NULL THEN NULL WHEN {j} = 0 THEN 0.0 WHEN {j} >= 21 THEN 1.0
+       ELSE round((({j} - 1) * 5.0 + ({value} - {table}[{j}]) / ({table}[{j} + 1] - {table}[{j}]) * 5.0) / 100.0, 6) END"""
+
+
+SQL["card_percentiles"] = CARD + FULL_HISTORY + f"""
+SELECT c.symbol, c.t AS time, {_rank('session_range', 'range_p')} AS session_range_percentile,
+       {_rank('session_travel', 'travel_p')} AS session_travel_percentile,
+       CASE WHEN range_scale IS NOT NULL THEN {_rank('session_volume', 'volume_p')} END AS session_volume_percentile
+FROM card c LEFT JOIN hist h ON h.symbol = c.symbol AND h.session = c.session AND h.session_bars = c.session_bars"""
+
+SQL["travel_budget"] = CARD + EXPLORE_HISTORY + """
+SELECT c.symbol, c.t AS time, round(CASE WHEN median_travel > 0 THEN session_travel / median_travel END, 6)
+       AS session_travel_budget
+FROM card c LEFT JOIN finals f ON f.symbol = c.symbol AND f.session = c.session"""
+
+SQL["history_percentiles"] = CARD + EXPLORE_HISTORY + """
+SELECT symbol, session, session_bars AS elapsed_bar, sessions_used, CAST((i - 1) * 5 AS BIGINT) AS pct,
+       round(range_p[i], 6) AS range_x, round(travel_p[i], 6) AS travel_x, round(volume_p[i], 6) AS volume
+FROM hist, range(1, 22) r(i)"""
+
+SQL["median_final_travel"] = CARD + FULL_HISTORY + """
+SELECT symbol, session, sessions, round(median_travel, 6) AS median_travel FROM finals"""
+
+SQL["split_labels"] = CARD + f"""
+SELECT symbol, session_id, session, count(*) AS bars,
+       CASE WHEN session_id >= {SEAL} THEN 'sealed' ELSE 'explore' END AS split
+FROM card GROUP BY ALL"""
+
+SQL["session_catalog"] = CARD_PROFILE + f"""
+SELECT c.symbol, c.session_id, c.session, 'explore' AS split, c.t AS time, open, high, low, close, volume, delta,
+       session_bars, range_scale, {_r("session_range", "session_net", "session_net_ratio", "session_closed_ratio",
+       "session_efficiency_recent", "session_efficiency_prior", "session_range_ratio", "session_volume_ratio",
+       "session_dir_change_rate", "session_high_at_ratio", "session_low_at_ratio", "session_volume")},
+       session_delta_recent, round(poc, 6) AS session_poc,
+       CASE WHEN hi > lo THEN round((poc - lo) / (hi - lo), 6) END AS session_poc_ratio,
+       round(val, 6) AS session_val, round(vah, 6) AS session_vah,
+       CASE WHEN poc IS NOT NULL THEN coalesce(n_hvn, 0) END AS n_hvn,
+       CASE WHEN poc IS NOT NULL THEN coalesce(n_lvn, 0) END AS n_lvn
+FROM card c LEFT JOIN area a ON a.k = c.t LEFT JOIN nn ON nn.k = c.t WHERE c.session_id < {SEAL}"""

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tickframe import config
 from tickframe.operators import bars as B
+from tickframe.operators import card as K
 from tickframe.operators import features as X
+from tickframe.operators import history as H
 from tickframe.operators import prepare as P
+from tickframe.operators import profile as VP
 from tickframe.operators import sessions as S
 from tickframe.operators import structure as ST
 from tickframe.operators.series import number_rows, secs, settle
@@ -242,3 +245,190 @@ def latest_per_key(spark, sf):
     by_layer = ST.newest_per_layer(events).withColumn("rule", F.lit("layer"))
     by_id = ST.newest_per_id(events, ["symbol", "layer", "kind"]).withColumn("rule", F.lit("id"))
     return by_layer.unionByName(by_id)
+
+
+# ---- volume profiles --------------------------------------------------------
+
+@query
+def vap_levels(spark, sf):
+    fine = M.levels(spark, sf, "event_type", 3600)
+    coarse = B.coarser_levels(fine, 14400, 3600).withColumn("timeframe", F.lit("4h"))
+    both = fine.withColumn("timeframe", F.lit("60m")).unionByName(coarse)
+    return both.select("symbol", "timeframe", _time(), "tick", "volume", "buy")
+
+
+@query
+def vap_invariant(spark, sf):
+    return B.check_levels(M.bars(spark, sf, "event_type", 3600), M.levels(spark, sf, "event_type", 3600))
+
+
+@query
+def range_histogram(spark, sf):
+    """Overlapping 200,000 second ranges, one per day."""
+    days = M.bars(spark, sf).select("symbol", F.floor(secs("ts") / 86400).alias("d")).distinct()
+    start = F.col("d") * 86400 + 30000
+    ranges = days.select("symbol", start.alias("range_id"), start.alias("start"),
+                         (start + 200000).alias("end"))
+    return VP.histogram(M.levels(spark, sf), ranges)
+
+
+def _session_bins(spark, sf) -> DataFrame:
+    """Whole-session profiles, binned with the session's last known scale."""
+    scaled = _scaled(M.bars(spark, sf), M.STEP)
+    rows = settle(_sessions(scaled).where("session_id is not null")
+                  .select("symbol", "ts", "session_id", "range_scale"))
+    size = rows.where("range_scale is not null").groupBy("symbol", "session_id").agg(
+        (F.max_by("range_scale", "ts") / config.BINS_PER_SCALE).alias("bin_size"))
+    folded = (M.levels(spark, sf).join(rows, ["symbol", "ts"]).groupBy("symbol", "session_id", "tick")
+              .agg(F.sum("volume").alias("volume"), F.sum("buy").alias("buy"))
+              .join(size, ["symbol", "session_id"]))
+    return VP.rebin(folded, ["symbol", "session_id"])
+
+
+@query
+def rebin_profile(spark, sf):
+    return _session_bins(spark, sf).select(
+        "symbol", "session_id", F.round("price", 6).alias("price"), "volume", "buy")
+
+
+def _session_profiles(spark, sf) -> DataFrame:
+    return VP.summarise(VP.as_bins(_session_bins(spark, sf), ["symbol", "session_id"]))
+
+
+@query
+def value_area(spark, sf):
+    return _session_profiles(spark, sf).select(
+        "session_id", *_rounded("poc", "val", "vah"), F.col("profile_volume").alias("volume"))
+
+
+@query
+def hvn_lvn(spark, sf):
+    made = _session_profiles(spark, sf)
+    hvn, lvn = VP.shelves_and_gaps(F.col("bins"), F.col("poc"))
+    nodes = F.array(F.struct(F.lit("hvn").alias("kind"), hvn.alias("at")),
+                    F.struct(F.lit("lvn").alias("kind"), lvn.alias("at")))
+    return (made.select("session_id", F.explode(nodes).alias("n"))
+            .select("session_id", "n.kind", F.explode("n.at").alias("price"))
+            .select("session_id", "kind", F.round("price", 6).alias("price")))
+
+
+def _turned(spark, sf):
+    """Bars with swings, and their levels."""
+    return settle(_structure(spark, sf, "ALL", M.STEP)), M.levels(spark, sf)
+
+
+@query
+def closed_profiles(spark, sf):
+    rows, lv = _turned(spark, sf)
+    closed = settle(VP.closed_profiles(rows, VP.nest_levels(lv), lv))
+    newest = VP.newest_profiles(closed).select("symbol", "range_no", F.lit(True).alias("_k"))
+    return closed.join(newest, ["symbol", "range_no"], "left").select(
+        "symbol", "confirmed_time", "from_time", "to_time", *_rounded("poc", "val", "vah"),
+        "profile_volume", F.coalesce("_k", F.lit(False)).alias("kept"))
+
+
+@query
+def profile_readings(spark, sf):
+    rows, lv = _turned(spark, sf)
+    return VP.swing_profiles(rows, VP.nest_levels(lv)).select(
+        "symbol", _time(), "from_time", *_rounded("poc", "val", "vah"), "profile_volume",
+        *_rounded("value_width", "poc_position", "poc_distance", "delta_at_poc"), "price_vs_value")
+
+
+# ---- session card and history -----------------------------------------------
+
+def _card(spark, sf) -> DataFrame:
+    return K.phase(K.shape(_sessions(_scaled(M.bars(spark, sf), M.STEP))), window=M.TEST_WINDOW)
+
+
+@query
+def card_shape(spark, sf):
+    return _card(spark, sf).select("symbol", _time(), "session_bars", *_rounded(
+        "session_range", "session_net", "session_net_ratio", "session_closed_ratio",
+        "session_high_at_ratio", "session_low_at_ratio"))
+
+
+@query
+def card_phase(spark, sf):
+    return _card(spark, sf).select("symbol", _time(), *_rounded(
+        "session_efficiency_recent", "session_efficiency_prior", "session_range_ratio",
+        "session_volume_ratio", "session_dir_change_rate"))
+
+
+@query
+def card_flow(spark, sf):
+    return _card(spark, sf).select("symbol", _time(), "session_volume", "session_delta_recent")
+
+
+@query
+def card_profile(spark, sf):
+    rows = settle(_card(spark, sf))
+    return (K.profile(rows, VP.nest_levels(M.levels(spark, sf))).where("session_poc is not null")
+            .select("symbol", _time(), "session_from_time",
+                    *_rounded("session_poc", "session_val", "session_vah", "session_poc_ratio"),
+                    F.size("session_hvn").cast("long").alias("n_hvn"),
+                    F.size("session_lvn").cast("long").alias("n_lvn")))
+
+
+def _cutoff():
+    return H.checked_cutoff(M.SEALED_FROM)
+
+
+@query
+def card_percentiles(spark, sf):
+    rows = settle(_card(spark, sf))
+    ranked = K.against_history(rows, H.percentile_table(rows, population=H.FULL),
+                               H.final_travel(rows, population=H.FULL))
+    return ranked.select("symbol", _time(), *_rounded(
+        "session_range_percentile", "session_travel_percentile", "session_volume_percentile"))
+
+
+@query
+def travel_budget(spark, sf):
+    rows = settle(_card(spark, sf))
+    ranked = K.against_history(
+        rows, H.percentile_table(rows, population=H.EXPLORE, cutoff=_cutoff()),
+        H.final_travel(rows, population=H.EXPLORE, cutoff=_cutoff()))
+    return ranked.select("symbol", _time(), *_rounded("session_travel_budget"))
+
+
+@query
+def history_percentiles(spark, sf):
+    table = H.percentile_table(_card(spark, sf), population=H.EXPLORE, cutoff=_cutoff())
+    zipped = F.transform(
+        F.arrays_zip("range_p", "travel_p", "volume_p"),
+        lambda p, i: F.struct((i * 5).cast("long").alias("pct"), p["range_p"].alias("range_x"),
+                              p["travel_p"].alias("travel_x"), p["volume_p"].alias("volume")))
+    return (table.select("symbol", "session", F.col("session_bar").alias("elapsed_bar"),
+                         "sessions_used", F.explode(zipped).alias("z"))
+            .select("symbol", "session", "elapsed_bar", "sessions_used", "z.*")
+            .select("symbol", "session", "elapsed_bar", "sessions_used", "pct",
+                    *_rounded("range_x", "travel_x", "volume")))
+
+
+@query
+def median_final_travel(spark, sf):
+    return H.final_travel(_card(spark, sf), population=H.FULL).select(
+        "symbol", "session", "sessions", F.round("median_travel", 6).alias("median_travel"))
+
+
+@query
+def split_labels(spark, sf):
+    found = S.instances(_sessions(M.bars(spark, sf)))
+    return H.split_sessions(found, _cutoff()).select("symbol", "session_id", "session", "bars", "split")
+
+
+@query
+def session_catalog(spark, sf):
+    rows = settle(_card(spark, sf))
+    full = K.profile(rows, VP.nest_levels(M.levels(spark, sf)))
+    made = H.catalog(full, _cutoff())
+    exact = {"session_bars", "range_scale", "session_delta_recent"}
+    return made.select(*[F.round(c, 6).alias(c) if c in H.CATALOG_SCALARS and c not in exact else c
+                         for c in made.columns])
+
+
+@query
+def explore_sample(spark, sf):
+    found = settle(S.instances(_sessions(M.bars(spark, sf))))
+    return H.sample_sessions(H.explore_sessions(found, _cutoff(), "NY"), 5, 7)
