@@ -34,19 +34,29 @@ def _pieces(frame: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, p
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  make: Callable[[], object], schema: T.StructType) -> DataFrame:
-    """Run one fold per key, rows in ``order``. Output columns are exactly ``schema``."""
+    """Run one fold per key, rows in ``order``. Output columns are exactly ``schema``.
+
+    A fold with a ``finish() -> frame`` is asked for its remaining rows when its key ends.
+    """
     names = schema.fieldNames()
     keys = list(keys)
 
+    def rest(fold, key):
+        out = fold.finish() if hasattr(fold, "finish") else ()
+        if len(out):
+            yield out.assign(**dict(zip(keys, key)))[names]
+
     def run(batches):
         current, fold = None, None
         for frame in batches:
             for key, piece in _pieces(frame, keys):
                 if key != current:
+                    yield from rest(fold, current)
                     current, fold = key, make()
                 out = fold.feed(piece)
                 if len(out):
                     yield out[names]
+        yield from rest(fold, current)
 
     return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
             .mapInPandas(run, schema))

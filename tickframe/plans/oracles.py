@@ -622,3 +622,272 @@ SELECT c.symbol, c.session_id, c.session, 'explore' AS split, c.t AS time, open,
        CASE WHEN poc IS NOT NULL THEN coalesce(n_hvn, 0) END AS n_hvn,
        CASE WHEN poc IS NOT NULL THEN coalesce(n_lvn, 0) END AS n_lvn
 FROM card c LEFT JOIN area a ON a.k = c.t LEFT JOIN nn ON nn.k = c.t WHERE c.session_id < {SEAL}"""
+
+
+# ---- orders and trades ------------------------------------------------------
+
+SEGMENTS = """,
+seg AS MATERIALIZED (
+  SELECT *, CAST(sum(CAST(gap_before AS INT)) OVER (PARTITION BY symbol ORDER BY t
+              ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM gapped)"""
+TRADABLE = "WITH RECURSIVE " + bars_cte() + scale_cte() + gaps_cte("scaled") + SEGMENTS
+COMBOS = "(VALUES (0, 4, 1.0), (1, 4, 2.0), (2, 8, 1.0), (3, 8, 2.0)) v(param_id, lookback, kk)"
+
+
+def signals_cte(src: str, keys: str, name: str = "sig") -> str:
+    """Example strategy on ``src``; ``rn`` counts bars within ``keys``."""
+    return f""",
+{name}_b AS (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY {keys} ORDER BY t) AS rn FROM {src}),
+{name}_w AS (
+  SELECT *, max(high) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS h4,
+            min(low) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l4,
+            max(high) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS h8,
+            min(low) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS l8
+  FROM {name}_b),
+{name}_p AS (
+  SELECT *, CASE WHEN rn >= lookback THEN CASE lookback WHEN 4 THEN h4 ELSE h8 END END AS top,
+            CASE WHEN rn >= lookback THEN CASE lookback WHEN 4 THEN l4 ELSE l8 END END AS flr
+  FROM {name}_w, {COMBOS}),
+{name} AS MATERIALIZED (
+  SELECT * EXCLUDE (h4, l4, h8, l8, top, flr, kk), CASE WHEN ok THEN CASE WHEN up THEN 'long' ELSE 'short' END END AS dir,
+         CASE WHEN ok THEN e END AS e, CASE WHEN ok THEN CASE WHEN up THEN e - kk * range_scale ELSE e + kk * range_scale END END AS s,
+         CASE WHEN ok THEN CASE WHEN up THEN e + kk * range_scale ELSE e - kk * range_scale END END AS g
+  FROM (SELECT *, close > (top + flr) / 2 AS up, range_scale IS NOT NULL AND top IS NOT NULL AS ok,
+               CASE WHEN close > (top + flr) / 2 THEN top ELSE flr END AS e FROM {name}_p))"""
+
+
+def _entry(d: str, e: str, b: str = "") -> str:
+    return (f"CASE WHEN {d} = 'long' AND {b}high >= {e} THEN greatest({b}open, {e}) + 0.25 "
+            f"WHEN {d} = 'short' AND {b}low <= {e} THEN least({b}open, {e}) - 0.25 END")
+
+
+def _stopped(d: str, s: str, b: str = "") -> str:
+    return f"(CASE WHEN {d} = 'long' THEN {b}low <= {s} ELSE {b}high >= {s} END)"
+
+
+def _reached(d: str, g: str, b: str = "") -> str:
+    return f"(CASE WHEN {d} = 'long' THEN {b}high >= {g} ELSE {b}low <= {g} END)"
+
+
+def _exit(d: str, s: str, g: str, b: str = "") -> str:
+    return (f"CASE WHEN {_stopped(d, s, b)} THEN CASE WHEN {d} = 'long' THEN least({b}open, {s}) - 0.25 "
+            f"ELSE greatest({b}open, {s}) + 0.25 END WHEN {_reached(d, g, b)} THEN {g} END")
+
+
+SQL["next_bar_fills"] = TRADABLE + signals_cte("seg", "symbol") + f"""
+SELECT x.symbol, x.t AS time, x.dir AS direction, {_entry('x.dir', 'x.e', 'b.')} AS entry_price,
+       {_exit('x.dir', 'x.s', 'x.g', 'b.')} AS exit_price,
+       CASE WHEN {_stopped('x.dir', 'x.s', 'b.')} THEN 'stop' WHEN {_reached('x.dir', 'x.g', 'b.')} THEN 'target' END AS reason,
+       CASE WHEN {_stopped('x.dir', 'x.s', 'b.')} THEN {_reached('x.dir', 'x.g', 'b.')}
+            WHEN {_reached('x.dir', 'x.g', 'b.')} THEN FALSE END AS ambiguous
+FROM sig x JOIN sig_b b ON b.symbol = x.symbol AND b.rn = x.rn + 1
+WHERE x.param_id = 0 AND x.dir IS NOT NULL"""
+
+SQL["bracket_outcomes"] = TRADABLE + signals_cte("seg", "symbol") + f""",
+s0 AS (SELECT * FROM sig WHERE param_id = 0 AND dir IS NOT NULL),
+en AS (
+  SELECT s0.symbol, s0.segment, s0.t, s0.dir, s0.s, s0.g, b.t AS et, {_entry('s0.dir', 's0.e', 'b.')} AS ep
+  FROM s0 JOIN seg b ON b.symbol = s0.symbol AND b.segment = s0.segment AND b.t > s0.t
+  WHERE {_entry('s0.dir', 's0.e', 'b.')} IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY s0.symbol, s0.t ORDER BY b.t) = 1),
+ex AS (
+  SELECT en.*, b.t AS xt, {_exit('en.dir', 'en.s', 'en.g', 'b.')} AS xp,
+         CASE WHEN {_stopped('en.dir', 'en.s', 'b.')} THEN 'stop' ELSE 'target' END AS reason,
+         {_stopped('en.dir', 'en.s', 'b.')} AND {_reached('en.dir', 'en.g', 'b.')} AS ambiguous, b.t = en.et AS same_bar
+  FROM en JOIN seg b ON b.symbol = en.symbol AND b.segment = en.segment AND b.t >= en.et
+  WHERE {_exit('en.dir', 'en.s', 'en.g', 'b.')} IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY en.symbol, en.t ORDER BY b.t) = 1),
+ls AS (SELECT symbol, segment, max(t) AS lt, arg_max(close, t) AS lc,
+              segment = max(segment) OVER (PARTITION BY symbol) AS newest FROM seg GROUP BY 1, 2)
+SELECT s0.symbol, s0.segment, s0.t AS time, s0.dir AS direction, en.et AS entry_time, en.ep AS entry_price,
+       CASE WHEN ex.xt IS NOT NULL THEN ex.xt WHEN en.et IS NOT NULL AND NOT newest THEN lt END AS exit_time,
+       CASE WHEN ex.xt IS NOT NULL THEN ex.xp WHEN en.et IS NOT NULL AND NOT newest THEN lc END AS exit_price,
+       CASE WHEN en.et IS NULL THEN 'unfilled' WHEN ex.xt IS NOT NULL THEN ex.reason
+            WHEN newest THEN 'open' ELSE 'session' END AS reason,
+       coalesce(ex.ambiguous, FALSE) AS ambiguous, coalesce(ex.same_bar, FALSE) AS same_bar
+FROM s0 LEFT JOIN en ON en.symbol = s0.symbol AND en.t = s0.t LEFT JOIN ex ON ex.symbol = s0.symbol AND ex.t = s0.t
+JOIN ls ON ls.symbol = s0.symbol AND ls.segment = s0.segment"""
+
+
+def book_cte(sig: str, name: str = "book") -> str:
+    """Trade book of ``sig`` (k, rn, t, open, high, low, close, gap_before, dir, e, s, g) per ``k``.
+
+    States: p* the armed order, q* the position; x* the trade closed on this bar.
+    """
+    return f""",
+{name}_in AS MATERIALIZED (SELECT k, rn, t, open, high, low, close, gap_before, dir, e, s, g FROM {sig}),
+{name}_w AS (
+  SELECT k, 0::BIGINT AS rn, 0::BIGINT AS t, 0.0::DOUBLE AS close,
+         NULL::VARCHAR AS pd, NULL::DOUBLE AS pe, NULL::DOUBLE AS ps, NULL::DOUBLE AS pg,
+         NULL::VARCHAR AS qd, NULL::DOUBLE AS qe, NULL::DOUBLE AS qs, NULL::DOUBLE AS qg,
+         NULL::BIGINT AS qn, NULL::BIGINT AS qt, NULL::DOUBLE AS fav, NULL::DOUBLE AS adv,
+         NULL::VARCHAR AS reason, NULL::BIGINT AS xt, NULL::DOUBLE AS xp, NULL::BOOLEAN AS amb,
+         NULL::BOOLEAN AS same, NULL::BIGINT AS held, NULL::VARCHAR AS xd, NULL::DOUBLE AS xe,
+         NULL::BIGINT AS xet, NULL::DOUBLE AS xfav, NULL::DOUBLE AS xadv
+  FROM (SELECT DISTINCT k FROM {name}_in)
+  UNION ALL
+  SELECT k, rn, t, close,
+         CASE WHEN arm THEN dir WHEN sess OR fill IS NOT NULL THEN NULL ELSE pd END,
+         CASE WHEN arm THEN e WHEN sess OR fill IS NOT NULL THEN NULL ELSE pe END,
+         CASE WHEN arm THEN s WHEN sess OR fill IS NOT NULL THEN NULL ELSE ps END,
+         CASE WHEN arm THEN g WHEN sess OR fill IS NOT NULL THEN NULL ELSE pg END,
+         CASE WHEN why IS NULL THEN hd END, CASE WHEN why IS NULL THEN he END,
+         CASE WHEN why IS NULL THEN hs END, CASE WHEN why IS NULL THEN hg END,
+         CASE WHEN why IS NULL THEN hn END, CASE WHEN why IS NULL THEN ht END,
+         CASE WHEN why IS NULL THEN hf END, CASE WHEN why IS NULL THEN ha END,
+         why, CASE WHEN sess THEN last_t WHEN why IS NOT NULL THEN t END,
+         CASE WHEN sess THEN last_c ELSE out END, why = 'stop' AND tgt, fill IS NOT NULL AND why IS NOT NULL,
+         CASE WHEN sess THEN rn - qn WHEN why IS NOT NULL THEN rn - hn + 1 END,
+         CASE WHEN sess THEN qd ELSE hd END, CASE WHEN sess THEN qe ELSE he END,
+         CASE WHEN sess THEN qt ELSE ht END, CASE WHEN sess THEN fav ELSE hf END, CASE WHEN sess THEN adv ELSE ha END
+  FROM (
+    SELECT *, (why IS NOT NULL OR hd IS NULL) AND (pd IS NULL OR sess OR fill IS NOT NULL)
+              AND dir IS NOT NULL AND e IS NOT NULL AS arm
+    FROM (
+      SELECT *, CASE WHEN sess THEN 'session' WHEN hd IS NULL THEN NULL
+                     WHEN {_stopped('hd', 'hs')} THEN 'stop' WHEN {_reached('hd', 'hg')} THEN 'target' END AS why,
+             {_reached('hd', 'hg')} AS tgt, {_exit('hd', 'hs', 'hg')} AS out
+      FROM (
+        SELECT *, CASE WHEN sess THEN NULL WHEN qd IS NOT NULL THEN qd WHEN fill IS NOT NULL THEN pd END AS hd,
+               CASE WHEN qd IS NOT NULL THEN qe ELSE fill END AS he,
+               CASE WHEN qd IS NOT NULL THEN qs ELSE ps END AS hs, CASE WHEN qd IS NOT NULL THEN qg ELSE pg END AS hg,
+               CASE WHEN qd IS NOT NULL THEN qn ELSE rn END AS hn, CASE WHEN qd IS NOT NULL THEN qt ELSE t END AS ht,
+               CASE WHEN qd = 'long' THEN greatest(fav, high - qe) WHEN qd = 'short' THEN greatest(fav, qe - low)
+                    WHEN pd = 'long' THEN high - fill ELSE fill - low END AS hf,
+               CASE WHEN qd = 'long' THEN greatest(adv, qe - low) WHEN qd = 'short' THEN greatest(adv, high - qe)
+                    WHEN pd = 'long' THEN fill - low ELSE high - fill END AS ha
+        FROM (
+          SELECT w.k, b.rn, b.t, b.open, b.high, b.low, b.close, b.dir, b.e, b.s, b.g, w.t AS last_t, w.close AS last_c,
+                 w.pd, w.pe, w.ps, w.pg, w.qd, w.qe, w.qs, w.qg, w.qn, w.qt, w.fav, w.adv,
+                 w.qd IS NOT NULL AND b.gap_before AS sess,
+                 CASE WHEN w.qd IS NULL THEN {_entry('w.pd', 'w.pe', 'b.')} END AS fill
+          FROM {name}_w w JOIN {name}_in b ON b.k = w.k AND b.rn = w.rn + 1))))),
+{name} AS MATERIALIZED (
+  SELECT k, xet AS entry_time, xt AS exit_time, xd AS direction, xe AS entry_price, xp AS exit_price,
+         1::BIGINT AS size, CASE WHEN xd = 'long' THEN xp - xe ELSE xe - xp END AS pnl_points,
+         (CASE WHEN xd = 'long' THEN xp - xe ELSE xe - xp END) * 20.0 - 4.0 AS pnl_dollars, 4.0::DOUBLE AS commission,
+         reason, amb AS ambiguous, same AS same_bar, held AS bars, xadv * 20.0 AS mae, xfav * 20.0 AS mfe,
+         greatest(xfav - (CASE WHEN xd = 'long' THEN xp - xe ELSE xe - xp END), 0.0) * 20.0 AS etd
+  FROM {name}_w WHERE reason IS NOT NULL)"""
+
+
+BOOK_SQL = (TRADABLE + signals_cte("seg", "symbol") + """,
+keyed AS (SELECT *, param_id AS k FROM sig)""" + book_cte("keyed"))
+
+SQL["trade_book"] = BOOK_SQL + """
+SELECT 'ALL' AS symbol, CAST(k AS BIGINT) AS param_id, row_number() OVER w AS num, entry_time, exit_time, direction,
+       entry_price, exit_price, size, pnl_points, pnl_dollars, commission, reason, ambiguous, same_bar, bars,
+       mae, mfe, etd, sum(pnl_dollars) OVER (PARTITION BY k ORDER BY exit_time ROWS UNBOUNDED PRECEDING) AS cum_pnl
+FROM book WINDOW w AS (PARTITION BY k ORDER BY exit_time)"""
+
+
+def stats_cte(book: str = "book", scopes: str = "['all', direction]", wanted: str | None = None,
+              name: str = "stats") -> str:
+    """The summary metrics per (k, scope)."""
+    wanted = wanted or f"SELECT DISTINCT k, unnest(['all', 'long', 'short']) AS scope FROM {book}"
+    return f""",
+{name}_s AS (SELECT *, unnest({scopes}) AS scope FROM {book}),
+{name}_e AS (SELECT *, 50000.0 + sum(pnl_dollars) OVER w AS equity,
+               CAST(sum(CASE WHEN pnl_dollars > 0 THEN 0 ELSE 1 END) OVER w AS BIGINT) AS nl,
+               CAST(sum(CASE WHEN pnl_dollars > 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS nw
+        FROM {name}_s WINDOW w AS (PARTITION BY k, scope ORDER BY exit_time ROWS UNBOUNDED PRECEDING)),
+{name}_d AS (SELECT *, greatest(50000.0, max(equity) OVER (PARTITION BY k, scope ORDER BY exit_time ROWS UNBOUNDED PRECEDING)) AS peak FROM {name}_e),
+{name}_r AS (SELECT k, scope, max(CASE WHEN win THEN n END) AS mw, max(CASE WHEN NOT win THEN n END) AS ml FROM (
+         SELECT k, scope, pnl_dollars > 0 AS win, CASE WHEN pnl_dollars > 0 THEN nl ELSE nw END AS run, count(*) AS n
+         FROM {name}_e GROUP BY ALL) GROUP BY ALL),
+{name}_a AS (
+  SELECT k, scope, count(*) AS n, count(*) FILTER (WHERE pnl_dollars > 0) AS w, count(*) FILTER (WHERE pnl_dollars < 0) AS l,
+         sum(pnl_dollars) AS net, coalesce(sum(pnl_dollars) FILTER (WHERE pnl_dollars > 0), 0.0) AS gp,
+         coalesce(-sum(pnl_dollars) FILTER (WHERE pnl_dollars < 0), 0.0) AS gl, sum(commission) AS comm,
+         coalesce(max(pnl_dollars) FILTER (WHERE pnl_dollars > 0), 0.0) AS lw,
+         coalesce(min(pnl_dollars) FILTER (WHERE pnl_dollars < 0), 0.0) AS ll,
+         coalesce(stddev_samp(pnl_dollars), 0.0) AS sd, coalesce(stddev_samp(least(pnl_dollars, 0.0)), 0.0) AS dsd,
+         max(peak - equity) AS dd, max(peak) AS pk, avg(bars) AS ab, avg(mae) AS am, avg(mfe) AS af, avg(etd) AS ae,
+         count(*) FILTER (WHERE ambiguous) AS am_n, count(*) FILTER (WHERE same_bar) AS sb
+  FROM {name}_d GROUP BY ALL),
+{name} AS (
+  SELECT x.k, x.scope, coalesce(n, 0) AS n_trades, coalesce(w, 0) AS wins, coalesce(l, 0) AS losses,
+         coalesce(n - w - l, 0) AS evens, coalesce(w / n, 0.0) AS win_rate, coalesce(net, 0.0) AS net_profit,
+         coalesce(gp, 0.0) AS gross_profit, coalesce(gl, 0.0) AS gross_loss, coalesce(comm, 0.0) AS commission,
+         CASE WHEN gl > 0 THEN gp / gl END AS profit_factor, coalesce(net / n, 0.0) AS avg_trade,
+         coalesce(CASE WHEN w > 0 THEN gp / w END, 0.0) AS avg_win, coalesce(CASE WHEN l > 0 THEN -gl / l END, 0.0) AS avg_loss,
+         coalesce(CASE WHEN w > 0 AND l > 0 THEN (gp / w) / (gl / l) END, 0.0) AS win_loss_ratio,
+         coalesce(lw, 0.0) AS largest_win, coalesce(ll, 0.0) AS largest_loss,
+         coalesce(mw, 0) AS max_consec_wins, coalesce(ml, 0) AS max_consec_losses, coalesce(net / n, 0.0) AS expectancy,
+         coalesce(dd, 0.0) AS max_drawdown, coalesce(dd / pk * 100.0, 0.0) AS max_drawdown_pct,
+         CASE WHEN sd > 0 THEN net / n / sd ELSE 0.0 END AS sharpe, CASE WHEN dsd > 0 THEN net / n / dsd ELSE 0.0 END AS sortino,
+         coalesce(ab, 0.0) AS avg_bars, coalesce(am, 0.0) AS avg_mae, coalesce(af, 0.0) AS avg_mfe, coalesce(ae, 0.0) AS avg_etd,
+         coalesce(am_n, 0) AS ambiguous, coalesce(am_n / n * 100.0, 0.0) AS ambiguous_pct, coalesce(sb, 0) AS same_bar
+  FROM ({wanted}) x LEFT JOIN {name}_a a ON a.k = x.k AND a.scope = x.scope
+  LEFT JOIN {name}_r r ON r.k = x.k AND r.scope = x.scope)"""
+
+
+_DOUBLES = ("win_rate", "net_profit", "gross_profit", "gross_loss", "commission", "profit_factor", "avg_trade",
+            "avg_win", "avg_loss", "win_loss_ratio", "largest_win", "largest_loss", "expectancy", "max_drawdown",
+            "max_drawdown_pct", "sharpe", "sortino", "avg_bars", "avg_mae", "avg_mfe", "avg_etd", "ambiguous_pct")
+
+SQL["trade_stats"] = BOOK_SQL + stats_cte() + f"""
+SELECT 'ALL' AS symbol, CAST(k AS BIGINT) AS param_id, scope, n_trades, wins, losses, evens, max_consec_wins,
+       max_consec_losses, ambiguous, same_bar, {_r(*_DOUBLES)} FROM stats"""
+
+SQL["win_loss_streaks"] = BOOK_SQL + """,
+sc AS (SELECT *, unnest(['all', direction]) AS scope FROM book),
+sw AS (SELECT *, sum(CASE WHEN pnl_dollars > 0 THEN 0 ELSE 1 END) OVER w AS nl,
+              sum(CASE WHEN pnl_dollars > 0 THEN 1 ELSE 0 END) OVER w AS nw
+       FROM sc WINDOW w AS (PARTITION BY scope ORDER BY exit_time, k ROWS UNBOUNDED PRECEDING))
+SELECT 'ALL' AS symbol, scope, coalesce(max(CASE WHEN win THEN n END), 0) AS max_consec_wins,
+       coalesce(max(CASE WHEN NOT win THEN n END), 0) AS max_consec_losses
+FROM (SELECT scope, pnl_dollars > 0 AS win, CASE WHEN pnl_dollars > 0 THEN nl ELSE nw END AS run, count(*) AS n
+      FROM sw GROUP BY ALL) GROUP BY scope"""
+
+SQL["equity_curve"] = BOOK_SQL + """,
+e AS (SELECT *, 50000.0 + sum(pnl_dollars) OVER (PARTITION BY k ORDER BY exit_time ROWS UNBOUNDED PRECEDING) AS eq FROM book),
+d AS (SELECT *, greatest(50000.0, max(eq) OVER (PARTITION BY k ORDER BY exit_time ROWS UNBOUNDED PRECEDING)) AS pk FROM e)
+SELECT 'ALL' AS symbol, CAST(k AS BIGINT) AS param_id, exit_time, CAST(eq AS DOUBLE) AS equity,
+       CAST(pk AS DOUBLE) AS peak, CAST(pk - eq AS DOUBLE) AS drawdown FROM d"""
+
+SQL["sweep_ranked"] = BOOK_SQL + stats_cte(
+    scopes="['all']", wanted=f"SELECT param_id AS k, 'all' AS scope FROM {COMBOS}") + f"""
+SELECT 'ALL' AS symbol, CAST(k AS BIGINT) AS param_id, CAST(lookback AS DOUBLE) AS lookback, CAST(kk AS DOUBLE) AS k,
+       round(sc, 6) AS score, n_trades, row_number() OVER (ORDER BY coalesce(sc, -1e300) DESC, param_id) AS place
+FROM (SELECT s.k, param_id, lookback, kk, n_trades, CASE WHEN n_trades >= 2 THEN profit_factor END AS sc
+      FROM stats s JOIN {COMBOS} ON s.k = v.param_id)""".replace("CAST(k AS BIGINT) AS param_id", "CAST(param_id AS BIGINT) AS param_id")
+
+FOLDS = """
+span AS (SELECT symbol, min(t) AS a, max(t) AS b FROM bars GROUP BY 1),
+folds AS (SELECT symbol, a, CAST((o - a - 864000) / 345600 AS BIGINT) + 1 AS fold, o - 864000 AS is_start, o AS is_end,
+                 o AS oos_start, o + 345600 AS oos_end
+          FROM (SELECT *, unnest(generate_series(a + 864000, b - 345600, 345600)) AS o FROM span))"""
+
+SQL["walk_forward_folds"] = "WITH " + bars_cte("event_type", 3600) + "," + FOLDS + """
+SELECT symbol, fold, CASE WHEN anchored THEN a ELSE is_start END AS is_start, is_end, oos_start, oos_end, anchored
+FROM folds, (VALUES (FALSE), (TRUE)) v(anchored)"""
+
+WALK_SQL = (TRADABLE + "," + FOLDS + """,
+isb AS (SELECT s.*, f.fold FROM seg s JOIN folds f ON f.symbol = s.symbol AND s.t >= f.is_start AND s.t < f.is_end),
+oosb AS (SELECT s.*, f.fold FROM seg s JOIN folds f ON f.symbol = s.symbol AND s.t >= f.oos_start AND s.t < f.oos_end)"""
+            + signals_cte("isb", "symbol, fold", "isig") + """,
+ik AS (SELECT *, fold * 100 + param_id AS k FROM isig)""" + book_cte("ik", "ib")
+            + stats_cte("ib", "['all']", f"SELECT fold * 100 + param_id AS k, 'all' AS scope FROM folds, {COMBOS}", "ist") + """,
+best AS MATERIALIZED (SELECT k // 100 AS fold, k % 100 AS param_id, k, CASE WHEN n_trades >= 2 THEN profit_factor END AS is_score
+         FROM ist QUALIFY row_number() OVER (PARTITION BY k // 100
+           ORDER BY coalesce(CASE WHEN n_trades >= 2 THEN profit_factor END, -1e300) DESC, k % 100) = 1)"""
+            + signals_cte("oosb", "symbol, fold", "osig") + """,
+ok_ AS (SELECT o.*, b.k FROM osig o JOIN best b ON b.fold = o.fold AND b.param_id = o.param_id)""" + book_cte("ok_", "ob")
+            + stats_cte("ob", "['all']", "SELECT k, 'all' AS scope FROM best", "ost") + """,
+res AS (SELECT f.symbol, f.fold, f.oos_start, f.oos_end, CAST(b.param_id AS BIGINT) AS param_id, b.is_score,
+               o.profit_factor AS oos_score, o.n_trades AS n_oos_trades
+        FROM folds f JOIN best b ON b.fold = f.fold JOIN ost o ON o.k = b.k)""")
+
+SQL["walk_forward_results"] = WALK_SQL + """
+SELECT symbol, fold, oos_start, oos_end, param_id, round(is_score, 6) AS is_score, round(oos_score, 6) AS oos_score,
+       n_oos_trades FROM res"""
+
+SQL["walk_forward_oos"] = WALK_SQL + """
+SELECT 'ALL' AS symbol, CAST(k // 100 AS BIGINT) AS fold, row_number() OVER w AS num, entry_time, exit_time, direction,
+       pnl_dollars, sum(pnl_dollars) OVER (ORDER BY exit_time, k // 100, entry_time ROWS UNBOUNDED PRECEDING) AS cum_pnl
+FROM ob WINDOW w AS (ORDER BY exit_time, k // 100, entry_time)"""
+
+SQL["walk_forward_efficiency"] = WALK_SQL + """
+SELECT symbol, count(*) AS folds, round(coalesce(avg(oos_score) / nullif(avg(is_score), 0), 0.0), 6) AS efficiency
+FROM res GROUP BY 1"""

@@ -12,12 +12,17 @@ from tickframe.operators import bars as B
 from tickframe.operators import card as K
 from tickframe.operators import features as X
 from tickframe.operators import history as H
+from tickframe.operators import orders as O
 from tickframe.operators import prepare as P
 from tickframe.operators import profile as VP
 from tickframe.operators import sessions as S
+from tickframe.operators import stats as Q
 from tickframe.operators import structure as ST
 from tickframe.operators.series import number_rows, secs, settle
 from tickframe.plans import market as M
+from tickframe.plans import search as SG
+from tickframe.plans.strategies import breakout
+from tickframe.sources import results as RS
 from tickframe.schemas import FLOW, OHLC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,3 +437,122 @@ def session_catalog(spark, sf):
 def explore_sample(spark, sf):
     found = settle(S.instances(_sessions(M.bars(spark, sf))))
     return H.sample_sessions(H.explore_sessions(found, _cutoff(), "NY"), 5, 7)
+
+
+# ---- orders, trades, search -------------------------------------------------
+
+GRID = {"lookback": [4, 8], "k": [1.0, 2.0]}
+BOOK = {"point_value": M.POINT_VALUE}
+
+
+def _tradable(spark, sf) -> DataFrame:
+    """Numbered bars with scale, gap flag and segment."""
+    marked = settle(P.mark_gaps(_scaled(M.bars(spark, sf), M.STEP), M.STEP))
+    return settle(P.number_segments(marked))
+
+
+def _trades(spark, sf) -> DataFrame:
+    signals = breakout(_tradable(spark, sf), SG.expand(GRID))
+    book = settle(O.trade_book(signals, keys=["symbol", "param_id"], **BOOK))
+    return settle(O.sequence_trades(book, ["symbol", "param_id"]))
+
+
+@query
+def next_bar_fills(spark, sf):
+    """Every signal of the first parameter set against the bar that follows it."""
+    bars = _tradable(spark, sf)
+    signals = breakout(bars, SG.expand(GRID)[:1]).where("direction is not null")
+    following = bars.select("symbol", (F.col("bar_no") - 1).alias("bar_no"),
+                            *[F.col(c).alias(f"_{c}") for c in ("open", "high", "low")])
+    o, h, low = (F.col(f"_{c}") for c in ("open", "high", "low"))
+    way = F.col("direction")
+    rows = (signals.join(following, ["symbol", "bar_no"])
+            .withColumn("entry_price", O.entry_price(way, F.col("entry_stop"), o, h, low))
+            .withColumn("x", O.exit_fill(way, F.col("stop_price"), F.col("target_price"), o, h, low)))
+    return rows.select("symbol", _time(), "direction", "entry_price", F.col("x.price").alias("exit_price"),
+                       F.col("x.reason").alias("reason"), F.col("x.ambiguous").alias("ambiguous"))
+
+
+@query
+def bracket_outcomes(spark, sf):
+    signals = breakout(_tradable(spark, sf), SG.expand(GRID)[:1])
+    return O.bracket_outcomes(signals).select(
+        "symbol", "segment", "time", "direction", "entry_time", "entry_price", "exit_time",
+        "exit_price", "reason", "ambiguous", "same_bar")
+
+
+@query
+def trade_book(spark, sf):
+    return _trades(spark, sf).select(
+        "symbol", F.col("param_id").cast("long").alias("param_id"), "num", "entry_time", "exit_time",
+        "direction", "entry_price", "exit_price", "size", "pnl_points", "pnl_dollars", "commission",
+        "reason", "ambiguous", "same_bar", "bars", "mae", "mfe", "etd", "cum_pnl")
+
+
+def _no_infinity(df: DataFrame) -> DataFrame:
+    return RS.storable(df).select(*[
+        F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+@query
+def trade_stats(spark, sf):
+    found = Q.summarise(_trades(spark, sf), ["symbol", "param_id"])
+    return _no_infinity(found.withColumn("param_id", F.col("param_id").cast("long")))
+
+
+@query
+def win_loss_streaks(spark, sf):
+    return Q.streaks(Q.by_scope(_trades(spark, sf)), ["symbol", "scope"],
+                     ["exit_time", "param_id"])
+
+
+@query
+def equity_curve(spark, sf):
+    curve = Q.equity_curve(_trades(spark, sf), ["symbol", "param_id"])
+    return curve.select("symbol", F.col("param_id").cast("long").alias("param_id"), "exit_time",
+                        "equity", "peak", "drawdown")
+
+
+@query
+def sweep_ranked(spark, sf):
+    ranked = SG.sweep(_tradable(spark, sf), breakout, GRID, "profit_factor", min_trades=2, **BOOK)
+    named = ranked.join(SG.grid_frame(spark, GRID), "param_id")
+    return RS.storable(named.select(
+        "symbol", F.col("param_id").cast("long").alias("param_id"), F.col("params")["lookback"].alias("lookback"),
+        F.col("params")["k"].alias("k"), F.round("score", 6).alias("score"), "n_trades",
+        F.col("place").cast("long").alias("place")))
+
+
+WALK = {"is_days": 10, "oos_days": 4, "step_days": 4, "min_trades": 2}
+
+
+@query
+def walk_forward_folds(spark, sf):
+    base = M.bars(spark, sf, "event_type", 3600)
+    both = [SG.fold_windows(base, 10, 4, 4, a).withColumn("anchored", F.lit(a)) for a in (False, True)]
+    return both[0].unionByName(both[1]).withColumn("fold", F.col("fold").cast("long"))
+
+
+def _walk(spark, sf):
+    return SG.walk_forward(_tradable(spark, sf), breakout, GRID, "profit_factor", **WALK, **BOOK)
+
+
+@query
+def walk_forward_results(spark, sf):
+    results, _ = _walk(spark, sf)
+    return _no_infinity(results.select(
+        "symbol", F.col("fold").cast("long").alias("fold"), "oos_start", "oos_end",
+        F.col("param_id").cast("long").alias("param_id"), "is_score", "oos_score", "n_oos_trades"))
+
+
+@query
+def walk_forward_oos(spark, sf):
+    _, trades = _walk(spark, sf)
+    return trades.select("symbol", F.col("fold").cast("long").alias("fold"), "num", "entry_time",
+                         "exit_time", "direction", "pnl_dollars", "cum_pnl")
+
+
+@query
+def walk_forward_efficiency(spark, sf):
+    results, _ = _walk(spark, sf)
+    return _no_infinity(SG.efficiency(settle(results)))
