@@ -891,3 +891,66 @@ FROM ob WINDOW w AS (ORDER BY exit_time, k // 100, entry_time)"""
 SQL["walk_forward_efficiency"] = WALK_SQL + """
 SELECT symbol, count(*) AS folds, round(coalesce(avg(oos_score) / nullif(avg(is_score), 0), 0.0), 6) AS efficiency
 FROM res GROUP BY 1"""
+
+
+# ---- quotes, captured events, streams ---------------------------------------
+
+QUOTE_SQL = "WITH " + ticks_cte("ALL") + """,
+o AS (SELECT *, CAST(epoch(ts) AS BIGINT) * 1000000 + seq % 1000000 AS at FROM ticks),
+qb AS (SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, arg_max(bid, seq) AS bid FROM o
+       WHERE seq % 3 = 0 AND seq % 5 <> 1 GROUP BY 1, 2),
+qa AS (SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, arg_max(ask, seq) AS ask FROM o
+       WHERE seq % 3 = 0 AND seq % 5 <> 2 GROUP BY 1, 2),
+tr AS (SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, seq, price FROM o WHERE seq % 3 <> 0)
+SELECT tr.symbol, tr.t AS time, tr.seq, tr.price, qb.bid, qa.ask
+FROM tr ASOF LEFT JOIN qb ON tr.symbol = qb.symbol AND tr.t >= qb.t
+ASOF LEFT JOIN qa ON tr.symbol = qa.symbol AND tr.t >= qa.t"""
+SQL["prevailing_quote"] = QUOTE_SQL
+SQL["stream_prevailing_quote"] = QUOTE_SQL
+
+SQL["captured_trades"] = """
+SELECT event_type AS symbol, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS time, count(*) AS trades,
+       CAST(sum(1 + user_id % 7) AS BIGINT) AS volume,
+       CAST(sum((1 + user_id % 7) * CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS delta,
+       arg_min(value, event_id) AS first_price
+FROM events GROUP BY 1, 2"""
+
+SQL["stream_bars_replay"] = "WITH " + bars_cte() + f"""
+SELECT {BAR_COLS} FROM bars WHERE t < (SELECT max(epoch(ts)) FROM ticks) - 60"""
+
+STREAM_COLS = """SELECT s.symbol, s.t AS time, range_scale, swing, swing_price, swing_time, hunting,
+       round(retrace, 6) AS retrace, "trigger", bos, bos_level, bos_time
+FROM struct s JOIN scaled c ON c.symbol = s.symbol AND c.t = s.t"""
+SQL["stream_structure_replay"] = STRUCT_TYPE + STREAM_COLS
+SQL["stream_seek"] = STRUCT_TYPE + STREAM_COLS + " WHERE s.t > epoch(TIMESTAMP '2024-01-21')"
+
+
+def _after_with(sql: str) -> str:
+    return sql.split("WITH RECURSIVE ", 1)[1]
+
+
+SQL["snapshot"] = f"""
+WITH base AS MATERIALIZED ({STRUCT_ALL + LEGS_CTE + ribbon_cte() + REGIME_CTE} 
+  SELECT b.symbol, b.t, b.close, b.delta, b.range_scale, s.swing, s.swing_price, s.bos, s.bos_level, s.retrace,
+         CASE WHEN b.close > b.open AND b.delta < 0 THEN 'buy' WHEN b.close < b.open AND b.delta > 0 THEN 'sell' END AS absorption_side,
+         CASE WHEN tu.ft IS NOT NULL THEN tu.fp END AS leg_from_price, r.ribbon_align, r.ribbon_width,
+         r.ribbon[10] AS ma_50,
+         count(s.swing) OVER (ORDER BY b.t ROWS UNBOUNDED PRECEDING) AS n_sw
+  FROM scaled b JOIN struct s ON s.t = b.t JOIN readings r ON r.t = b.t LEFT JOIN turns tu ON tu.t = b.t),
+lab AS MATERIALIZED ({SQL["regime_label"]}),
+ses AS MATERIALIZED ({SQL["session_labels"]}),
+pr AS MATERIALIZED ({SQL["profile_readings"]}),
+cp AS MATERIALIZED ({SQL["card_profile"]}),
+cs AS MATERIALIZED ({SQL["card_shape"]}),
+ph AS MATERIALIZED ({SQL["card_phase"]}),
+pc AS MATERIALIZED ({SQL["card_percentiles"]}),
+tb AS MATERIALIZED ({SQL["travel_budget"].replace("AND session_id < " + SEAL, "")})
+SELECT b.symbol, b.t AS time, b.close, ses.session, ses.session_new, b.range_scale, b.delta, b.absorption_side, b.swing,
+       b.swing_price, b.bos, b.bos_level, b.leg_from_price, lab.regime, lab.regime_new, pr.profile_volume,
+       CASE WHEN pr.poc IS NOT NULL AND n_sw > 0 THEN least(n_sw, 6) END AS n_closed, pr.price_vs_value, cs.session_bars,
+       round(b.retrace, 6) AS retrace, round(b.ribbon_align, 6) AS ribbon_align, round(b.ribbon_width, 6) AS ribbon_width,
+       pr.poc AS profile_poc, pr.value_width, cs.session_range, ph.session_efficiency_recent, cp.session_poc,
+       pc.session_range_percentile, tb.session_travel_budget, round(b.ma_50, 6) AS ma_50, cp.n_hvn
+FROM base b JOIN ses ON ses.time = b.t LEFT JOIN lab ON lab.time = b.t LEFT JOIN pr ON pr.time = b.t
+LEFT JOIN cp ON cp.time = b.t LEFT JOIN cs ON cs.time = b.t LEFT JOIN ph ON ph.time = b.t
+LEFT JOIN pc ON pc.time = b.t LEFT JOIN tb ON tb.time = b.t"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +16,19 @@ from tickframe.operators import history as H
 from tickframe.operators import orders as O
 from tickframe.operators import prepare as P
 from tickframe.operators import profile as VP
+from tickframe.operators import quotes as QT
 from tickframe.operators import sessions as S
 from tickframe.operators import stats as Q
 from tickframe.operators import structure as ST
-from tickframe.operators.series import number_rows, secs, settle
+from tickframe.operators.series import number_rows, secs, settle, shared_folder
 from tickframe.plans import market as M
 from tickframe.plans import search as SG
+from tickframe.plans import snapshot as SN
 from tickframe.plans.strategies import breakout
-from tickframe.sources import results as RS
 from tickframe.schemas import FLOW, OHLC
+from tickframe.sources import capture as CP
+from tickframe.sources import results as RS
+from tickframe.streaming import live as LV
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -556,3 +561,104 @@ def walk_forward_oos(spark, sf):
 def walk_forward_efficiency(spark, sf):
     results, _ = _walk(spark, sf)
     return _no_infinity(SG.efficiency(settle(results)))
+
+
+# ---- quotes, captured events, streams ---------------------------------------
+
+def _quotes_and_trades(spark, sf):
+    """Every third event is a quote change, one side of it missing on every fifth; the rest trade."""
+    rows = M.ticks(spark, sf, "ALL")
+    third, fifth = F.pmod("seq", F.lit(3)) == 0, F.pmod("seq", F.lit(5))
+    quotes = rows.where(third).select(
+        "symbol", "ts", "seq", F.when(fifth != 1, F.col("bid")).alias("bid"),
+        F.when(fifth != 2, F.col("ask")).alias("ask"))
+    return quotes, rows.where(~third).select("symbol", "ts", "seq", "price")
+
+
+@query
+def prevailing_quote(spark, sf):
+    quotes, trades = _quotes_and_trades(spark, sf)
+    return QT.prevailing(trades, quotes).select("symbol", _time(), "seq", "price", "bid", "ask")
+
+
+@query
+def captured_trades(spark, sf):
+    """Events written as captured JSON lines, read back, unpacked and netted by their own side."""
+    rows = M.events(spark, sf)
+    stamp = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    trade = F.struct(
+        F.col("event_type").alias("symbolId"), F.col("value").alias("price"), stamp.alias("timestamp"),
+        F.pmod("event_id", F.lit(2)).cast("int").alias("type"),
+        (1 + F.pmod("user_id", F.lit(7))).alias("volume"))
+    hour = F.date_trunc("hour", "ts")
+    lines = (rows.groupBy(F.col("event_type").alias("contract"), hour.alias("h"))
+             .agg(F.sort_array(F.collect_list(F.struct("event_id", trade.alias("t")))).alias("l"))
+             .select(F.col("h").cast("string").alias("recv"), F.lit(CP.TRADE_EVENT).alias("event"), "contract",
+                     F.to_json(F.transform("l", lambda x: x["t"])).alias("payload")))
+    path = f"{shared_folder(spark).rstrip('/')}/capture-{uuid.uuid4().hex}"
+    lines.write.json(path)
+    found = CP.trades(CP.read_capture(spark, path))
+    return found.groupBy("symbol", secs(F.date_trunc("hour", "ts")).alias("time")).agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("volume").alias("volume"),
+        F.sum(F.col("volume") * F.col("side")).alias("delta"), F.min_by("price", "at").alias("first_price"))
+
+
+def _thirds(rows: DataFrame) -> list[DataFrame]:
+    """Three consecutive parts of the month, as a feed would deliver them."""
+    cuts = [F.lit(c).cast("timestamp") for c in ("2024-01-11", "2024-01-21")]
+    ts = F.col("ts")
+    return [rows.where(ts <= cuts[0]), rows.where((ts > cuts[0]) & (ts <= cuts[1])), rows.where(ts > cuts[1])]
+
+
+@query
+def stream_bars_replay(spark, sf):
+    rows = settle(B.back_adjust(M.ticks(spark, sf, "ALL")).select("symbol", "ts", "seq", "price", "volume", "side"))
+    return _bars_out(LV.replay(spark, _thirds(rows), lambda s: LV.stream_bars(s, M.STEP)))
+
+
+def _live():
+    return LV.LiveStructure(window=M.TEST_WINDOW)
+
+
+@query
+def stream_structure_replay(spark, sf):
+    bars = M.bars(spark, sf, "event_type", 3600)
+    found = LV.replay(spark, _thirds(bars), lambda s: LV.stream_structure(s, _live))
+    return found.select("symbol", "time", "range_scale", "swing", "swing_price", "swing_time", "hunting",
+                        F.round("retrace", 6).alias("retrace"), "trigger", "bos", "bos_level", "bos_time")
+
+
+@query
+def stream_seek(spark, sf):
+    """Start mid-month from a silently warmed state; the rest equals having played into it."""
+    parts = _thirds(M.bars(spark, sf, "event_type", 3600))
+    warm = settle(LV.warm_state(parts[0].unionByName(parts[1]), _live))
+    found = LV.replay(spark, [parts[2]], lambda s: LV.stream_structure(s, _live, warm))
+    return found.select("symbol", "time", "range_scale", "swing", "swing_price", "swing_time", "hunting",
+                        F.round("retrace", 6).alias("retrace"), "trigger", "bos", "bos_level", "bos_time")
+
+
+@query
+def stream_prevailing_quote(spark, sf):
+    quotes, trades = _quotes_and_trades(spark, sf)
+    none = F.lit(None).cast("double")
+    merged = settle(
+        quotes.select("symbol", "ts", secs("ts").alias("time"), F.lit(0).alias("kind"), "seq", none.alias("price"), "bid", "ask")
+        .unionByName(trades.select("symbol", "ts", secs("ts").alias("time"), F.lit(1).alias("kind"), "seq", "price",
+                                   none.alias("bid"), none.alias("ask"))))
+    return LV.replay(spark, _thirds(merged), LV.stream_prevailing)
+
+
+@query
+def snapshot(spark, sf):
+    """Selected scalars of the full 76-field row."""
+    dials = SN.Dials(M.TEST_WINDOW, M.TEST_WINDOW, H.FULL, M.SEALED_FROM)
+    rows = SN.snapshot(M.bars(spark, sf), M.STEP, levels=M.levels(spark, sf), dials=dials)
+    return rows.select(
+        "symbol", _time(), "close", "session", "session_new", "range_scale", "delta", "absorption_side", "swing",
+        "swing_price", "bos", "bos_level", "leg_from_price", "regime", "regime_new", "profile_volume",
+        F.size("profile_closed").cast("long").alias("n_closed"), "price_vs_value", "session_bars",
+        *_rounded("retrace", "ribbon_align", "ribbon_width", "profile_poc", "value_width", "session_range",
+                  "session_efficiency_recent", "session_poc", "session_range_percentile", "session_travel_budget"),
+        F.round(F.get("ma", F.lit(0)), 6).alias("ma_50"),
+        F.size("session_hvn").cast("long").alias("n_hvn"))
