@@ -954,3 +954,219 @@ SELECT b.symbol, b.t AS time, b.close, ses.session, ses.session_new, b.range_sca
 FROM base b JOIN ses ON ses.time = b.t LEFT JOIN lab ON lab.time = b.t LEFT JOIN pr ON pr.time = b.t
 LEFT JOIN cp ON cp.time = b.t LEFT JOIN cs ON cs.time = b.t LEFT JOIN ph ON ph.time = b.t
 LEFT JOIN pc ON pc.time = b.t LEFT JOIN tb ON tb.time = b.t"""
+
+
+# ---- audits and studies -----------------------------------------------------
+
+SQL["bar_audit"] = "WITH " + bars_cte("event_type", 3600) + """,
+m AS (SELECT *, (t // 3600) % 50 AS n FROM bars),
+sp AS (SELECT symbol, t, n, open, CASE WHEN n = 1 THEN low - 1 ELSE high END AS high,
+              CASE WHEN n = 5 THEN -1.0 ELSE low END AS low, CASE WHEN n = 2 THEN NULL ELSE close END AS close,
+              CASE WHEN n = 3 THEN 0 WHEN n = 4 THEN -1 ELSE volume END AS volume FROM m),
+u AS (SELECT * FROM sp UNION ALL SELECT * FROM sp WHERE n = 6)
+SELECT symbol, count(*) AS rows, min(t) AS first_time, max(t) AS last_time, count(*) - count(DISTINCT t) AS duplicates,
+       count(*) FILTER (WHERE close IS NULL) AS nans,
+       count(*) FILTER (WHERE n = 1 OR (n <> 2 AND (high < greatest(open, close, low) OR low > least(open, close, high)))
+                           OR n = 2) AS ohlc_bad,
+       count(*) FILTER (WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS non_positive,
+       count(*) FILTER (WHERE volume < 0) AS negative_volume, count(*) FILTER (WHERE volume = 0) AS zero_volume
+FROM u GROUP BY 1"""
+
+SQL["gap_lengths"] = "WITH " + bars_cte("event_type", 3600) + """
+SELECT symbol, gap_seconds, count(*) AS times FROM (
+  SELECT symbol, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS gap_seconds FROM bars)
+WHERE gap_seconds > 3600 GROUP BY 1, 2"""
+
+SQL["source_reconciliation"] = ("WITH " + bars_cte("event_type", 3600) + """,
+lost AS (SELECT symbol, CAST(CEIL(epoch(ts) / 3600) * 3600 AS BIGINT) AS t, arg_min(px, seq) AS open, max(px) AS high,
+                min(px) AS low, arg_max(px, seq) AS close, CAST(sum(volume) AS BIGINT) AS volume
+         FROM sided WHERE seq % 50 <> 7 GROUP BY 1, 2),
+j AS (SELECT coalesce(a.symbol, b.symbol) AS symbol, a.t IS NOT NULL AND b.t IS NOT NULL AS sh, a.t AS lt, b.t AS bt,
+             CAST(a.open = b.open AS INT) AS o, CAST(a.high = b.high AS INT) AS h, CAST(a.low = b.low AS INT) AS l,
+             CAST(a.close = b.close AS INT) AS c, CAST(a.volume = b.volume AS INT) AS v, a.volume - b.volume AS d
+      FROM bars a FULL JOIN lost b ON a.symbol = b.symbol AND a.t = b.t)
+SELECT symbol, count(*) FILTER (WHERE sh) AS shared, count(*) FILTER (WHERE bt IS NULL) AS only_left,
+       count(*) FILTER (WHERE lt IS NULL) AS only_right, CAST(sum(d) AS BIGINT) AS volume_difference,
+       round(avg(o), 6) AS match_open, round(avg(h), 6) AS match_high, round(avg(l), 6) AS match_low,
+       round(avg(c), 6) AS match_close, round(avg(v), 6) AS match_volume, round(avg(o * h * l * c * v), 6) AS match_all
+FROM j GROUP BY 1""")
+
+SCALED_TYPE = "WITH " + bars_cte("event_type", 3600) + scale_cte()
+
+SQL["first_touch"] = SCALED_TYPE + """,
+ft AS (SELECT a.symbol, a.t, b.t AS bt, b.high >= a.close + 2 * a.range_scale AS up, b.low <= a.close - 2 * a.range_scale AS dn
+       FROM scaled a JOIN scaled b ON b.symbol = a.symbol AND b.t > a.t
+       WHERE b.high >= a.close + 2 * a.range_scale OR b.low <= a.close - 2 * a.range_scale
+       QUALIFY row_number() OVER (PARTITION BY a.symbol, a.t ORDER BY b.t) = 1)
+SELECT a.symbol, a.t AS time, CASE WHEN bt IS NULL THEN 'none' WHEN up AND dn THEN 'both' WHEN up THEN 'up' ELSE 'down' END AS label,
+       bt AS touched
+FROM scaled a LEFT JOIN ft ON ft.symbol = a.symbol AND ft.t = a.t WHERE a.range_scale IS NOT NULL"""
+
+MOVES = SCALED_TYPE + """,
+mv AS (
+  SELECT a.symbol, a.t, h.horizon, (b.close - a.close) / a.range_scale AS move,
+         CASE WHEN a.close > a.open AND a.delta < 0 THEN 'buy' WHEN a.close < a.open AND a.delta > 0 THEN 'sell' ELSE 'none' END AS state
+  FROM scaled a, (VALUES (1), (4), (12)) h(horizon), scaled b
+  WHERE b.symbol = a.symbol AND b.rn = a.rn + h.horizon AND a.range_scale IS NOT NULL)"""
+
+REPORT = """count(*) AS n, round(avg(move), 6) AS mean, round(quantile_cont(move, 0.5), 6) AS median,
+       round(avg(CAST(move > 0 AS INT)), 6) AS hit,
+       round(CASE WHEN stddev_samp(move) > 0 THEN avg(move) / (stddev_samp(move) / sqrt(count(*))) END, 6) AS t"""
+
+SQL["forward_returns"] = MOVES + f"""
+SELECT symbol, state, CAST(horizon AS BIGINT) AS horizon, CASE WHEN t < {SEAL} THEN 'early' ELSE 'late' END AS era, {REPORT}
+FROM mv GROUP BY 1, 2, 3, 4""".replace("t < " + SEAL, "mv.t < " + SEAL)
+
+SQL["signal_episodes"] = MOVES + """,
+m4 AS (SELECT * FROM mv WHERE horizon = 4),
+fl AS (SELECT *, CAST(state IS DISTINCT FROM lag(state) OVER (PARTITION BY symbol ORDER BY t) AS INT) AS f FROM m4),
+ep AS (SELECT *, sum(f) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS e FROM fl),
+tot AS (SELECT symbol, state, e, sum(move) AS total FROM ep GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, state ORDER BY total DESC, e) AS r FROM tot)
+SELECT symbol, state, count(*) AS episodes, round(sum(total), 6) AS total,
+       round(CASE WHEN sum(total) <> 0 THEN sum(CASE WHEN r <= 5 THEN total END) / sum(total) END, 6) AS top_share
+FROM rk GROUP BY 1, 2"""
+
+
+def _eff(n: int, off: int) -> str:
+    w = (f"OVER (PARTITION BY symbol, session_id ORDER BY t ROWS BETWEEN {n - 1 + off} PRECEDING AND "
+         + (f"{off} PRECEDING)" if off else "CURRENT ROW)"))
+    return (f"CASE WHEN count(*) {w} = {n} AND sum(high - low) {w} > 0 THEN "
+            f"(max(high) {w} - min(low) {w}) / sum(high - low) {w} END")
+
+
+def _window_study() -> str:
+    parts = []
+    for n in (2, 3, 4):
+        parts.append(f"""SELECT symbol, {n} AS n, count(*) FILTER (WHERE ev) AS events, count(*) FILTER (WHERE ev AND ok) AS confirmed FROM (
+  SELECT symbol, sd <> 0 AND lag(sd) OVER (PARTITION BY symbol, session_id ORDER BY t) = 0 AS ev,
+         CASE WHEN sd = 1 THEN max(s4) OVER w = 1 ELSE min(s4) OVER w = -1 END AS ok
+  FROM (SELECT *, CASE WHEN r > 2 THEN 1 WHEN r < 0.5 THEN -1 WHEN r IS NOT NULL THEN 0 END AS sd,
+               CASE WHEN r4 > 2 THEN 1 WHEN r4 < 0.5 THEN -1 WHEN r4 IS NOT NULL THEN 0 END AS s4
+        FROM (SELECT symbol, session_id, t, {_eff(n, 0)} / nullif({_eff(n, n)}, 0) AS r,
+                     {_eff(4 * n, 0)} / nullif({_eff(4 * n, 4 * n)}, 0) AS r4 FROM sess WHERE session_id IS NOT NULL))
+  WINDOW w AS (PARTITION BY symbol, session_id ORDER BY t ROWS BETWEEN {n} PRECEDING AND {n} FOLLOWING)) GROUP BY 1""")
+    return "SELECT symbol, CAST(n AS BIGINT) AS n, events, confirmed FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+SQL["window_length_study"] = "WITH " + bars_cte() + sessions_cte() + " " + _window_study()
+
+SQL["similar_sessions"] = CARD + """,
+fc AS (SELECT symbol, session, session_bars, session_id, session_range a, session_net b, session_closed_ratio c FROM card
+       WHERE session_range IS NOT NULL AND session_net IS NOT NULL AND session_closed_ratio IS NOT NULL),
+z AS (SELECT symbol, session, session_bars, session_id,
+             coalesce((a - avg(a) OVER w) / nullif(stddev_samp(a) OVER w, 0), 0.0) AS a,
+             coalesce((b - avg(b) OVER w) / nullif(stddev_samp(b) OVER w, 0), 0.0) AS b,
+             coalesce((c - avg(c) OVER w) / nullif(stddev_samp(c) OVER w, 0), 0.0) AS c
+      FROM fc WINDOW w AS (PARTITION BY symbol, session, session_bars)),
+nw AS (SELECT symbol, session, max(session_id) AS q FROM card GROUP BY 1, 2),
+d AS (SELECT z.symbol, z.session, z.session_bars, z.session_id,
+             round(sqrt((z.a - y.a) ** 2 + (z.b - y.b) ** 2 + (z.c - y.c) ** 2), 9) AS distance
+      FROM z JOIN nw ON nw.symbol = z.symbol AND nw.session = z.session
+      JOIN z y ON y.symbol = z.symbol AND y.session = z.session AND y.session_bars = z.session_bars AND y.session_id = nw.q
+      WHERE z.session_id <> nw.q)
+SELECT symbol, session, session_bars AS session_bar, session_id,
+       row_number() OVER (PARTITION BY symbol, session, session_bars ORDER BY distance, session_id) AS place,
+       round(distance, 6) AS distance
+FROM d QUALIFY row_number() OVER (PARTITION BY symbol, session, session_bars ORDER BY distance, session_id) <= 3"""
+
+SQL["session_distributions"] = CARD + """
+SELECT symbol, session, session_bars AS session_bar, count(*) AS n, round(avg(session_range), 6) AS mean,
+       round(quantile_cont(session_range, 0.25), 6) AS p25, round(quantile_cont(session_range, 0.5), 6) AS p50,
+       round(quantile_cont(session_range, 0.75), 6) AS p75,
+       round(corr(session_range, session_volume), 6) AS corr
+FROM card WHERE session_range IS NOT NULL GROUP BY 1, 2, 3"""
+
+UNIT = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) / 4294967296.0"
+
+SQL["feature_scan"] = ("WITH " + bars_cte() + scale_cte() + ribbon_cte() + REGIME_CTE + """,
+mv AS (SELECT a.symbol, a.t, (b.close - a.close) / a.range_scale AS move, a.ribbon_align, a.ribbon_agree, a.ribbon_width
+       FROM readings a JOIN readings b ON b.symbol = a.symbol AND b.rn = a.rn + 4 WHERE a.range_scale IS NOT NULL),
+lg AS (SELECT symbol, t, move, 'ribbon_align' AS feature, ribbon_align AS x FROM mv UNION ALL
+       SELECT symbol, t, move, 'ribbon_agree', ribbon_agree FROM mv UNION ALL
+       SELECT symbol, t, move, 'ribbon_width', ribbon_width FROM mv UNION ALL
+       SELECT symbol, t, move, 'placebo', """ + UNIT.format("concat_ws('|', 'placebo', symbol, t)") + f""" FROM mv)
+SELECT symbol, feature, CASE WHEN t < {SEAL} THEN 'train' ELSE 'test' END AS part, count(*) AS n,
+       round(corr(x, move), 6) AS corr_move, round(corr(x, abs(move)), 6) AS corr_size
+FROM lg WHERE x IS NOT NULL GROUP BY 1, 2, 3""")
+
+SQL["seasonality"] = "WITH " + bars_cte() + """
+SELECT symbol, CAST(extract('hour' FROM timezone('America/New_York', to_timestamp(t))) AS BIGINT) AS hour, count(*) AS bars,
+       round(avg(high - low), 6) AS mean_range, round(avg(volume), 6) AS mean_volume, round(avg(close - was), 6) AS mean_change
+FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY t) AS was FROM bars) GROUP BY 1, 2"""
+
+SQL["overnight_returns"] = "WITH " + bars_cte() + sessions_cte() + """,
+ny AS (SELECT symbol, session_id, arg_min(open, t) AS o, arg_max(close, t) AS c FROM sess WHERE session = 'NY' GROUP BY 1, 2)
+SELECT symbol, session_id, o - lag(c) OVER (PARTITION BY symbol ORDER BY session_id) AS overnight, c - o AS intraday FROM ny"""
+
+SQL["sign_flip_null"] = MOVES + f"""
+SELECT symbol, CAST(seed AS BIGINT) AS seed, count(*) AS n,
+       round(avg(CASE WHEN seed = 0 OR {UNIT.format("concat_ws('|', seed, symbol, t)")} < 0.5 THEN move ELSE -move END), 6) AS mean
+FROM mv, range(0, 11) s(seed) WHERE horizon = 4 GROUP BY 1, 2"""
+
+SQL["shuffled_null"] = MOVES + f""",
+sd AS (SELECT symbol, t, state, move, seed, {UNIT.format("concat_ws('|', seed, symbol, t)")} AS u FROM mv, range(1, 4) s(seed) WHERE horizon = 4),
+ps AS (SELECT *, row_number() OVER (PARTITION BY symbol, seed ORDER BY t) AS i,
+              row_number() OVER (PARTITION BY symbol, seed ORDER BY u, t) AS j FROM sd)
+SELECT a.symbol, a.state, CAST(a.seed AS BIGINT) AS seed, count(*) AS n, round(avg(b.move), 6) AS mean
+FROM ps a JOIN ps b ON b.symbol = a.symbol AND b.seed = a.seed AND b.j = a.i GROUP BY 1, 2, 3"""
+
+SQL["autocorrelation"] = "WITH " + bars_cte("event_type", 3600) + """,
+ch AS (SELECT symbol, row_number() OVER w AS i, close - lag(close) OVER w AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t))
+SELECT a.symbol, CAST(k AS BIGINT) AS lag, count(*) AS n, round(corr(a.r, b.r), 6) AS acf, round(corr(abs(a.r), abs(b.r)), 6) AS acf_size
+FROM ch a, range(1, 11) l(k), ch b WHERE b.symbol = a.symbol AND b.i = a.i + k AND a.r IS NOT NULL GROUP BY 1, 2"""
+
+SQL["tearsheet"] = BOOK_SQL + """,
+dy AS (SELECT symbol, CAST(to_timestamp(t) AT TIME ZONE 'UTC' AS DATE) AS day, arg_max(close, t) AS c FROM bars GROUP BY 1, 2),
+ps AS (SELECT symbol, day, (c - lag(c) OVER (PARTITION BY symbol ORDER BY day)) * 20.0 AS passive FROM dy),
+pn AS (SELECT CAST(to_timestamp(exit_time) AT TIME ZONE 'UTC' AS DATE) AS day, sum(pnl_dollars) AS pnl FROM book WHERE k = 0 GROUP BY 1),
+j AS (SELECT ps.symbol, passive, coalesce(pnl, 0.0) AS pnl FROM ps LEFT JOIN pn ON pn.day = ps.day WHERE passive IS NOT NULL)
+SELECT symbol, count(*) AS days, round(regr_intercept(pnl, passive), 6) AS alpha, round(regr_slope(pnl, passive), 6) AS beta,
+       round(corr(pnl, passive), 6) AS corr, round(CASE WHEN stddev_samp(pnl) > 0 THEN avg(pnl) / stddev_samp(pnl) END, 6) AS sharpe
+FROM j GROUP BY 1"""
+
+SQL["average_crosses"] = "WITH " + bars_cte() + scale_cte() + """,
+av AS (SELECT *, CASE WHEN rn >= 20 THEN avg(close) OVER (ORDER BY t ROWS 19 PRECEDING) END AS f,
+              CASE WHEN rn >= 50 THEN avg(close) OVER (ORDER BY t ROWS 49 PRECEDING) END AS s FROM scaled),
+sd AS (SELECT *, CASE WHEN f > s THEN 1 WHEN f < s THEN -1 END AS side FROM av),
+cr AS (SELECT *, last_value(side IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM sd),
+mv AS (SELECT a.symbol, CASE WHEN a.side <> a.was THEN CASE WHEN a.side = 1 THEN 'up' ELSE 'down' END END AS crs,
+              (b.close - a.close) / a.range_scale AS move
+       FROM cr a JOIN cr b ON b.symbol = a.symbol AND b.rn = a.rn + 8 WHERE a.range_scale IS NOT NULL)
+SELECT symbol, event, """ + REPORT + """
+FROM (SELECT symbol, move, 'drift' AS event FROM mv UNION ALL SELECT symbol, move, crs FROM mv WHERE crs IS NOT NULL) GROUP BY 1, 2"""
+
+
+# ---- stores -----------------------------------------------------------------
+
+SQL["tick_file_order"] = SQL["bars_base"]
+SQL["bar_store"] = ("WITH " + bars_cte("event_type", 3600) + rung_cte(14400)
+                    + f"SELECT '4h' AS timeframe, {BAR_COLS} FROM rung WHERE symbol = 'click'")
+SQL["level_store"] = ("WITH " + bars_cte("event_type", 3600) + levels_cte(3600)
+                      + " SELECT symbol, t AS time, tick, volume, buy FROM levels WHERE symbol = 'view'")
+SQL["percentile_store"] = CARD + EXPLORE_HISTORY + f"""
+SELECT symbol, session, 'explore' AS population, CAST({SEAL} AS BIGINT) AS cutoff, max(sessions_used) AS sessions_used,
+       max(session_bars) AS depth FROM hist GROUP BY 1, 2"""
+SQL["catalog_store"] = "WITH " + bars_cte() + sessions_cte() + f"""
+SELECT symbol, sp AS folder, sp AS split, count(*) AS rows, count(DISTINCT session_id) AS sessions FROM (
+  SELECT *, CASE WHEN session_id >= {SEAL} THEN 'sealed' ELSE 'explore' END AS sp FROM sess WHERE session_id IS NOT NULL)
+GROUP BY 1, 2, 3"""
+SQL["run_outputs"] = BOOK_SQL + stats_cte() + """
+SELECT 'ALL' AS symbol, CAST(k AS BIGINT) AS param_id, scope, 'first' AS run_id, n_trades,
+       round(profit_factor, 6) AS profit_factor FROM stats"""
+SQL["instrument_values"] = "WITH " + bars_cte("event_type", 3600) + """
+SELECT CASE WHEN symbol IN ('click', 'view') THEN 'NQ' ELSE 'ES' END AS symbol, 0.25::DOUBLE AS tick_size,
+       CASE WHEN symbol IN ('click', 'view') THEN 5.0 ELSE 12.5 END::DOUBLE AS tick_value,
+       CASE WHEN symbol IN ('click', 'view') THEN 20.0 ELSE 50.0 END::DOUBLE AS point_value, count(*) AS bars,
+       sum(close * CASE WHEN symbol IN ('click', 'view') THEN 20.0 ELSE 50.0 END::DOUBLE) AS value
+FROM bars GROUP BY 1, 2, 3, 4"""
+SQL["orderflow"] = "WITH " + bars_cte("event_type", 3600) + """
+SELECT symbol, t AS time, CASE WHEN symbol <> 'click' THEN delta END AS delta,
+       CASE WHEN symbol <> 'click' THEN buy_volume END AS buy_volume,
+       CASE WHEN symbol <> 'click' THEN sell_volume END AS sell_volume, CASE WHEN symbol <> 'click' THEN trades END AS trades
+FROM bars"""
+SQL["feature_columns"] = "WITH " + bars_cte() + sessions_cte() + """
+SELECT symbol, t AS time, open, high, low, close, volume, session, session_new,
+       (close > open AND delta < 0) OR (close < open AND delta > 0) AS absorption,
+       CASE WHEN close > open AND delta < 0 THEN 'buy' WHEN close < open AND delta > 0 THEN 'sell' END AS absorption_side
+FROM sess"""

@@ -17,6 +17,7 @@ from tickframe.operators import orders as O
 from tickframe.operators import prepare as P
 from tickframe.operators import profile as VP
 from tickframe.operators import quotes as QT
+from tickframe.operators import research as RE
 from tickframe.operators import sessions as S
 from tickframe.operators import stats as Q
 from tickframe.operators import structure as ST
@@ -26,6 +27,7 @@ from tickframe.plans import search as SG
 from tickframe.plans import snapshot as SN
 from tickframe.plans.strategies import breakout
 from tickframe.schemas import FLOW, OHLC
+from tickframe.sources import bars as SB
 from tickframe.sources import capture as CP
 from tickframe.sources import results as RS
 from tickframe.streaming import live as LV
@@ -590,17 +592,18 @@ def captured_trades(spark, sf):
         F.col("event_type").alias("symbolId"), F.col("value").alias("price"), stamp.alias("timestamp"),
         F.pmod("event_id", F.lit(2)).cast("int").alias("type"),
         (1 + F.pmod("user_id", F.lit(7))).alias("volume"))
-    hour = F.date_trunc("hour", "ts")
-    lines = (rows.groupBy(F.col("event_type").alias("contract"), hour.alias("h"))
-             .agg(F.sort_array(F.collect_list(F.struct("event_id", trade.alias("t")))).alias("l"))
-             .select(F.col("h").cast("string").alias("recv"), F.lit(CP.TRADE_EVENT).alias("event"), "contract",
+    # One line carries the contract's trades among 32 consecutive events: never more than 32.
+    lines = (rows.groupBy(F.col("event_type").alias("contract"), F.floor(F.col("event_id") / 32).alias("b"))
+             .agg(F.sort_array(F.collect_list(F.struct("event_id", trade.alias("t")))).alias("l"),
+                  F.max("ts").alias("m"))
+             .select(F.col("m").cast("string").alias("recv"), F.lit(CP.TRADE_EVENT).alias("event"), "contract",
                      F.to_json(F.transform("l", lambda x: x["t"])).alias("payload")))
     path = f"{shared_folder(spark).rstrip('/')}/capture-{uuid.uuid4().hex}"
     lines.write.json(path)
     found = CP.trades(CP.read_capture(spark, path))
     return found.groupBy("symbol", secs(F.date_trunc("hour", "ts")).alias("time")).agg(
         F.count(F.lit(1)).alias("trades"), F.sum("volume").alias("volume"),
-        F.sum(F.col("volume") * F.col("side")).alias("delta"), F.min_by("price", "at").alias("first_price"))
+        F.sum(F.col("volume") * F.col("side")).alias("delta"), F.min_by("price", "ts").alias("first_price"))
 
 
 def _thirds(rows: DataFrame) -> list[DataFrame]:
@@ -662,3 +665,231 @@ def snapshot(spark, sf):
                   "session_efficiency_recent", "session_poc", "session_range_percentile", "session_travel_budget"),
         F.round(F.get("ma", F.lit(0)), 6).alias("ma_50"),
         F.size("session_hvn").cast("long").alias("n_hvn"))
+
+
+# ---- audits and studies -----------------------------------------------------
+
+@query
+def bar_audit(spark, sf):
+    """Bars with some spoiled on purpose, so that every check has something to find."""
+    base = M.bars(spark, sf, "event_type", 3600)
+    n = F.pmod(F.floor(secs("ts") / 3600), F.lit(50))
+    spoiled = (base.withColumn("high", F.when(n == 1, F.col("low") - 1).otherwise(F.col("high")))
+               .withColumn("close", F.when(n == 2, F.lit(float("nan"))).otherwise(F.col("close")))
+               .withColumn("volume", F.when(n == 3, 0).when(n == 4, -1).otherwise(F.col("volume")).cast("long"))
+               .withColumn("low", F.when(n == 5, -1.0).otherwise(F.col("low"))))
+    return RE.audit(spoiled.unionByName(spoiled.where(n == 6)))
+
+
+@query
+def gap_lengths(spark, sf):
+    return RE.gap_lengths(M.bars(spark, sf, "event_type", 3600), 3600)
+
+
+@query
+def source_reconciliation(spark, sf):
+    """Bars from all trades against bars from a feed that lost every 50th."""
+    rows = settle(B.back_adjust(M.ticks(spark, sf)))
+    found = RE.reconcile(B.fold_ticks(rows, 3600),
+                         B.fold_ticks(rows.where(F.pmod("seq", F.lit(50)) != 7), 3600))
+    return found.select("symbol", "shared", "only_left", "only_right", "volume_difference", *_rounded(
+        "match_open", "match_high", "match_low", "match_close", "match_volume", "match_all"))
+
+
+@query
+def first_touch(spark, sf):
+    rows = _scaled(M.bars(spark, sf, "event_type", 3600), 3600)
+    return RE.first_touch(rows, 2.0).select("symbol", F.col("at").alias("time"), "label", "touched")
+
+
+def _moves(spark, sf) -> DataFrame:
+    rows = X.absorption(_scaled(M.bars(spark, sf, "event_type", 3600), 3600))
+    rows = rows.withColumn("state", F.coalesce("absorption_side", F.lit("none")))
+    return settle(RE.forward_moves(rows, (1, 4, 12), ["state"]))
+
+
+@query
+def forward_returns(spark, sf):
+    era = F.when(F.col("ts") < F.lit(M.SEALED_FROM).cast("timestamp"), "early").otherwise("late")
+    found = RE.by_state(_moves(spark, sf).withColumn("era", era), ["symbol", "state", "horizon", "era"])
+    return found.select("symbol", "state", F.col("horizon").cast("long").alias("horizon"), "era", "n",
+                        *_rounded("mean", "median", "hit", "t"))
+
+
+@query
+def signal_episodes(spark, sf):
+    one = _moves(spark, sf).where("horizon = 4")
+    found = settle(RE.episodes(one, "state"))
+    return RE.concentration(found, "state").select("symbol", "state", "episodes", *_rounded("total", "top_share"))
+
+
+@query
+def window_length_study(spark, sf):
+    rows = settle(_sessions(M.bars(spark, sf)))
+    return RE.window_study(rows, (2, 3, 4)).withColumn("n", F.col("n").cast("long"))
+
+
+CARD_FEATURES = ("session_range", "session_net", "session_closed_ratio")
+
+
+@query
+def similar_sessions(spark, sf):
+    found = RE.similar_sessions(settle(_card(spark, sf)), CARD_FEATURES, 3)
+    return found.select("symbol", "session", "session_bar", "session_id", "place",
+                        F.round("distance", 6).alias("distance"))
+
+
+@query
+def session_distributions(spark, sf):
+    found = RE.distributions(_card(spark, sf), "session_range", "session_volume")
+    return found.select("symbol", "session", "session_bar", "n", *_rounded("mean", "p25", "p50", "p75", "corr"))
+
+
+@query
+def feature_scan(spark, sf):
+    rows = _regime(spark, sf)
+    moves = RE.forward_moves(rows, (4,), ["ribbon_align", "ribbon_agree", "ribbon_width"])
+    found = RE.feature_scan(moves, ["ribbon_align", "ribbon_agree", "ribbon_width"],
+                            F.lit(M.SEALED_FROM).cast("timestamp"))
+    return found.select("symbol", "feature", "part", "n", *_rounded("corr_move", "corr_size"))
+
+
+@query
+def seasonality(spark, sf):
+    return RE.seasonality(M.bars(spark, sf)).select(
+        "symbol", "hour", "bars", *_rounded("mean_range", "mean_volume", "mean_change"))
+
+
+@query
+def overnight_returns(spark, sf):
+    return RE.overnight(settle(S.instances(_sessions(M.bars(spark, sf)))), "NY")
+
+
+@query
+def sign_flip_null(spark, sf):
+    found = RE.sign_flipped(_moves(spark, sf).where("horizon = 4"), 10)
+    return found.select("symbol", F.col("seed").cast("long").alias("seed"), "n", *_rounded("mean"))
+
+
+@query
+def shuffled_null(spark, sf):
+    found = RE.shuffled(_moves(spark, sf).where("horizon = 4"), "state", 3)
+    return found.select("symbol", "state", F.col("seed").cast("long").alias("seed"), "n", *_rounded("mean"))
+
+
+@query
+def autocorrelation(spark, sf):
+    rows = settle(number_rows(M.bars(spark, sf, "event_type", 3600), ["symbol"]))
+    return RE.autocorrelation(rows, range(1, 11)).select(
+        "symbol", F.col("lag").cast("long").alias("lag"), "n", *_rounded("acf", "acf_size"))
+
+
+@query
+def tearsheet(spark, sf):
+    bars = _tradable(spark, sf)
+    trades = O.trade_book(breakout(bars, SG.expand(GRID)), keys=["symbol", "param_id"], **BOOK)
+    return RE.tearsheet(trades.where("param_id = 0"), bars, M.POINT_VALUE).select(
+        "symbol", "days", *_rounded("alpha", "beta", "corr", "sharpe"))
+
+
+@query
+def average_crosses(spark, sf):
+    rows = settle(X.named_averages(_scaled(M.bars(spark, sf), M.STEP), (20, 50)))
+    crossed = RE.average_crosses(rows, F.get("ma", F.lit(0)), F.get("ma", F.lit(1)))
+    moves = RE.forward_moves(settle(crossed), (8,), ["cross"])
+    both = moves.withColumn("event", F.explode(F.array_compact(F.array(F.lit("drift"), F.col("cross")))))
+    return RE.by_state(both, ["symbol", "event"]).select("symbol", "event", "n", *_rounded("mean", "median", "hit", "t"))
+
+
+# ---- stores -----------------------------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def tick_file_order(spark, sf):
+    """Ticks written in time order, read back with file order as ``seq``, folded to bars."""
+    path = _folder(spark, "ticks")
+    rows = M.ticks(spark, sf)
+    (rows.repartitionByRange("ts", "seq").sortWithinPartitions("ts", "seq")
+     .select("symbol", *SB.TICK_COLUMNS).write.parquet(path))
+    return _bars_out(B.fold_ticks(B.back_adjust(SB.read_ticks(spark, path)), 3600))
+
+
+@query
+def bar_store(spark, sf):
+    """Bars written by symbol and timeframe; one series read back by partition pruning."""
+    root = _folder(spark, "bars")
+    base = M.bars(spark, sf, "event_type", 3600)
+    SB.write_bars(base.withColumn("timeframe", F.lit("60m")).unionByName(
+        B.derive(base, 14400, 3600).withColumn("timeframe", F.lit("4h"))), root)
+    return _bars_out(SB.normalise(SB.read_bars(spark, root, "click", "4h")), "timeframe")
+
+
+@query
+def level_store(spark, sf):
+    root = _folder(spark, "levels")
+    SB.write_levels(M.levels(spark, sf, "event_type", 3600), root)
+    return SB.read_levels(spark, root, "view").select("symbol", _time(), "tick", "volume", "buy")
+
+
+@query
+def percentile_store(spark, sf):
+    """Both populations stored apart; the asked one describes itself."""
+    root = _folder(spark, "percentiles")
+    rows = settle(_card(spark, sf))
+    RS.write_percentiles(H.percentile_table(rows, population=H.FULL, cutoff=_cutoff()).unionByName(
+        H.percentile_table(rows, population=H.EXPLORE, cutoff=_cutoff())), root)
+    return RS.describe_percentiles(RS.read_percentiles(spark, root, H.EXPLORE)).select(
+        "symbol", "session", "population", secs("cutoff").alias("cutoff"), "sessions_used", "depth")
+
+
+@query
+def catalog_store(spark, sf):
+    """Explore and sealed rows end in separate folders."""
+    root = _folder(spark, "catalog")
+    rows = _sessions(M.bars(spark, sf)).where("session_id is not null")
+    made = settle(rows.withColumn("split", H.split_label(_cutoff())).select("symbol", "ts", "session_id", "split"))
+    RS.write_catalog(made, root, include_sealed=True)
+    both = [spark.read.parquet(f"{root}/{p}").withColumn("folder", F.lit(p)) for p in (H.EXPLORE, H.SEALED)]
+    return both[0].unionByName(both[1]).groupBy("symbol", "folder", "split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("session_id").alias("sessions"))
+
+
+@query
+def run_outputs(spark, sf):
+    """Statistics written as JSON under a run id; infinities come back null."""
+    path = _folder(spark, "runs")
+    found = Q.summarise(_trades(spark, sf), ["symbol", "param_id"])
+    RS.write_results(found, path, "first", "json")
+    back = spark.read.json(path)
+    return back.select("symbol", F.col("param_id").cast("long").alias("param_id"), "scope", "run_id",
+                       "n_trades", F.round("profit_factor", 6).alias("profit_factor"))
+
+
+@query
+def instrument_values(spark, sf):
+    """Traded value through the instrument table."""
+    base = M.bars(spark, sf, "event_type", 3600)
+    named = base.withColumn("symbol", F.when(F.col("symbol").isin("click", "view"), "NQ").otherwise("ES"))
+    return SB.with_instrument(named).groupBy("symbol", "tick_size", "tick_value", "point_value").agg(
+        F.count(F.lit(1)).alias("bars"), F.sum(F.col("close") * F.col("point_value")).alias("value"))
+
+
+@query
+def orderflow(spark, sf):
+    """Flow columns as recorded, null where a bar carries none."""
+    base = M.bars(spark, sf, "event_type", 3600)
+    bare = base.where("symbol = 'click'").drop(*FLOW)
+    both = SB.normalise(bare).unionByName(SB.normalise(base.where("symbol <> 'click'")))
+    return both.select("symbol", _time(), *FLOW)
+
+
+@query
+def feature_columns(spark, sf):
+    """Projection to two feature groups; nothing else is computed."""
+    rows = SN.snapshot(M.bars(spark, sf), M.STEP, only=["sessions", "absorption"])
+    shown = SB.columns_for({g: list(f) for g, f in SN.GROUPS.items()}, only=["sessions", "absorption"],
+                           details=SN.DETAILS)
+    return rows.select(*shown).withColumn("ts", secs("ts")).withColumnRenamed("ts", "time")
