@@ -84,11 +84,10 @@ def regime_readings(bars: DataFrame) -> DataFrame:
     def score(left, right):
         return F.aggregate(F.zip_with(left, right, _sign), F.lit(0), lambda s, x: s + x)
 
-    return (bars
-            .withColumn("ribbon_align", F.when(warm, score(heads, tails) / (n - 1)))
-            .withColumn("ribbon_agree", F.when(warm, score(now, was) / n))
-            .withColumn("ribbon_width", F.when(
-                warm, (F.array_max(now) - F.array_min(now)) / F.col("range_scale"))))
+    return bars.withColumns({
+        "ribbon_align": F.when(warm, score(heads, tails) / (n - 1)),
+        "ribbon_agree": F.when(warm, score(now, was) / n),
+        "ribbon_width": F.when(warm, (F.array_max(now) - F.array_min(now)) / F.col("range_scale"))})
 
 
 def regime_class():

@@ -32,6 +32,13 @@ def _pieces(frame: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, p
         yield tuple(piece[k].iloc[0] for k in keys), piece
 
 
+def _gather(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Whole keys per partition, sorted. The partition count is named, so that small rows with
+    costly folds are not merged into few tasks by their size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  make: Callable[[], object], schema: T.StructType) -> DataFrame:
     """Run one fold per key, rows in ``order``. Output columns are exactly ``schema``.
@@ -58,8 +65,7 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     yield out[names]
         yield from rest(fold, current)
 
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
-            .mapInPandas(run, schema))
+    return _gather(df, keys, order).mapInPandas(run, schema)
 
 
 def chunked_fold(df: DataFrame, keys: Sequence[str], number: str, make: Callable[[], object],
@@ -77,7 +83,6 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], number: str, make: Callable
     data = settle(df.withColumn("_block", F.floor(F.col(number) / block)))
     key_fields = [f for f in data.schema.fields if f.name in by]
     end_schema = T.StructType([*key_fields, T.StructField("_end", T.StringType())])
-    sorted_by = [*by, number]
 
     def ends(batches):
         current, fold = None, None
@@ -95,8 +100,7 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], number: str, make: Callable
             yield pd.DataFrame([[*current, fold.save()]], columns=[*by, "_end"])
 
     def run_ends(rows: DataFrame) -> DataFrame:
-        return (rows.repartition(*by).sortWithinPartitions(*sorted_by)
-                .mapInPandas(ends, end_schema))
+        return _gather(rows, by, [number]).mapInPandas(ends, end_schema)
 
     before = Window.partitionBy(*keys).orderBy("_block")
     none = F.lit(None).cast("string")
@@ -125,5 +129,4 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], number: str, make: Callable
                 if len(out):
                     yield out[names]
 
-    return (data.join(state.select(*by, "_start"), by)
-            .repartition(*by).sortWithinPartitions(*sorted_by).mapInPandas(produce, schema))
+    return _gather(data.join(state.select(*by, "_start"), by), by, [number]).mapInPandas(produce, schema)

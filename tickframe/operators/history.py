@@ -106,5 +106,5 @@ def sample_sessions(sessions: DataFrame, k: int, seed: int) -> DataFrame:
     """
     if sessions.isEmpty():
         raise LookupError("no session to sample from")
-    return sessions.orderBy(F.xxhash64(F.lit(seed), "symbol", "session_id"),
-                            "symbol", "session_id").limit(k)
+    drawn = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), "symbol", F.col("session_id").cast("string")))
+    return sessions.orderBy(drawn, "symbol", "session_id").limit(k)

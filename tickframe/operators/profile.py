@@ -102,23 +102,46 @@ def readings(profiles: DataFrame, close: str | None = "close") -> DataFrame:
     scale, poc = F.col("range_scale"), F.col("poc")
     low, high = F.get("bins", F.lit(0))["price"], F.get("bins", F.size("bins") - 1)["price"]
     at = F.get("bins", F.col("poc_at"))
-    out = (profiles
-           .withColumn("value_width", (F.col("vah") - F.col("val")) / scale)
-           .withColumn("poc_position", F.when(high != low, (poc - low) / (high - low)))
-           .withColumn("delta_at_poc", F.when(
-               at["volume"] > 0, (2 * at["buy"] - at["volume"]) / at["volume"])))
-    if close is None:
-        return out
-    c = F.col(close)
-    return (out.withColumn("poc_distance", (c - poc) / scale)
-            .withColumn("price_vs_value", F.when(c > F.col("vah"), "above")
-                        .when(c < F.col("val"), "below").when(poc.isNotNull(), "inside")))
+    out = {
+        "value_width": (F.col("vah") - F.col("val")) / scale,
+        "poc_position": F.when(high != low, (poc - low) / (high - low)),
+        "delta_at_poc": F.when(at["volume"] > 0, (2 * at["buy"] - at["volume"]) / at["volume"])}
+    if close is not None:
+        c = F.col(close)
+        out |= {
+            "poc_distance": (c - poc) / scale,
+            "price_vs_value": F.when(c > F.col("vah"), "above").when(c < F.col("val"), "below")
+                               .when(poc.isNotNull(), "inside")}
+    return profiles.withColumns(out)
 
 
 # ---- developing profiles ----------------------------------------------------
 
+def _area(volumes: np.ndarray, coverage: float = config.VALUE_AREA) -> tuple[int, int, int]:
+    """Positions of (poc, val, vah), by the rule of ``functions.columns.value_area``."""
+    v = volumes.tolist()
+    n = len(v)
+    peak = max(v)
+    at = min((i for i in range(n) if v[i] == peak), key=lambda i: (abs(2 * i - n + 1), i))
+    lo = hi = at
+    inside, target = v[at], sum(v) * coverage
+    while inside < target and hi - lo < n - 1:
+        above = v[hi + 1] if hi + 1 < n else -1
+        below = v[lo - 1] if lo else -1
+        if above >= below:
+            hi += 1
+            inside += above
+        else:
+            lo -= 1
+            inside += below
+    return at, lo, hi
+
+
 class HistogramFold:
-    """Running histogram of one range. Emits, for published bars, the bins at that bar's scale."""
+    """Running histogram of one range. Emits, for published bars, the bins at that bar's scale
+    and their value area (a bar's bins are at hand here; see ``summarise`` for stored profiles)."""
+
+    OUT = ("from_time", "poc", "val", "vah", "poc_at", "profile_volume", "prices", "bin_volumes", "bin_buys")
 
     def __init__(self, bins_per_scale: int = config.BINS_PER_SCALE,
                  tick_size: float = config.TICK_SIZE):
@@ -151,10 +174,13 @@ class HistogramFold:
                         cell[0] += v
                         cell[1] += b
             if publish and self.held and scale is not None and scale == scale:
+                prices, volumes, buys = self._bins(scale)
+                at, lo, hi = _area(volumes)
                 kept.append(i)
-                made.append((self.first, *self._bins(scale)))
+                made.append((self.first, prices[at], prices[lo], prices[hi], at, int(volumes.sum()),
+                             prices, volumes, buys))
         out = frame.iloc[kept].copy()
-        for j, name in enumerate(("from_time", "prices", "bin_volumes", "bin_buys")):
+        for j, name in enumerate(self.OUT):
             out[name] = [m[j] for m in made]
         return out
 
@@ -170,19 +196,24 @@ def nest_levels(levels: DataFrame) -> DataFrame:
 def developing(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Profile so far on every published bar, one independent histogram per ``keys``.
 
-    ``rows``: keys, ts, range_scale, publish, ticks, volumes, buys. Adds from_time, to_time, bins.
+    ``rows``: keys, ts, range_scale, publish, ticks, volumes, buys. Gives from_time, to_time,
+    poc, val, vah, poc_at, profile_volume and bins.
     """
     needed = rows.select(*keys, "ts", secs("ts").alias("time"), "range_scale", "publish",
                          "ticks", "volumes", "buys")
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([
         *[needed.schema[k] for k in keys], T.StructField("ts", T.TimestampType()),
-        T.StructField("from_time", T.LongType()), T.StructField("prices", T.ArrayType(T.DoubleType())),
+        T.StructField("from_time", T.LongType()), T.StructField("poc", T.DoubleType()),
+        T.StructField("val", T.DoubleType()), T.StructField("vah", T.DoubleType()),
+        T.StructField("poc_at", T.IntegerType()), T.StructField("profile_volume", T.LongType()),
+        T.StructField("prices", T.ArrayType(T.DoubleType())),
         T.StructField("bin_volumes", longs), T.StructField("bin_buys", longs)])
     done = ordered_fold(needed, keys, ["ts"], HistogramFold, schema)
     zipped = F.arrays_zip(F.col("prices").alias("price"), F.col("bin_volumes").alias("volume"),
                           F.col("bin_buys").alias("buy"))
-    return done.select(*keys, "ts", "from_time", secs("ts").alias("to_time"), zipped.alias("bins"))
+    return done.select(*keys, "ts", "from_time", secs("ts").alias("to_time"), "poc", "val", "vah",
+                       "poc_at", "profile_volume", zipped.alias("bins"))
 
 
 def _turns(bars: DataFrame, nested: DataFrame) -> DataFrame:
@@ -217,7 +248,7 @@ def swing_profiles(bars: DataFrame, nested: DataFrame) -> DataFrame:
     ).otherwise(F.array(F.struct(F.col("confirmed").alias("range_no"), F.lit(True).alias("publish"))))
     fed = rows.select("symbol", "ts", "range_scale", "ticks", "volumes", "buys",
                       F.explode(feeds).alias("f")).select("*", "f.*").drop("f")
-    made = summarise(developing(fed, ["symbol", "range_no"]))
+    made = developing(fed, ["symbol", "range_no"])
     return readings(made.join(rows.select("symbol", "ts", "close", "range_scale"), ["symbol", "ts"]))
 
 

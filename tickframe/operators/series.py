@@ -50,17 +50,18 @@ def _local(spec: Running, order_w, frame):
     return _AGG[spec.kind](spec.value).over(frame)
 
 
-def _summary(spec: Running, order: Sequence[str]):
-    at = F.struct(*order)
+def _summary(spec: Running, at: Column):
     if spec.kind == "prev":
-        return F.max_by(F.struct(spec.value.alias("v")), at)
+        return F.max_by(spec.value, at)
     if spec.kind == "last":
         return F.max_by(spec.value, F.when(spec.value.isNotNull(), at))
     return _AGG[spec.kind](spec.value)
 
 
-def _carry(spec: Running, column: str, frame):
-    if spec.kind in ("prev", "last"):
+def _carry(spec: Running, column: str, slices, frame):
+    if spec.kind == "prev":
+        return F.lag(column).over(slices)
+    if spec.kind == "last":
         return F.last(column, ignorenulls=True).over(frame)
     return _AGG[spec.kind](column).over(frame)
 
@@ -68,7 +69,7 @@ def _carry(spec: Running, column: str, frame):
 def _combine(spec: Running, local: str, carry: str):
     a, b = F.col(local), F.col(carry)
     if spec.kind == "prev":
-        return F.coalesce(a, b)["v"]
+        return F.when(a.isNotNull(), a["v"]).otherwise(b)
     if spec.kind == "last":
         return F.coalesce(a, b)
     if spec.kind == "sum":
@@ -89,12 +90,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               True: order_w.rowsBetween(Window.unboundedPreceding, -1)}
     local = sliced.select("*", *[
         _local(s, order_w, frames[s.before]).alias(f"_l_{n}") for n, s in specs.items()])
+    # One long as the sort key keeps the summary a hash aggregation.
+    at = F.unix_micros(time) if list(order) == [time] else F.struct(*order)
     totals = sliced.groupBy(*by).agg(*[
-        _summary(s, order).alias(f"_t_{n}") for n, s in specs.items()])
-    earlier = (Window.partitionBy(*keys).orderBy("_slice")
-               .rowsBetween(Window.unboundedPreceding, -1))
+        _summary(s, at).alias(f"_t_{n}") for n, s in specs.items()])
+    slices = Window.partitionBy(*keys).orderBy("_slice")
+    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*by, *[
-        _carry(s, f"_t_{n}", earlier).alias(f"_c_{n}") for n, s in specs.items()])
+        _carry(s, f"_t_{n}", slices, earlier).alias(f"_c_{n}") for n, s in specs.items()])
     keep = [c for c in df.columns if c not in specs]
     return local.join(carried, by, "left").select(*keep, *[
         _combine(s, f"_l_{n}", f"_c_{n}").alias(n) for n, s in specs.items()])

@@ -1170,3 +1170,9 @@ SELECT symbol, t AS time, open, high, low, close, volume, session, session_new,
        (close > open AND delta < 0) OR (close < open AND delta > 0) AS absorption,
        CASE WHEN close > open AND delta < 0 THEN 'buy' WHEN close < open AND delta > 0 THEN 'sell' END AS absorption_side
 FROM sess"""
+
+SQL["explore_sample"] = "WITH " + bars_cte() + sessions_cte() + f"""
+SELECT symbol, session_id, session, 'explore' AS split, bars FROM (
+  SELECT symbol, session_id, session, count(*) AS bars FROM sess
+  WHERE session = 'NY' AND session_id < {SEAL} GROUP BY 1, 2, 3)
+ORDER BY md5(concat_ws('|', 7, symbol, session_id)), symbol, session_id LIMIT 5"""

@@ -443,7 +443,8 @@ def session_catalog(spark, sf):
 @query
 def explore_sample(spark, sf):
     found = settle(S.instances(_sessions(M.bars(spark, sf))))
-    return H.sample_sessions(H.explore_sessions(found, _cutoff(), "NY"), 5, 7)
+    return H.sample_sessions(H.explore_sessions(found, _cutoff(), "NY"), 5, 7).select(
+        "symbol", "session_id", "session", "split", "bars")
 
 
 # ---- orders, trades, search -------------------------------------------------
