@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from tickframe import config
 from tickframe.functions.columns import aggressor, close_label, tick_index
-from tickframe.operators.series import secs
+from tickframe.operators.series import secs, settle
 from tickframe.schemas import FLOW, OHLC
 
 
+def anchors(ticks: DataFrame) -> DataFrame:
+    """Offset of the newest roll segment per symbol; reads two columns only."""
+    return ticks.groupBy("symbol").agg(F.max("adj").alias("anchor"))
+
+
 def back_adjust(ticks: DataFrame) -> DataFrame:
     """Shift every roll segment onto the newest one: ``price - adj + anchor``.
 
-    The aggressor side is taken first, from the raw quote. The anchor is one row per symbol.
+    The aggressor side is taken first, from the raw quote. The anchors are written out, so the
+    join knows their true size: a short list is broadcast and the ticks are not shuffled for it.
     """
-    anchor = ticks.groupBy("symbol").agg(F.max("adj").alias("anchor"))
     return (ticks.withColumn("side", aggressor())
-            .join(anchor, "symbol")
+            .join(settle(anchors(ticks)), "symbol")
             .withColumn("price", F.col("price") - F.col("adj") + F.col("anchor"))
             .drop("anchor"))
 
@@ -37,20 +42,23 @@ def _flow_sums(side):
 
 
 def fold_ticks(ticks: DataFrame, step: int) -> DataFrame:
-    """Bars of ``step`` seconds from trades; ``seq`` (file order) resolves equal timestamps.
+    """Back-adjusted bars of ``step`` seconds; ``seq`` (file order) resolves equal timestamps.
 
     One hash aggregation with map-side partials: a hot symbol shrinks to its bars before the
-    shuffle, so no task sees its ticks together.
+    shuffle, so no task sees its ticks together. Adding the anchor keeps the order of prices, so
+    ticks are folded net of their own offset and only the bars meet the anchor.
     """
     side = F.col("side") if "side" in ticks.columns else aggressor()
-    return (ticks.select("symbol", close_label("ts", step).alias("label"), "seq", "price",
+    net = (F.col("price") - F.col("adj")).alias("price")
+    bars = (ticks.select("symbol", close_label("ts", step).alias("label"), "seq", net,
                          "volume", side.alias("side"))
             .groupBy("symbol", "label")
             .agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"),
                  F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
-                 *_flow_sums(F.col("side")))
-            .withColumnRenamed("label", "ts")
-            .select("symbol", "ts", *OHLC, "volume", *FLOW))
+                 *_flow_sums(F.col("side"))))
+    return bars.join(anchors(ticks), "symbol").select(
+        "symbol", F.col("label").alias("ts"), *[(F.col(c) + F.col("anchor")).alias(c) for c in OHLC],
+        "volume", *FLOW)
 
 
 def _whole(step: int, base: int) -> None:

@@ -52,7 +52,7 @@ def ticks(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame
 
 def bars(spark: SparkSession, sf_dir: str, by: str = "ALL", step: int = STEP) -> DataFrame:
     """Base bars, written once and read back: everything downstream reads them repeatedly."""
-    return settle(B.fold_ticks(B.back_adjust(ticks(spark, sf_dir, by)), step))
+    return settle(B.fold_ticks(ticks(spark, sf_dir, by), step))
 
 
 def levels(spark: SparkSession, sf_dir: str, by: str = "ALL", step: int = STEP) -> DataFrame:

@@ -62,7 +62,7 @@ def back_adjusted_prices(spark, sf):
 
 @query
 def bars_base(spark, sf):
-    return _bars_out(B.fold_ticks(B.back_adjust(M.ticks(spark, sf)), 3600))
+    return _bars_out(B.fold_ticks(M.ticks(spark, sf), 3600))
 
 
 @query
@@ -690,7 +690,7 @@ def gap_lengths(spark, sf):
 @query
 def source_reconciliation(spark, sf):
     """Bars from all trades against bars from a feed that lost every 50th."""
-    rows = settle(B.back_adjust(M.ticks(spark, sf)))
+    rows = M.ticks(spark, sf)
     found = RE.reconcile(B.fold_ticks(rows, 3600),
                          B.fold_ticks(rows.where(F.pmod("seq", F.lit(50)) != 7), 3600))
     return found.select("symbol", "shared", "only_left", "only_right", "volume_difference", *_rounded(
@@ -815,7 +815,7 @@ def tick_file_order(spark, sf):
     rows = M.ticks(spark, sf)
     (rows.repartitionByRange("ts", "seq").sortWithinPartitions("ts", "seq")
      .select("symbol", *SB.TICK_COLUMNS).write.parquet(path))
-    return _bars_out(B.fold_ticks(B.back_adjust(SB.read_ticks(spark, path)), 3600))
+    return _bars_out(B.fold_ticks(SB.read_ticks(spark, path), 3600))
 
 
 @query
