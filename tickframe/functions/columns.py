@@ -65,9 +65,8 @@ def value_area(levels: Column, coverage: float = config.VALUE_AREA) -> Column:
     band grows one neighbour at a time, the fuller side first and upwards on a tie, until it
     holds ``coverage`` of the volume. Null when nothing traded.
     """
-    vols = F.transform(levels, lambda x: x["volume"].cast("double"))
-    prices = F.transform(levels, lambda x: x["price"])
     n = F.size(levels)
+    total = F.aggregate(levels, F.lit(0.0), lambda a, x: a + x["volume"])
 
     def grow(work: Column) -> Column:
         v, target = work["vols"], work["target"]
@@ -88,16 +87,20 @@ def value_area(levels: Column, coverage: float = config.VALUE_AREA) -> Column:
                          F.get(v, work["at"]).alias("inside"))
         return F.aggregate(F.sequence(F.lit(1), F.size(v)), start, step)
 
-    peak = F.array_max(vols)
-    middle = (n - 1) / F.lit(2.0)
-    ranked = F.transform(vols, lambda x, i: F.struct(
-        F.when(x == peak, F.abs(i - middle)).otherwise(F.lit(float("inf"))).alias("far"),
-        i.alias("i")))
-    at = F.array_min(ranked)["i"]
-    total = F.aggregate(vols, F.lit(0.0), lambda a, x: a + x)
-    # A one-element array binds the shared parts once instead of copying them into the lambda.
-    work = F.array(F.struct(vols.alias("vols"), prices.alias("prices"), at.alias("at"),
-                            (total * coverage).alias("target")))
+    def nearest_peak(w: Column) -> Column:
+        middle = (F.size(w["vols"]) - 1) / F.lit(2.0)
+        return F.array_min(F.transform(w["vols"], lambda x, i: F.struct(
+            F.when(x == w["peak"], F.abs(i - middle)).otherwise(F.lit(float("inf"))).alias("far"),
+            i.alias("i"))))["i"]
+
+    # One-element arrays bind shared parts once; named inside a lambda they would be computed
+    # anew for every level.
+    vols = F.transform(levels, lambda x: x["volume"].cast("double"))
+    parts = F.transform(F.array(vols), lambda v: F.struct(
+        v.alias("vols"), F.array_max(v).alias("peak")))
+    work = F.transform(parts, lambda w: F.struct(
+        w["vols"].alias("vols"), F.transform(levels, lambda x: x["price"]).alias("prices"),
+        nearest_peak(w).alias("at"), (total * coverage).alias("target")))
     found = F.transform(work, lambda w: F.struct(w.alias("w"), grow(w).alias("g")))
     area = F.transform(found, lambda f: F.struct(
         F.get(f["w"]["prices"], f["w"]["at"]).alias("poc"),

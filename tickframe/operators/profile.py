@@ -75,20 +75,25 @@ def shelves_and_gaps(bins: Column, poc: Column) -> tuple[Column, Column]:
     A shelf holds at least half, a gap at most 15% of the fullest bin; the point of control
     and the two end bins are neither.
     """
-    n = F.size(bins)
-    peak = F.array_max(F.transform(bins, lambda b: b["volume"]))
-
-    def sort(b, i):
-        left, right = F.get(bins, i - 1)["volume"], F.get(bins, i + 1)["volume"]
-        v = b["volume"]
-        middle = (i > 0) & (i < n - 1) & (b["price"] != poc)
-        return F.struct(
-            b["price"].alias("price"),
-            F.when(middle & (v > left) & (v > right) & (v >= config.HVN_MIN_SHARE * peak), 1)
-             .when(middle & (v < left) & (v < right) & (v <= config.LVN_MAX_SHARE * peak), -1)
-             .otherwise(0).alias("kind"))
-
-    kinds = F.transform(bins, sort)
+    def nodes(w: Column) -> Column:
+        levels, n = w["bins"], F.size(w["bins"])
+
+        def sort(b, i):
+            left, right = F.get(levels, i - 1)["volume"], F.get(levels, i + 1)["volume"]
+            v = b["volume"]
+            middle = (i > 0) & (i < n - 1) & (b["price"] != w["poc"])
+            return F.struct(
+                b["price"].alias("price"),
+                F.when(middle & (v > left) & (v > right) & (v >= config.HVN_MIN_SHARE * w["peak"]), 1)
+                 .when(middle & (v < left) & (v < right) & (v <= config.LVN_MAX_SHARE * w["peak"]), -1)
+                 .otherwise(0).alias("kind"))
+
+        return F.transform(levels, sort)
+
+    # The peak is bound once per profile; named inside the lambda it would be found anew per bin.
+    work = F.array(F.struct(bins.alias("bins"), poc.alias("poc"), F.array_max(
+        F.transform(bins, lambda b: b["volume"])).alias("peak")))
+    kinds = F.get(F.transform(work, nodes), F.lit(0))
 
     def of(wanted: int) -> Column:
         found = F.filter(kinds, lambda k: k["kind"] == wanted)
@@ -119,11 +124,10 @@ def readings(profiles: DataFrame, close: str | None = "close") -> DataFrame:
 
 def _area(volumes: np.ndarray, coverage: float = config.VALUE_AREA) -> tuple[int, int, int]:
     """Positions of (poc, val, vah), by the rule of ``functions.columns.value_area``."""
+    n = len(volumes)
+    tied = np.flatnonzero(volumes == volumes.max())
+    lo = hi = at = int(tied[np.argmin(np.abs(2 * tied - n + 1))])
     v = volumes.tolist()
-    n = len(v)
-    peak = max(v)
-    at = min((i for i in range(n) if v[i] == peak), key=lambda i: (abs(2 * i - n + 1), i))
-    lo = hi = at
     inside, target = v[at], sum(v) * coverage
     while inside < target and hi - lo < n - 1:
         above = v[hi + 1] if hi + 1 < n else -1
@@ -146,19 +150,36 @@ class HistogramFold:
     def __init__(self, bins_per_scale: int = config.BINS_PER_SCALE,
                  tick_size: float = config.TICK_SIZE):
         self.bins_per_scale, self.tick_size = bins_per_scale, tick_size
-        self.held: dict[int, list[int]] = {}
+        self.low = 0                                  # tick of the first column
+        self.held = np.zeros((2, 0), dtype=np.int64)  # traded and bought volume per tick
         self.first = None
 
+    def _add(self, ticks, volumes, buys):
+        """Add one bar's levels (ascending, unique). Room doubles towards the side it lacks."""
+        size = self.held.shape[1]
+        if not size:
+            self.low, size = int(ticks[0]), 64
+            self.held = np.zeros((2, size), dtype=np.int64)
+        under, over = self.low - int(ticks[0]), int(ticks[-1]) - self.low - size + 1
+        if under > 0 or over > 0:
+            left = max(under, size) if under > 0 else 0
+            right = max(over, size) if over > 0 else 0
+            self.held = np.pad(self.held, ((0, 0), (left, right)))
+            self.low -= left
+        at = ticks - self.low
+        self.held[0, at] += volumes
+        self.held[1, at] += buys
+
     def _bins(self, scale):
-        ticks = np.array(sorted(self.held), dtype=np.int64)
-        both = np.array([self.held[t] for t in ticks.tolist()], dtype=np.int64)
-        price, size = ticks * self.tick_size, scale / self.bins_per_scale
+        at = np.flatnonzero(self.held[0])
+        volumes, buys = self.held[:, at]
+        price, size = (at + self.low) * self.tick_size, scale / self.bins_per_scale
         if size > self.tick_size:
-            edge, where = np.unique(np.floor(price / size).astype(np.int64), return_inverse=True)
-            folded = np.zeros((len(edge), 2), dtype=np.int64)
-            np.add.at(folded, where, both)
-            price, both = edge * size, folded
-        return price, both[:, 0], both[:, 1]
+            edge = np.floor(price / size)
+            starts = np.flatnonzero(np.diff(edge, prepend=np.nan) != 0)
+            price = edge[starts] * size
+            volumes, buys = np.add.reduceat(volumes, starts), np.add.reduceat(buys, starts)
+        return price, volumes, buys
 
     def feed(self, frame: pd.DataFrame) -> pd.DataFrame:
         kept, made = [], []
@@ -167,13 +188,9 @@ class HistogramFold:
         for i, (t, ticks, volumes, buys, scale, publish) in enumerate(rows):
             if self.first is None:
                 self.first = t
-            if ticks is not None:
-                for k, v, b in zip(ticks.tolist(), volumes.tolist(), buys.tolist()):
-                    if v:
-                        cell = self.held.setdefault(k, [0, 0])
-                        cell[0] += v
-                        cell[1] += b
-            if publish and self.held and scale is not None and scale == scale:
+            if ticks is not None and len(ticks):
+                self._add(ticks, volumes, buys)
+            if publish and self.held[0].any() and scale is not None and scale == scale:
                 prices, volumes, buys = self._bins(scale)
                 at, lo, hi = _area(volumes)
                 kept.append(i)

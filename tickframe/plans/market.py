@@ -37,7 +37,7 @@ def ticks(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame
         symbol.alias("symbol"), "ts", F.col("event_id").alias("seq"), "user_id",
         F.floor((F.col("value") - 50.0) / 5.0 + 0.5).cast("long").alias("move"))
     walked = running(rows, ["symbol"], ["ts", "seq"],
-                     {"walk": Running("sum", F.col("move"))}, span=86400)
+                     {"walk": Running("sum", F.col("move"))}, span=3600)
     adj = (F.when(F.col("ts") < F.lit("2024-01-11").cast("timestamp"), 0.0)
            .when(F.col("ts") < F.lit("2024-01-21").cast("timestamp"), 211.0).otherwise(481.0))
     price = (F.col("walk") + 80000) * 0.25 + F.col("adj")
