@@ -204,3 +204,35 @@ def test_largest_survives_salting(spark):
     df = spark.range(1000).select(F.lit("a").alias("k"), "id", F.pmod(F.col("id") * 7919, F.lit(1000)).alias("v"))
     got = [r.v for r in RE.largest(df, ["k"], [F.desc("v")], ["id"], 5).orderBy("place").collect()]
     assert got == [999, 998, 997, 996, 995]
+
+
+def test_medians_are_exact(spark):
+    rnd = random.Random(6)
+    rows = [(k, rnd.choice([0.0, rnd.gauss(0, 3)])) for k in "abc" for _ in range({"a": 1, "b": 200, "c": 301}[k])]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for width in (1 / 64, 5.0, 1000.0):
+        got = {r.k: r["median"] for r in RE.medians(df, ["k"], "v", width).collect()}
+        want = pd.DataFrame(rows, columns=["k", "v"]).groupby("k")["v"].median().to_dict()
+        assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_first_touch_equals_brute_force(spark):
+    rnd = random.Random(9)
+    p, rows = 100.0, []
+    for i in range(200):
+        p += rnd.randint(-4, 4) / 4
+        rows.append(("X", 60 * i, p + rnd.randint(0, 3) / 4, p - rnd.randint(0, 3) / 4, p, None if i < 5 else 1.0))
+    df = spark.createDataFrame(rows, "symbol string, t long, high double, low double, close double, range_scale double").withColumn(
+        "ts", F.timestamp_seconds("t"))
+    got = {r.at: (r.label, r.touched) for r in RE.first_touch(df, 1.5).collect()}
+    want = {}
+    for i, (_, t, _, _, c, s) in enumerate(rows):
+        if s is None:
+            continue
+        want[t] = ("none", None)
+        for _, u, h, low, *_ in rows[i + 1:]:
+            up, down = h >= c + 1.5 * s, low <= c - 1.5 * s
+            if up or down:
+                want[t] = ("both" if up and down else "up" if up else "down", u)
+                break
+    assert got == want

@@ -134,14 +134,35 @@ def forward_moves(bars: DataFrame, horizons: Sequence[int], keep: Sequence[str]
                     ((F.col("_then") - F.col("close")) / F.col("range_scale")).alias("move")))
 
 
+def medians(rows: DataFrame, keys: Sequence[str], value: str, width: float = 1 / 64) -> DataFrame:
+    """Exact median per key, without gathering a key's values in one task.
+
+    Values are counted per bucket of ``width``; the running counts name the one or two buckets
+    that hold the middle ranks, and only their distinct values are put in order.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumn("_b", F.floor(F.col(value) / width))
+    order = Window.partitionBy(*keys).orderBy("_b")
+    sizes = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size")).withColumns({
+        "_before": F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_all": F.sum("_size").over(Window.partitionBy(*keys))})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = sizes.where((F.col("_before") <= high) & (F.col("_before") + F.col("_size") > low))
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(middle, [*keys, "_b"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_n").over(inside))
+    return ranked.groupBy(*keys).agg(
+        ((F.min(F.when(F.col("_upto") > low, F.col(value)))
+          + F.min(F.when(F.col("_upto") > high, F.col(value)))) / 2).alias("median"))
+
+
 def by_state(moves: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Count, mean, median, hit rate and t of the moves per state."""
     m = F.col("move")
     n, mean, sd = F.count(m), F.avg(m), F.stddev_samp(m)
     return moves.groupBy(*keys).agg(
-        n.alias("n"), mean.alias("mean"), F.percentile(m, 0.5).alias("median"),
-        F.avg((m > 0).cast("double")).alias("hit"),
-        F.when(sd > 0, mean / (sd / F.sqrt(n))).alias("t"))
+        n.alias("n"), mean.alias("mean"), F.avg((m > 0).cast("double")).alias("hit"),
+        F.when(sd > 0, mean / (sd / F.sqrt(n))).alias("t")).join(medians(moves, keys, "move"), list(keys))
 
 
 def largest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ident: Sequence[str],

@@ -798,7 +798,7 @@ def average_crosses(spark, sf):
     rows = settle(X.named_averages(_scaled(M.bars(spark, sf), M.STEP), (20, 50)))
     crossed = RE.average_crosses(rows, F.get("ma", F.lit(0)), F.get("ma", F.lit(1)))
     moves = RE.forward_moves(settle(crossed), (8,), ["cross"])
-    both = moves.withColumn("event", F.explode(F.array_compact(F.array(F.lit("drift"), F.col("cross")))))
+    both = settle(moves.withColumn("event", F.explode(F.array_compact(F.array(F.lit("drift"), F.col("cross"))))))
     return RE.by_state(both, ["symbol", "event"]).select("symbol", "event", "n", *_rounded("mean", "median", "hit", "t"))
 
 
