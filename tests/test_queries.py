@@ -11,7 +11,7 @@ from tickframe.plans import snapshot as SN
 SF = os.environ.get("TICKFRAME_SF", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.QUERIES))
 def test_query(spark, name):
     said, n, _, _ = differences(spark, name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert not said and n >= 0
