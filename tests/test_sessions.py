@@ -57,7 +57,7 @@ def test_seal_is_exact_and_drift_is_loud(spark):
     assert [r[0] for r in df.orderBy("session_id").select(H.split_label(cutoff)).collect()] == ["explore", "sealed"]
     try:
         H.checked_cutoff("2024-06-03 00:00:00", spark.createDataFrame([(1717372801,)], "cutoff_epoch long"))
-    except H.SealDrift:
+    except H.CutoffMismatch:
         pass
     else:
         raise AssertionError("drift passed")

@@ -15,14 +15,18 @@ from tickframe import config
 from tickframe.operators.series import Running, in_blocks, number_rows, running, secs
 
 
+UNIT = 1e-6     # running sums count whole units of price, so they are exact in any block
+
+
 def range_scale(bars: DataFrame, step: int, *, window: int = config.SCALE_WINDOW,
                 floor: int = config.SCALE_MIN_BARS, keys: Sequence[str] = ("symbol",),
                 block: int | None = None) -> DataFrame:
-    """Median bar range over the last ``window`` seconds, never over fewer than ``floor`` bars.
+    """Median bar range over the last ``window`` seconds, never over fewer than ``floor`` ranges.
 
-    Null while fewer than ``floor`` bars were seen, and on a tape that has not moved.
+    Null while fewer than ``floor`` ranges were seen, on a tape that has not moved, and on bars
+    without a range. Bars closer together than ``step`` are an error: the look-back counts on it.
     """
-    spread = F.col("high") - F.col("low")
+    ranged = bars.withColumn("_range", F.col("high") - F.col("low"))
 
     def compute(rows: DataFrame, by: list[str]) -> DataFrame:
         base = Window.partitionBy(*by).orderBy(secs("ts"))
@@ -30,32 +34,41 @@ def range_scale(bars: DataFrame, step: int, *, window: int = config.SCALE_WINDOW
         few = base.rowsBetween(-(floor - 1), 0)
         median = (F.when(F.count(F.lit(1)).over(near) >= floor, F.percentile("_range", 0.5).over(near))
                   .otherwise(F.percentile("_range", 0.5).over(few)))
-        return rows.withColumn("_range", spread).withColumn("_median", median).drop("_range")
+        close = secs("ts") - F.lag(secs("ts")).over(base) < step
+        return rows.withColumn("_median", F.when(close, F.raise_error(F.lit(
+            f"bars lie closer together than {step} s")).cast("double")).otherwise(median))
 
-    done = in_blocks(bars, keys, max(floor, math.ceil(window / step)), compute, block=block)
-    return done.withColumn("range_scale", F.when(
-        (F.col("bar_no") >= floor - 1) & (F.col("_median") > 0), F.col("_median"))).drop("_median")
+    known = number_rows(ranged.where("_range is not null"), keys, name="_range_no")
+    done = in_blocks(known, keys, max(floor, math.ceil(window / step)), compute, number="_range_no", block=block)
+    done = done.withColumn("range_scale", F.when(
+        (F.col("_range_no") >= floor - 1) & (F.col("_median") > 0), F.col("_median")))
+    rest = ranged.where("_range is null").withColumn("range_scale", F.lit(None).cast("double"))
+    return done.drop("_median", "_range_no", "_range").unionByName(rest.drop("_range"))
 
 
 def averages(bars: DataFrame, periods: Sequence[int], name: str, *,
              keys: Sequence[str] = ("symbol",), block: int | None = None) -> DataFrame:
-    """Simple averages of the close for every period, and the previous bar's, as arrays.
+    """Simple averages of the close for every period, and the previous close's, as arrays.
 
-    A slot is null until its period is full. Each block keeps one running sum and every line
-    is a difference of two of its values, so the cost does not grow with the period.
+    A slot is null until its period is full; a bar without a close is in no period and has no
+    arrays. Each block keeps one running sum of whole price units and every line is a difference of two of
+    its values, so the cost does not grow with the period and the block does not show.
     """
     def compute(rows: DataFrame, by: list[str]) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("bar_no")
-        total = F.sum("close").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        summed = rows.withColumn("_sum", total)
+        order = Window.partitionBy(*by).orderBy("_close_no")
+        units = F.sum(F.rint(F.col("close") / UNIT).cast("long"))
+        summed = rows.withColumn("_sum", units.over(order.rowsBetween(Window.unboundedPreceding, 0)))
         lines = F.array(*[
-            F.when(F.col("bar_no") >= p - 1,
-                   (F.col("_sum") - F.coalesce(F.lag("_sum", p).over(order), F.lit(0.0))) / p)
+            F.when(F.col("_close_no") >= p - 1,
+                   (F.col("_sum") - F.coalesce(F.lag("_sum", p).over(order), F.lit(0))) * F.lit(1.0) / round(1 / UNIT) / p)
             for p in periods])
         return (summed.withColumn(name, lines).drop("_sum")
                 .withColumn(f"{name}_prev", F.lag(name).over(order)))
 
-    return in_blocks(bars, keys, max(periods) + 1, compute, block=block)
+    known = number_rows(bars.where("close is not null"), keys, name="_close_no")
+    done = in_blocks(known, keys, max(periods) + 1, compute, number="_close_no", block=block).drop("_close_no")
+    none = F.lit(None).cast("array<double>")
+    return done.unionByName(bars.where("close is null").withColumns({name: none, f"{name}_prev": none}))
 
 
 def ribbon(bars: DataFrame, **kw) -> DataFrame:

@@ -11,6 +11,7 @@ from tickframe import config
 
 FULL, EXPLORE, SEALED = "full", "explore", "sealed"
 
+# The scalar columns of the catalog, in their order.
 CATALOG_SCALARS = (
     "session_bars", "range_scale", "session_range", "session_net", "session_net_ratio",
     "session_closed_ratio", "session_efficiency_recent", "session_efficiency_prior",
@@ -19,8 +20,8 @@ CATALOG_SCALARS = (
     "session_poc", "session_poc_ratio", "session_val", "session_vah")
 
 
-class SealDrift(ValueError):
-    """The declared seal and the recorded one disagree."""
+class CutoffMismatch(ValueError):
+    """A stored table was sealed at another time than the one asked for."""
 
 
 def checked_cutoff(declared: str, receipt: DataFrame | None = None):
@@ -29,7 +30,7 @@ def checked_cutoff(declared: str, receipt: DataFrame | None = None):
     if receipt is not None:
         off = receipt.where(F.col("cutoff_epoch") != F.unix_seconds(cutoff)).limit(1)
         if not off.isEmpty():
-            raise SealDrift(f"receipt and declaration {declared} disagree")
+            raise CutoffMismatch(f"receipt and declaration {declared} disagree")
     return cutoff
 
 
@@ -52,14 +53,17 @@ def percentile_table(rows: DataFrame, *, population: str, cutoff=None,
 
     ``rows`` follow ``card.shape``; bars without a scale are left out, elapsed bars still count.
     One value per session instance reaches a group, so groups are bounded by the calendar.
+    ``sessions_used`` counts a bar's sessions, ``sessions_seen`` those with any valid bar.
     """
     at = F.array(*[F.lit(p / 100.0) for p in config.PERCENTILES])
     kept = _population(rows, population, cutoff).where("range_scale is not null")
+    seen = kept.groupBy(*keys, "session").agg(F.count_distinct("session_id").alias("sessions_seen"))
     return (kept.groupBy(*keys, "session", "session_bar").agg(
         F.count(F.lit(1)).alias("sessions_used"),
         F.percentile("session_range", at).alias("range_p"),
         F.percentile("session_travel", at).alias("travel_p"),
         F.percentile(F.col("session_traded").cast("double"), at).alias("volume_p"))
+        .join(seen, [*keys, "session"])
         .withColumn("population", F.lit(population))
         .withColumn("cutoff", cutoff if population == EXPLORE else F.lit(None).cast("timestamp")))
 

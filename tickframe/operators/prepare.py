@@ -77,7 +77,7 @@ def locate(bars: DataFrame, asked: DataFrame, time: str = "time",
     numbered = number_rows(bars.select("symbol", "ts"), ["symbol"]).select(
         "symbol", secs("ts").alias("at"), "bar_no")
     marks = numbered.select("symbol", "at", "bar_no", F.lit(None).cast("long").alias("ask"))
-    asks = asked.select("symbol", F.greatest(F.col(time), F.lit(0)).alias("at"),
+    asks = asked.select("symbol", F.col(time).alias("at"),
                         F.lit(None).cast("long").alias("bar_no"), F.col(time).alias("ask"))
     both = marks.unionByName(asks).withColumn("_bucket", F.floor(F.col("at") / bucket))
     # Rows after the question, the bar at the very same second included.

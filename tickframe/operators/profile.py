@@ -122,30 +122,10 @@ def readings(profiles: DataFrame, close: str | None = "close") -> DataFrame:
 
 # ---- developing profiles ----------------------------------------------------
 
-def _area(volumes: np.ndarray, coverage: float = config.VALUE_AREA) -> tuple[int, int, int]:
-    """Positions of (poc, val, vah), by the rule of ``functions.columns.value_area``."""
-    n = len(volumes)
-    tied = np.flatnonzero(volumes == volumes.max())
-    lo = hi = at = int(tied[np.argmin(np.abs(2 * tied - n + 1))])
-    v = volumes.tolist()
-    inside, target = v[at], sum(v) * coverage
-    while inside < target and hi - lo < n - 1:
-        above = v[hi + 1] if hi + 1 < n else -1
-        below = v[lo - 1] if lo else -1
-        if above >= below:
-            hi += 1
-            inside += above
-        else:
-            lo -= 1
-            inside += below
-    return at, lo, hi
-
-
 class HistogramFold:
-    """Running histogram of one range. Emits, for published bars, the bins at that bar's scale
-    and their value area (a bar's bins are at hand here; see ``summarise`` for stored profiles)."""
+    """Running histogram of one range. Emits, for published bars, the bins at that bar's scale."""
 
-    OUT = ("from_time", "poc", "val", "vah", "poc_at", "profile_volume", "prices", "bin_volumes", "bin_buys")
+    OUT = ("from_time", "prices", "bin_volumes", "bin_buys")
 
     def __init__(self, bins_per_scale: int = config.BINS_PER_SCALE,
                  tick_size: float = config.TICK_SIZE):
@@ -191,11 +171,8 @@ class HistogramFold:
             if ticks is not None and len(ticks):
                 self._add(ticks, volumes, buys)
             if publish and self.held[0].any() and scale is not None and scale == scale:
-                prices, volumes, buys = self._bins(scale)
-                at, lo, hi = _area(volumes)
                 kept.append(i)
-                made.append((self.first, prices[at], prices[lo], prices[hi], at, int(volumes.sum()),
-                             prices, volumes, buys))
+                made.append((self.first, *self._bins(scale)))
         out = frame.iloc[kept].copy()
         for j, name in enumerate(self.OUT):
             out[name] = [m[j] for m in made]
@@ -221,16 +198,12 @@ def developing(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([
         *[needed.schema[k] for k in keys], T.StructField("ts", T.TimestampType()),
-        T.StructField("from_time", T.LongType()), T.StructField("poc", T.DoubleType()),
-        T.StructField("val", T.DoubleType()), T.StructField("vah", T.DoubleType()),
-        T.StructField("poc_at", T.IntegerType()), T.StructField("profile_volume", T.LongType()),
-        T.StructField("prices", T.ArrayType(T.DoubleType())),
+        T.StructField("from_time", T.LongType()), T.StructField("prices", T.ArrayType(T.DoubleType())),
         T.StructField("bin_volumes", longs), T.StructField("bin_buys", longs)])
     done = ordered_fold(needed, keys, ["ts"], HistogramFold, schema)
     zipped = F.arrays_zip(F.col("prices").alias("price"), F.col("bin_volumes").alias("volume"),
                           F.col("bin_buys").alias("buy"))
-    return done.select(*keys, "ts", "from_time", secs("ts").alias("to_time"), "poc", "val", "vah",
-                       "poc_at", "profile_volume", zipped.alias("bins"))
+    return summarise(done.select(*keys, "ts", "from_time", secs("ts").alias("to_time"), zipped.alias("bins")))
 
 
 def _turns(bars: DataFrame, nested: DataFrame) -> DataFrame:

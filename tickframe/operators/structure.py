@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickframe import config
-from tickframe.operators.fold import chunked_fold, ordered_fold
+from tickframe.operators.fold import chunked_fold
 from tickframe.operators.series import Running, running
 
 _D, _L, _S = T.DoubleType(), T.LongType(), T.StringType()
@@ -23,48 +23,47 @@ FIELDS = [
     ("bos", _S), ("bos_level", _D), ("bos_time", _L),
 ]
 INPUT = ("time", "high", "low", "close", "range_scale")
-CHUNK = 1_000_000
+CHUNK = 100_000      # rows a fold runs over in one task
+HUNT = {1: "high", -1: "low"}
 
 
 class StructureFold:
     """Zig-zag of confirmed turns plus the first closes through them.
 
-    Two rails, ``top`` and ``bottom``, each ``(price, time)``. ``side`` is the rail still being
-    hunted. A bar either moves the hunted rail or, by pulling back far enough, confirms it; the
-    other rail then starts over at that bar. Bars without a scale leave the swings untouched.
+    Two rails, each ``(price, time)``, one of which is hunted. A bar either moves the hunted rail
+    or, by pulling back far enough, confirms it; the other rail then starts over at that bar. Bars
+    without a scale leave the swings untouched.
     Breaks test the standing levels before this bar's own swing joins them.
     """
 
     def __init__(self, retrace: float = config.RETRACE, wick: bool = False):
         self.retrace, self.wick = retrace, wick
-        self.side, self.top, self.bottom = None, None, None
+        self.hunted, self.rails = 0, {1: None, -1: None}       # 1 upwards, -1 downwards, 0 not begun
         self.levels = {"high": None, "low": None}
 
     def save(self) -> str:
-        return json.dumps([self.side, self.top, self.bottom, self.levels["high"], self.levels["low"]])
+        return json.dumps([self.hunted, self.rails[1], self.rails[-1], self.levels["high"], self.levels["low"]])
 
     def load(self, text: str) -> None:
-        side, top, bottom, high, low = json.loads(text)
-        self.side, self.top, self.bottom = side, top, bottom
-        self.levels = {"high": high, "low": low}
+        self.hunted, top, bottom, high, low = json.loads(text)
+        self.rails, self.levels = {1: top, -1: bottom}, {"high": high, "low": low}
 
     def _turn(self, t, high, low, need):
-        """Move the rails by one bar; the confirmed ``(kind, price, time)`` or None."""
-        if self.side is None:
-            self.side, self.top, self.bottom = "high", [high, t], [low, t]
+        """Move the rails by one bar; the confirmed ``(kind, price, time)`` or None.
+
+        One rule serves both directions: measured along the hunt, its rail moves with a further
+        extreme, and is confirmed once the bar's other end lies ``need`` behind it.
+        """
+        bar, way = {1: [high, t], -1: [low, t]}, self.hunted
+        if not way:
+            self.hunted, self.rails = 1, bar
             return None
-        if self.side == "high":
-            if high > self.top[0]:
-                self.top = [high, t]
-            elif self.top[0] - low >= need:
-                self.side, self.bottom = "low", [low, t]
-                return "high", *self.top
-            return None
-        if low < self.bottom[0]:
-            self.bottom = [low, t]
-        elif high - self.bottom[0] >= need:
-            self.side, self.top = "high", [high, t]
-            return "low", *self.bottom
+        best = self.rails[way]
+        if way * (bar[way][0] - best[0]) > 0:
+            self.rails[way] = bar[way]
+        elif way * (best[0] - bar[-way][0]) >= need:
+            self.hunted, self.rails[-way] = -way, bar[-way]
+            return HUNT[way], *best
         return None
 
     def _break(self, high, low, close):
@@ -83,11 +82,9 @@ class StructureFold:
             if scale is not None and scale == scale:
                 need = self.retrace * scale
                 turn = self._turn(t, high, low, need)
-                up = self.side == "high"
-                live = (self.top if up else self.bottom)[0]
-                rails = (*self.top, *self.bottom, self.side,
-                         ((live - close) if up else (close - live)) / scale,
-                         live - need if up else live + need)
+                way = self.hunted
+                live = self.rails[way][0]
+                rails = (*self.rails[1], *self.rails[-1], HUNT[way], way * (live - close) / scale, live - way * need)
             broke = self._break(high, low, close)
             if turn:
                 self.levels[turn[0]] = [turn[1], turn[2]]
@@ -103,8 +100,8 @@ def structure(bars: DataFrame, *, keys: Sequence[str] = ("symbol",), retrace: fl
               wick: bool = False, chunk: int | None = None) -> DataFrame:
     """Add the swing and break fields. ``bars`` carry ``bar_no`` and ``range_scale``.
 
-    A series longer than ``chunk`` rows is cut into chunks that run in parallel (exactly, see
-    ``fold.chunked_fold``); shorter ones take the single-pass fold.
+    Every series is cut into chunks of ``chunk`` rows that run in parallel, exactly (see
+    ``fold.chunked_fold``).
     """
     needed = bars.select(*keys, "bar_no", "ts", F.unix_seconds("ts").alias("time"),
                          "high", "low", "close", "range_scale")
@@ -115,12 +112,7 @@ def structure(bars: DataFrame, *, keys: Sequence[str] = ("symbol",), retrace: fl
     def make():
         return StructureFold(retrace, wick)
 
-    limit = CHUNK if chunk is None else chunk
-    longest = needed.agg(F.max("bar_no")).first()[0] or 0
-    if longest < limit:
-        done = ordered_fold(needed, keys, ["ts"], make, schema)
-    else:
-        done = chunked_fold(needed, keys, "bar_no", make, schema, limit)
+    done = chunked_fold(needed, keys, "bar_no", make, schema, chunk or CHUNK)
     return bars.join(done.drop("bar_no"), [*keys, "ts"])
 
 

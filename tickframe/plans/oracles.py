@@ -1145,8 +1145,11 @@ SQL["bar_store"] = ("WITH " + bars_cte("event_type", 3600) + rung_cte(14400)
 SQL["level_store"] = ("WITH " + bars_cte("event_type", 3600) + levels_cte(3600)
                       + " SELECT symbol, t AS time, tick, volume, buy FROM levels WHERE symbol = 'view'")
 SQL["percentile_store"] = CARD + EXPLORE_HISTORY + f"""
-SELECT symbol, session, 'explore' AS population, CAST({SEAL} AS BIGINT) AS cutoff, max(sessions_used) AS sessions_used,
-       max(session_bars) AS depth FROM hist GROUP BY 1, 2"""
+SELECT h.symbol, h.session, 'explore' AS population, CAST({SEAL} AS BIGINT) AS cutoff,
+       max(s.sessions_used) AS sessions_used, max(session_bars) AS depth
+FROM hist h JOIN (SELECT symbol, session, count(DISTINCT session_id) AS sessions_used FROM card
+                  WHERE range_scale IS NOT NULL AND session_id < {SEAL} GROUP BY 1, 2) s
+  ON s.symbol = h.symbol AND s.session = h.session GROUP BY 1, 2"""
 SQL["catalog_store"] = "WITH " + bars_cte() + sessions_cte() + f"""
 SELECT symbol, sp AS folder, sp AS split, count(*) AS rows, count(DISTINCT session_id) AS sessions FROM (
   SELECT *, CASE WHEN session_id >= {SEAL} THEN 'sealed' ELSE 'explore' END AS sp FROM sess WHERE session_id IS NOT NULL)

@@ -45,4 +45,4 @@ def read_percentiles(spark: SparkSession, path: str, population: str) -> DataFra
 def describe_percentiles(table: DataFrame) -> DataFrame:
     """What a table was built from, in its own words."""
     return table.groupBy("symbol", "session", "population", "cutoff").agg(
-        F.max("sessions_used").alias("sessions_used"), F.max("session_bar").alias("depth"))
+        F.max("sessions_seen").alias("sessions_used"), F.max("session_bar").alias("depth"))
