@@ -253,11 +253,11 @@ class BookFold:
 
 def trade_book(signals: DataFrame, *, keys: Sequence[str] = ("symbol",), point_value: float = 1.0,
                size: int = 1, commission: float = config.COMMISSION_PER_SIDE, slip: float = SLIP,
-               hold: bool = False, chunk: int | None = None) -> DataFrame:
+               hold: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Closed trades of one book per ``keys``, numbered, with dollars and running profit.
 
-    ``signals`` carry ``bar_no`` and ``gap_before``. Books are independent and run in parallel;
-    a book over a series longer than ``chunk`` bars is itself cut up (see ``chunked_fold``).
+    ``signals`` carry ``bar_no`` and ``gap_before``. Books are independent and run in parallel,
+    and each is cut into chunks of ``chunk`` bars that do, too (see ``chunked_fold``).
     """
     rows = signals.select(*keys, "bar_no", "gap_before", F.unix_seconds("ts").alias("time"), *BAR[1:])
     schema = T.StructType([
@@ -272,10 +272,7 @@ def trade_book(signals: DataFrame, *, keys: Sequence[str] = ("symbol",), point_v
     def make():
         return BookFold(slip, hold)
 
-    if chunk is None:
-        found = ordered_fold(rows, keys, ["time"], make, schema)
-    else:
-        found = chunked_fold(rows, keys, "bar_no", make, schema, chunk)
+    found = chunked_fold(rows, keys, "bar_no", make, schema, chunk)
     worth = point_value * size
     charge = 2 * commission * size
     priced = found.select(

@@ -337,17 +337,18 @@ def autocorrelation(bars: DataFrame, lags: Sequence[int]) -> DataFrame:
         F.corr(F.abs("r0"), F.abs("r")).alias("acf_size"))
 
 
-def tearsheet(trades: DataFrame, bars: DataFrame, point_value: float) -> DataFrame:
-    """Daily profit of a book against holding one contract: alpha, beta, correlation."""
-    days = bars.groupBy("symbol", F.to_date("ts").alias("day")).agg(
+def tearsheet(trades: DataFrame, bars: DataFrame, point_value: float, *,
+              keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Daily profit of each book (``keys``) against holding one contract: alpha, beta, correlation."""
+    days = bars.groupBy(*keys, F.to_date("ts").alias("day")).agg(
         F.max_by("close", "ts").alias("close"), F.max("ts").alias("ts"))
-    held = running(days, ["symbol"], ["ts"], {"_was": Running("prev", F.col("close"))}, span=365 * 86400).where(
-        "_was is not null").select("symbol", "day", ((F.col("close") - F.col("_was")) * point_value).alias("passive"))
-    made = trades.groupBy("symbol", F.to_date(F.timestamp_seconds("exit_time")).alias("day")).agg(
+    held = running(days, keys, ["ts"], {"_was": Running("prev", F.col("close"))}, span=365 * 86400).where(
+        "_was is not null").select(*keys, "day", ((F.col("close") - F.col("_was")) * point_value).alias("passive"))
+    made = trades.groupBy(*keys, F.to_date(F.timestamp_seconds("exit_time")).alias("day")).agg(
         F.sum("pnl_dollars").alias("pnl"))
-    both = held.join(made, ["symbol", "day"], "left").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
+    both = held.join(made, [*keys, "day"], "left").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
     mean, sd = F.avg("pnl"), F.stddev_samp("pnl")
-    return both.groupBy("symbol").agg(
+    return both.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("days"), F.regr_intercept("pnl", "passive").alias("alpha"),
         F.regr_slope("pnl", "passive").alias("beta"), F.corr("pnl", "passive").alias("corr"),
         F.when(sd > 0, mean / sd).alias("sharpe"))

@@ -14,6 +14,7 @@ and slice, so bounded by the calendar) are ever ordered within a whole series.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -131,11 +132,14 @@ def in_blocks(df: DataFrame, keys: Sequence[str], lookback: int,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh temporary one only where none is set."""
+    """The cluster's checkpoint folder. Where none is set, a local session gets a temporary one;
+    on a cluster that is an error, as executors could not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="tickframe-")
         spark.sparkContext.setCheckpointDir(named)

@@ -675,37 +675,38 @@ def _exit(d: str, s: str, g: str, b: str = "") -> str:
 
 
 SQL["next_bar_fills"] = TRADABLE + signals_cte("seg", "symbol") + f"""
-SELECT x.symbol, x.t AS time, x.dir AS direction, {_entry('x.dir', 'x.e', 'b.')} AS entry_price,
+SELECT x.symbol, CAST(x.param_id AS BIGINT) AS param_id, x.t AS time, x.dir AS direction, {_entry('x.dir', 'x.e', 'b.')} AS entry_price,
        {_exit('x.dir', 'x.s', 'x.g', 'b.')} AS exit_price,
        CASE WHEN {_stopped('x.dir', 'x.s', 'b.')} THEN 'stop' WHEN {_reached('x.dir', 'x.g', 'b.')} THEN 'target' END AS reason,
        CASE WHEN {_stopped('x.dir', 'x.s', 'b.')} THEN {_reached('x.dir', 'x.g', 'b.')}
             WHEN {_reached('x.dir', 'x.g', 'b.')} THEN FALSE END AS ambiguous
-FROM sig x JOIN sig_b b ON b.symbol = x.symbol AND b.rn = x.rn + 1
-WHERE x.param_id = 0 AND x.dir IS NOT NULL"""
+FROM sig x LEFT JOIN sig_b b ON b.symbol = x.symbol AND b.rn = x.rn + 1
+WHERE x.dir IS NOT NULL"""
 
 SQL["bracket_outcomes"] = TRADABLE + signals_cte("seg", "symbol") + f""",
-s0 AS (SELECT * FROM sig WHERE param_id = 0 AND dir IS NOT NULL),
+s0 AS (SELECT * FROM sig WHERE dir IS NOT NULL),
 en AS (
-  SELECT s0.symbol, s0.segment, s0.t, s0.dir, s0.s, s0.g, b.t AS et, {_entry('s0.dir', 's0.e', 'b.')} AS ep
+  SELECT s0.symbol, s0.param_id, s0.segment, s0.t, s0.dir, s0.s, s0.g, b.t AS et, {_entry('s0.dir', 's0.e', 'b.')} AS ep
   FROM s0 JOIN seg b ON b.symbol = s0.symbol AND b.segment = s0.segment AND b.t > s0.t
   WHERE {_entry('s0.dir', 's0.e', 'b.')} IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY s0.symbol, s0.t ORDER BY b.t) = 1),
+  QUALIFY row_number() OVER (PARTITION BY s0.symbol, s0.param_id, s0.t ORDER BY b.t) = 1),
 ex AS (
   SELECT en.*, b.t AS xt, {_exit('en.dir', 'en.s', 'en.g', 'b.')} AS xp,
          CASE WHEN {_stopped('en.dir', 'en.s', 'b.')} THEN 'stop' ELSE 'target' END AS reason,
          {_stopped('en.dir', 'en.s', 'b.')} AND {_reached('en.dir', 'en.g', 'b.')} AS ambiguous, b.t = en.et AS same_bar
   FROM en JOIN seg b ON b.symbol = en.symbol AND b.segment = en.segment AND b.t >= en.et
   WHERE {_exit('en.dir', 'en.s', 'en.g', 'b.')} IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY en.symbol, en.t ORDER BY b.t) = 1),
+  QUALIFY row_number() OVER (PARTITION BY en.symbol, en.param_id, en.t ORDER BY b.t) = 1),
 ls AS (SELECT symbol, segment, max(t) AS lt, arg_max(close, t) AS lc,
               segment = max(segment) OVER (PARTITION BY symbol) AS newest FROM seg GROUP BY 1, 2)
-SELECT s0.symbol, s0.segment, s0.t AS time, s0.dir AS direction, en.et AS entry_time, en.ep AS entry_price,
+SELECT s0.symbol, CAST(s0.param_id AS BIGINT) AS param_id, s0.segment, s0.t AS time, s0.dir AS direction, en.et AS entry_time, en.ep AS entry_price,
        CASE WHEN ex.xt IS NOT NULL THEN ex.xt WHEN en.et IS NOT NULL AND NOT newest THEN lt END AS exit_time,
        CASE WHEN ex.xt IS NOT NULL THEN ex.xp WHEN en.et IS NOT NULL AND NOT newest THEN lc END AS exit_price,
        CASE WHEN en.et IS NULL THEN 'unfilled' WHEN ex.xt IS NOT NULL THEN ex.reason
             WHEN newest THEN 'open' ELSE 'session' END AS reason,
        coalesce(ex.ambiguous, FALSE) AS ambiguous, coalesce(ex.same_bar, FALSE) AS same_bar
-FROM s0 LEFT JOIN en ON en.symbol = s0.symbol AND en.t = s0.t LEFT JOIN ex ON ex.symbol = s0.symbol AND ex.t = s0.t
+FROM s0 LEFT JOIN en ON en.symbol = s0.symbol AND en.param_id = s0.param_id AND en.t = s0.t
+LEFT JOIN ex ON ex.symbol = s0.symbol AND ex.param_id = s0.param_id AND ex.t = s0.t
 JOIN ls ON ls.symbol = s0.symbol AND ls.segment = s0.segment"""
 
 
@@ -1119,11 +1120,12 @@ FROM ch a, range(1, 11) l(k), ch b WHERE b.symbol = a.symbol AND b.i = a.i + k A
 SQL["tearsheet"] = BOOK_SQL + """,
 dy AS (SELECT symbol, CAST(to_timestamp(t) AT TIME ZONE 'UTC' AS DATE) AS day, arg_max(close, t) AS c FROM bars GROUP BY 1, 2),
 ps AS (SELECT symbol, day, (c - lag(c) OVER (PARTITION BY symbol ORDER BY day)) * 20.0 AS passive FROM dy),
-pn AS (SELECT CAST(to_timestamp(exit_time) AT TIME ZONE 'UTC' AS DATE) AS day, sum(pnl_dollars) AS pnl FROM book WHERE k = 0 GROUP BY 1),
-j AS (SELECT ps.symbol, passive, coalesce(pnl, 0.0) AS pnl FROM ps LEFT JOIN pn ON pn.day = ps.day WHERE passive IS NOT NULL)
-SELECT symbol, count(*) AS days, round(regr_intercept(pnl, passive), 6) AS alpha, round(regr_slope(pnl, passive), 6) AS beta,
+pn AS (SELECT k, CAST(to_timestamp(exit_time) AT TIME ZONE 'UTC' AS DATE) AS day, sum(pnl_dollars) AS pnl FROM book GROUP BY 1, 2),
+j AS (SELECT ps.symbol, ks.k, passive, coalesce(pnl, 0.0) AS pnl FROM ps CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) ks
+      LEFT JOIN pn ON pn.day = ps.day AND pn.k = ks.k WHERE passive IS NOT NULL)
+SELECT symbol, CAST(k AS BIGINT) AS param_id, count(*) AS days, round(regr_intercept(pnl, passive), 6) AS alpha, round(regr_slope(pnl, passive), 6) AS beta,
        round(corr(pnl, passive), 6) AS corr, round(CASE WHEN stddev_samp(pnl) > 0 THEN avg(pnl) / stddev_samp(pnl) END, 6) AS sharpe
-FROM j GROUP BY 1"""
+FROM j GROUP BY 1, 2"""
 
 SQL["average_crosses"] = "WITH " + bars_cte() + scale_cte() + """,
 av AS (SELECT *, CASE WHEN rn >= 20 THEN avg(close) OVER (ORDER BY t ROWS 19 PRECEDING) END AS f,

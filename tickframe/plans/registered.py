@@ -467,25 +467,25 @@ def _trades(spark, sf) -> DataFrame:
 
 @query
 def next_bar_fills(spark, sf):
-    """Every signal of the first parameter set against the bar that follows it."""
+    """Every signal of every parameter set against the bar that follows it, if there is one."""
     bars = _tradable(spark, sf)
-    signals = breakout(bars, SG.expand(GRID)[:1]).where("direction is not null")
+    signals = breakout(bars, SG.expand(GRID)).where("direction is not null")
     following = bars.select("symbol", (F.col("bar_no") - 1).alias("bar_no"),
                             *[F.col(c).alias(f"_{c}") for c in ("open", "high", "low")])
     o, h, low = (F.col(f"_{c}") for c in ("open", "high", "low"))
     way = F.col("direction")
-    rows = (signals.join(following, ["symbol", "bar_no"])
+    rows = (signals.join(following, ["symbol", "bar_no"], "left")
             .withColumn("entry_price", O.entry_price(way, F.col("entry_stop"), o, h, low))
             .withColumn("x", O.exit_fill(way, F.col("stop_price"), F.col("target_price"), o, h, low)))
-    return rows.select("symbol", _time(), "direction", "entry_price", F.col("x.price").alias("exit_price"),
-                       F.col("x.reason").alias("reason"), F.col("x.ambiguous").alias("ambiguous"))
+    return rows.select("symbol", F.col("param_id").cast("long").alias("param_id"), _time(), "direction", "entry_price",
+                       F.col("x.price").alias("exit_price"), F.col("x.reason").alias("reason"), F.col("x.ambiguous").alias("ambiguous"))
 
 
 @query
 def bracket_outcomes(spark, sf):
-    signals = breakout(_tradable(spark, sf), SG.expand(GRID)[:1])
-    return O.bracket_outcomes(signals).select(
-        "symbol", "segment", "time", "direction", "entry_time", "entry_price", "exit_time",
+    signals = breakout(_tradable(spark, sf), SG.expand(GRID))
+    return O.bracket_outcomes(signals, keys=["symbol", "param_id"]).select(
+        "symbol", F.col("param_id").cast("long").alias("param_id"), "segment", "time", "direction", "entry_time", "entry_price", "exit_time",
         "exit_price", "reason", "ambiguous", "same_bar")
 
 
@@ -789,8 +789,11 @@ def autocorrelation(spark, sf):
 def tearsheet(spark, sf):
     bars = _tradable(spark, sf)
     trades = O.trade_book(breakout(bars, SG.expand(GRID)), keys=["symbol", "param_id"], **BOOK)
-    return RE.tearsheet(trades.where("param_id = 0"), bars, M.POINT_VALUE).select(
-        "symbol", "days", *_rounded("alpha", "beta", "corr", "sharpe"))
+    books = bars.withColumn("param_id", F.explode(F.lit(list(range(len(SG.expand(GRID))))))).withColumn(
+        "param_id", F.col("param_id").cast("long"))
+    return RE.tearsheet(trades.withColumn("param_id", F.col("param_id").cast("long")), books, M.POINT_VALUE,
+                        keys=["symbol", "param_id"]).select(
+        "symbol", "param_id", "days", *_rounded("alpha", "beta", "corr", "sharpe"))
 
 
 @query
