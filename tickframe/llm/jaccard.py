@@ -6,6 +6,9 @@ the first ``n - ceil(percent * n) + 1`` of either (prefix filter), so only those
 The order is then cut into ``fragments`` by hash range; for every candidate pair each fragment counts its
 partial overlap by itself, and the partial counts are summed per pair.
 
+Before that, a parity bitmap a class bounds a pair from below: every shingle flips one bit, so two
+sets differ by at least as many shingles as their bitmaps differ in bits.
+
 Documents with equal sets are one class and meet nobody on each other's behalf. A class links
 first with two hubs per shingle; whatever that leaves in different components and still shares a
 prefix shingle is compared pair by pair. So a group of thousands of near copies costs a few
@@ -27,6 +30,7 @@ from tickframe.operators.series import settle
 
 BITS = 26      # of the two bitmaps: 8 MB each, whatever the corpus holds
 SALTS = 64     # parts a frequent shingle's rows are dealt to
+MARKS = 8      # 64-bit words of a class's parity bitmap
 
 
 def set_class(hashes: np.ndarray) -> int:
@@ -35,6 +39,12 @@ def set_class(hashes: np.ndarray) -> int:
     return int(words.mix(total[None]).view(np.int64)[0])
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap in which every shingle of the set flips one bit."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * MARKS), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(batches, text: str, size: int):
     """(batch, row number, sorted set) for each row, slice by slice."""
     for batch in batches:
@@ -52,14 +62,15 @@ def prefix_length(n: int, percent: int) -> int:
 def _signatures(size: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, classes = [], []
+            counts, classes, marks = [], [], []
             for _, _, found in _sets([batch], "text", size):
                 counts.append(len(found))
                 classes.append(set_class(found))
+                marks.append(parity(found))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in batch.schema.names if k != "text"),
-                 pa.array(counts, pa.int64()), pa.array(classes, pa.int64())],
-                names=[*(k for k in batch.schema.names if k != "text"), "n", "cls"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()),
+                 pa.array(classes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "cls", "marks"])
     return run
 
 
@@ -162,13 +173,19 @@ def _possible(percent: int) -> Column:
     return left * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
 
 
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs a > b of rows that hold both sides of a shared shingle."""
-    return (rows.where("cls1 <> cls2").where(_possible(percent))
+def _close(percent: int, x: str, y: str) -> Column:
+    """Whether two parity bitmaps leave room for enough overlap of sets of n1 and n2."""
+    apart = sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(MARKS)), F.lit(0))
+    return apart * (100 + percent) <= (100 - percent) * (F.col("n1") + F.col("n2"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs a > b of rows with two different classes."""
+    first = F.col("cls1") > F.col("cls2")
+    return (rows.where("cls1 <> cls2")
             .select(F.greatest("cls1", "cls2").alias("a"), F.least("cls1", "cls2").alias("b"),
-                    F.when(F.col("cls1") > F.col("cls2"), F.col("n1")).otherwise(F.col("n2")).alias("na"),
-                    F.when(F.col("cls1") > F.col("cls2"), F.col("n2")).otherwise(F.col("n1")).alias("nb"))
-            .distinct())
+                    F.when(first, F.col("n1")).otherwise(F.col("n2")).alias("na"),
+                    F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("nb")).distinct())
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, size: int, percent: int, fragments: int) -> DataFrame:
@@ -176,9 +193,8 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, size: int, percent: int, fr
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     wanted = spark.sparkContext.broadcast(bitmap_of(nodes, "cls"))
-    sets = settle(docs.select("text").mapInArrow(
-        _fragments(size, fragments, wanted), "cls long, part int, hs array<long>")
-        .dropDuplicates(["cls", "part"]))
+    sets = (docs.select("text").mapInArrow(_fragments(size, fragments, wanted), "cls long, part int, hs array<long>")
+            .dropDuplicates(["cls", "part"]))
     spread = pairs.withColumn("part", F.explode(F.lit(list(range(fragments)))))
     left = sets.select(F.col("cls").alias("a"), "part", F.col("hs").alias("x"))
     right = sets.select(F.col("cls").alias("b"), "part", F.col("hs").alias("y"))
@@ -190,7 +206,7 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, size: int, percent: int, fr
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, frequent: int = 24,
                     fragments: int = 4) -> DataFrame:
-    """``docs`` (doc_id, text) → doc_id, n_shingles, cls, component_id; a row per row.
+    """``docs`` (doc_id, text) → doc_id, n_shingles, component_id, cls, root, text_hash; a row per row.
 
     ``component_id`` is the smallest doc_id reachable by links. Texts that are null, empty or
     without words have an empty set and link with nothing; a text of fewer than ``size`` words
@@ -200,7 +216,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, freque
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    members = settle(docs.mapInArrow(_signatures(size), "doc_id long, n long, cls long"))
+    members = settle(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _signatures(size), "doc_id long, text_hash long, n long, cls long, marks array<long>"))
+    marks = settle(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("marks").alias("marks")))
     first = docs.select("text").mapInArrow(_first_prefixes(size, percent), "h long")
     often = first.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > frequent)
     bitmap = spark.sparkContext.broadcast(bitmap_of(often, "h"))
@@ -214,29 +232,47 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, freque
     hub = F.struct("cls", "n", "pos")
     hubs = shared.groupBy("h").agg(F.min(hub).alias("lo"), F.max(hub).alias("hi")).where("lo.cls <> hi.cls")
     hubs = hubs.select("h", F.explode(F.array("lo", "hi")).alias("hub"))
-    near = settle(_pairs(shared.select("h", F.col("cls").alias("cls1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"))
-                         .join(hubs.select("h", F.col("hub.cls").alias("cls2"), F.col("hub.n").alias("n2"),
-                                           F.col("hub.pos").alias("pos2")), "h"), percent))
+    met = shared.select("h", F.col("cls").alias("cls1"), F.col("n").alias("n1"), F.col("pos").alias("pos1")).join(
+        hubs.select("h", F.col("hub.cls").alias("cls2"), F.col("hub.n").alias("n2"), F.col("hub.pos").alias("pos2")), "h")
+    near = _pairs(met.where(_possible(percent)))
+    side = lambda k, c: marks.select(F.col("cls").alias(c), F.col("marks").alias(f"marks{k}"))
+    near = settle(near.withColumns({"n1": F.col("na"), "n2": F.col("nb")}).join(side(1, "a"), "a").join(side(2, "b"), "b")
+                  .where(_close(percent, "marks1", "marks2")).select("a", "b", "na", "nb"))
     links = settle(similar_pairs(docs, near, size, percent, fragments).select("a", "b"))
     roots = settle(components(links))
 
     placed = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls"))
     split = placed.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
-    open_ = settle(placed.join(split.select("h"), "h"))
-    side = lambda k: open_.select("h", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "pos", "root")))
-    rest = settle(_pairs(side(1).join(side(2), "h").where("root1 <> root2 and cls1 < cls2"), percent)
-                  .join(near.select("a", "b"), ["a", "b"], "left_anti"))
+    open_ = settle(placed.join(split.select("h"), "h").join(marks.select("cls", "marks"), "cls"))
+    side = lambda k: open_.select("h", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "pos", "root", "marks")))
+    rest = side(1).join(side(2), "h").where("root1 <> root2 and cls1 < cls2").where(_possible(percent)).where(
+        _close(percent, "marks1", "marks2"))
+    rest = settle(_pairs(rest).join(near.select("a", "b"), ["a", "b"], "left_anti"))
     more = similar_pairs(docs, rest, size, percent, fragments).select("a", "b")
     links = settle(links.unionByName(more))
     roots = settle(components(links))
 
-    named = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = settle(named.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    named = settle(marks.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
                    .withColumn("root", F.coalesce("root", "cls")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(least, "root").select("cls", "component_id", "root")
     return (members.join(ids, "cls", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    "cls", "root"))
+                    "cls", "root", "text_hash"))
+
+
+def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+    """One row of each component of near duplicates: that of its smallest doc_id, nulls last.
+
+    Rows without words are linked with nothing and all stay. Of repeated rows one stays. All
+    columns pass through.
+    """
+    found = near_duplicates(docs, **parameters).where("root is not null")
+    first = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_text"))
+    marked = docs.withColumn("_hash", F.xxhash64("text"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = marked.where(worded).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).unionByName(marked.where(~worded)).drop("_hash")
