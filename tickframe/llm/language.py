@@ -107,17 +107,18 @@ class LanguageModel:
         alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
         steps = [symbols[begin[:n] + k] for k, n in enumerate(alive.tolist())]
         for at, table in enumerate(self.tables):
-            flat, width = table.ravel(), table.shape[1]
-            root = np.maximum(table[0], 0)        # an unknown character leaves the parse at the root
-            state = np.zeros(len(begin), np.int32)
+            # one state more, from which nothing goes on: before the first phrase and after an unknown character
+            flat, width = np.append(table.ravel(), np.full(table.shape[1], -1, np.int32)), table.shape[1]
+            root = np.where(table[0] < 0, len(table), table[0])
+            state = np.full(len(begin), len(table), np.int32)
             made = np.zeros(len(begin), np.int32)
             for n, c in zip(alive.tolist(), steps):
                 to = flat[state[:n] * width + c]
                 failed = to < 0
-                # a phrase ends where the automaton cannot go on, and the next begins with c
+                # where the automaton cannot go on, a phrase begins with c
                 made[:n] += failed
                 state[:n] = np.where(failed, root[c], to)
-            counts[:, at] = np.bincount(owner, weights=made + 1, minlength=len(sizes)).astype(np.int64)
+            counts[:, at] = np.bincount(owner, weights=made, minlength=len(sizes)).astype(np.int64)
         return counts
 
     def predict(self, data: np.ndarray, limits: np.ndarray) -> tuple[list[str], np.ndarray]:
