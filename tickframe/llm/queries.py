@@ -102,7 +102,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_lexical_packing, op7_decision_list_quality, op8_cross_parsing_language, op9_wu_manber_decontamination,
         op10_token_counts)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w from documents),
+sh as (
+  select distinct doc_id, array_to_string(w[k:k + least(len(w), 5) - 1], ' ') s
+  from w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) r(k) where len(w) > 0),
+size as (select doc_id, count(*) n from sh group by 1),
+meet as (select a.doc_id x, b.doc_id y, count(*) i from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (
+  select x, y from meet join size a on a.doc_id = x join size b on b.doc_id = y where 100 * i >= 75 * (a.n + b.n - i)),
+edge as (select x, y from link union select y, x from link),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, e.y from reach r join edge e on r.y = e.x)
+select d.doc_id, coalesce(n, 0) n_shingles, least as component_id
+from documents d left join size using (doc_id) join (select x, min(y) least from reach group by 1) on x = d.doc_id""",
+    "op9_wu_manber_decontamination": rf"""
+with dw as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+iw as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+win as (
+  select item_id, least(len(w), 10) m, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') t
+  from iw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) r(k) where len(w) > 0),
+spot as (
+  select doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') t
+  from dw, (select distinct m from win), unnest(range(1, len(w) - m + 2)) r(k)),
+occ as (select a.doc_id, k, a.m, item_id from spot a join win x on x.t = a.t and x.m = a.m),
+hit as (select doc_id, count(distinct p) n from occ, unnest(range(k, k + m)) u(p) group by 1),
+its as (
+  select doc_id, count(*) n, string_agg(i, ',' order by i) s
+  from (select distinct doc_id, cast(item_id as varchar) i from occ) group by 1)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(h.n, 0) n_hit, coalesce(i.n, 0) n_items,
+  sha256(coalesce(s, '')) items_sha256, coalesce(h.n, 0) > 0 contaminated
+from dw d left join hit h using (doc_id) left join its i using (doc_id)""",
     "op2_warc_merkle_fixity": r"""
 with laid as (
   select cast(coalesce(floor(page_id / 512.0), -1) as bigint) file, page_id, url, html from pages),
