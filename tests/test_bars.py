@@ -131,3 +131,19 @@ def test_normalise_and_instruments(spark):
         assert "unknown instrument" in str(err)
     else:
         raise AssertionError("unknown instrument passed")
+
+
+def test_many_files_need_no_join(spark, tmp_path):
+    """Ticks of ten files fold in file order without an exchange of ticks on the file."""
+    rows = [("NQ", BASE + k // 4, 100.0 + k % 7 * 0.25, k) for k in range(400)]
+    t = (spark.createDataFrame(rows, "symbol string, s long, price double, k long")
+         .selectExpr("symbol", "timestamp_seconds(s) as ts", "price", "price - 0.25 as bid", "price as ask", "1L as volume",
+                     "0.0D as adj", "k as seq"))
+    (t.repartitionByRange(10, "seq").sortWithinPartitions("seq").drop("seq")
+     .write.parquet(str(tmp_path / "ticks")))
+    from tickframe.sources.bars import read_ticks
+    read = read_ticks(spark, str(tmp_path / "ticks"))
+    folded = B.fold_ticks(read, 30)
+    assert sorted(folded.collect()) == sorted(B.fold_ticks(t, 30).collect())
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1      # the anchors, on bars

@@ -45,17 +45,23 @@ def fold_ticks(ticks: DataFrame, step: int) -> DataFrame:
     """Back-adjusted bars of ``step`` seconds; ``seq`` (file order) resolves equal timestamps.
 
     One hash aggregation with map-side partials: a hot symbol shrinks to its bars before the
-    shuffle, so no task sees its ticks together. Adding the anchor keeps the order of prices, so
-    ticks are folded net of their own offset and only the bars meet the anchor.
+    shuffle, so no task sees its ticks together. Ticks of several files are folded file by file, ordered by
+    a number alone, and only what each file has of a bar is put in the files' order. Adding the anchor keeps
+    the order of prices, so ticks are folded net of their own offset and only the bars meet the anchor.
     """
     side = F.col("side") if "side" in ticks.columns else aggressor()
     net = (F.col("price") - F.col("adj")).alias("price")
-    bars = (ticks.select("symbol", close_label("ts", step).alias("label"), "seq", net,
+    files = [c for c in ("file",) if c in ticks.columns]
+    bars = (ticks.select("symbol", close_label("ts", step).alias("label"), *files, "seq", net,
                          "volume", side.alias("side"))
-            .groupBy("symbol", "label")
+            .groupBy("symbol", "label", *files)
             .agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"),
                  F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
                  *_flow_sums(F.col("side"))))
+    if files:
+        bars = bars.groupBy("symbol", "label").agg(
+            F.min_by("open", "file").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+            F.max_by("close", "file").alias("close"), *[F.sum(c).alias(c) for c in ("volume", *FLOW)])
     return bars.join(anchors(ticks), "symbol").select(
         "symbol", F.col("label").alias("ts"), *[(F.col(c) + F.col("anchor")).alias(c) for c in OHLC],
         "volume", *FLOW)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe import config
@@ -63,23 +63,14 @@ def read_bars(spark: SparkSession, root: str, symbol: str | None = None,
 
 
 def read_ticks(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """Ticks with ``seq``, their position in the file - the only order equal stamps have.
+    """Ticks with ``file`` and ``seq``, their row in it - the only order equal stamps have.
 
-    Several files count in name order. Only the needed columns are read.
+    Several files count in name order. Only the needed columns are read, and no tick is moved.
     """
     raw = spark.read.parquet(path)
     name = F.lit(symbol) if symbol is not None else F.col("symbol")
-    rows = raw.select(name.alias("symbol"), *TICK_COLUMNS,
-                      F.col("_metadata.file_path").alias("_file"),
-                      F.col("_metadata.row_index").alias("_row"))
-    if len(raw.inputFiles()) == 1:
-        return rows.withColumn("seq", F.col("_row")).drop("_file", "_row")
-    # One row per file, so the single-partition ranking only ever sees file names.
-    names = raw.select(F.col("_metadata.file_path").alias("_file")).distinct()
-    ranked = names.withColumn("_no", F.row_number().over(Window.orderBy("_file")) - 1)
-    return (rows.join(ranked, "_file")
-            .withColumn("seq", F.shiftleft(F.col("_no").cast("long"), 40) + F.col("_row"))
-            .drop("_file", "_row", "_no"))
+    return raw.select(name.alias("symbol"), *TICK_COLUMNS, F.col("_metadata.file_path").alias("file"),
+                      F.col("_metadata.row_index").alias("seq"))
 
 
 def write_levels(levels: DataFrame, root: str) -> None:
