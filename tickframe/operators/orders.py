@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tickframe import config
 from tickframe.operators.fold import chunked_fold, ordered_fold
 from tickframe.operators.series import Running, running
+from tickframe.sources.bars import with_instrument
 
 SLIP = config.SLIPPAGE_TICKS * config.TICK_SIZE
 CHUNK = 1_000_000
@@ -251,13 +252,14 @@ class BookFold:
         return pd.concat([keys, made], axis=1)
 
 
-def trade_book(signals: DataFrame, *, keys: Sequence[str] = ("symbol",), point_value: float = 1.0,
+def trade_book(signals: DataFrame, *, keys: Sequence[str] = ("symbol",), point_value: float | None = 1.0,
                size: int = 1, commission: float = config.COMMISSION_PER_SIDE, slip: float = SLIP,
                hold: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Closed trades of one book per ``keys``, numbered, with dollars and running profit.
 
     ``signals`` carry ``bar_no`` and ``gap_before``. Books are independent and run in parallel,
-    and each is cut into chunks of ``chunk`` bars that do, too (see ``chunked_fold``).
+    and each is cut into chunks of ``chunk`` bars that do, too (see ``chunked_fold``). With
+    ``point_value`` None a point is worth what the instrument table says for the symbol.
     """
     rows = signals.select(*keys, "bar_no", "gap_before", F.unix_seconds("ts").alias("time"), *BAR[1:])
     schema = T.StructType([
@@ -273,7 +275,9 @@ def trade_book(signals: DataFrame, *, keys: Sequence[str] = ("symbol",), point_v
         return BookFold(slip, hold)
 
     found = chunked_fold(rows, keys, "bar_no", make, schema, chunk)
-    worth = point_value * size
+    if point_value is None:
+        found = with_instrument(found)
+    worth = (F.col("point_value") if point_value is None else F.lit(float(point_value))) * size
     charge = 2 * commission * size
     priced = found.select(
         *keys, "entry_time", "exit_time", "direction", "entry_price", "exit_price",

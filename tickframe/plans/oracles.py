@@ -239,7 +239,7 @@ FROM sess GROUP BY 1""")
 SQL["ribbon_lines"] = ("WITH " + bars_cte() + scale_cte() + ribbon_cte() + """
 SELECT symbol, t AS time, CAST(p AS INTEGER) * 5 AS period, round(ribbon[p], 6) AS value,
        round(ribbon_prev[p], 6) AS previous
-FROM fan, range(1, 33) r(p) WHERE ribbon[p] IS NOT NULL""")
+FROM fan, range(1, 33) r(p)""")
 
 SQL["named_averages"] = ("WITH " + bars_cte() + scale_cte() + "SELECT symbol, t AS time, " + ", ".join(
     f"CASE WHEN rn >= {p} THEN round(avg(close) OVER (PARTITION BY symbol ORDER BY t "
@@ -248,7 +248,7 @@ SQL["named_averages"] = ("WITH " + bars_cte() + scale_cte() + "SELECT symbol, t
 
 SQL["regime_readings"] = ("WITH " + bars_cte() + scale_cte() + ribbon_cte() + REGIME_CTE + """
 SELECT symbol, t AS time, round(ribbon_align, 6) AS ribbon_align, round(ribbon_agree, 6) AS ribbon_agree,
-       round(ribbon_width, 6) AS ribbon_width FROM readings WHERE ribbon_width IS NOT NULL""")
+       round(ribbon_width, 6) AS ribbon_width FROM readings""")
 
 SQL["regime_label"] = ("WITH RECURSIVE " + bars_cte() + scale_cte() + ribbon_cte() + REGIME_CTE + """,
 cls AS MATERIALIZED (
@@ -919,6 +919,10 @@ FROM events GROUP BY 1, 2"""
 SQL["stream_bars_replay"] = "WITH " + bars_cte() + f"""
 SELECT {BAR_COLS} FROM bars WHERE t < (SELECT max(epoch(ts)) FROM ticks) - 60"""
 
+SQL["stream_rungs_replay"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS timeframe, * FROM (WITH {bars_cte('ALL', step)} SELECT {BAR_COLS} FROM bars "
+    f"WHERE t < (SELECT max(epoch(ts)) FROM ticks) - 60)" for name, step in (("30m", 1800), ("60m", 3600)))
+
 STREAM_COLS = """SELECT s.symbol, s.t AS time, range_scale, swing, swing_price, swing_time, hunting,
        round(retrace, 6) AS retrace, "trigger", bos, bos_level, bos_time
 FROM struct s JOIN scaled c ON c.symbol = s.symbol AND c.t = s.t"""

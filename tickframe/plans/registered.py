@@ -195,7 +195,7 @@ def ribbon_lines(spark, sf):
         F.get(F.array(*[F.lit(p) for p in config.RIBBON_PERIODS]), i).alias("period"),
         F.round(v, 6).alias("value"), F.round(F.get("ribbon_prev", i), 6).alias("previous")))
     return (fan.select("symbol", _time(), F.explode(lines).alias("l"))
-            .select("symbol", "time", "l.*").where("value is not null"))
+            .select("symbol", "time", "l.*"))
 
 
 @query
@@ -211,7 +211,7 @@ def _regime(spark, sf) -> DataFrame:
 
 @query
 def regime_readings(spark, sf):
-    return _regime(spark, sf).where("ribbon_width is not null").select(
+    return _regime(spark, sf).select(
         "symbol", _time(), *_rounded("ribbon_align", "ribbon_agree", "ribbon_width"))
 
 
@@ -607,6 +607,15 @@ def captured_trades(spark, sf):
         F.sum(F.col("volume") * F.col("side")).alias("delta"), F.min_by("price", "ts").alias("first_price"))
 
 
+RUNGS = ("30m", "60m")
+
+
+def _stateful(spark) -> None:
+    """Stateful processors keep their state in RocksDB; a session says so before it starts them."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def _thirds(rows: DataFrame) -> list[DataFrame]:
     """Three consecutive parts of the month, as a feed would deliver them."""
     cuts = [F.lit(c).cast("timestamp") for c in ("2024-01-11", "2024-01-21")]
@@ -620,12 +629,22 @@ def stream_bars_replay(spark, sf):
     return _bars_out(LV.replay(spark, _thirds(rows), lambda s: LV.stream_bars(s, M.STEP)))
 
 
+@query
+def stream_rungs_replay(spark, sf):
+    """Two timeframes of closed bars from one tick stream."""
+    rows = settle(B.back_adjust(M.ticks(spark, sf, "ALL")).select("symbol", "ts", "seq", "price", "volume", "side"))
+    rungs = [_bars_out(LV.replay(spark, _thirds(rows), lambda s, n=name: LV.stream_rungs(s, RUNGS)[n])
+                       .withColumn("timeframe", F.lit(name)), "timeframe") for name in RUNGS]
+    return rungs[0].unionByName(rungs[1])
+
+
 def _live():
     return LV.LiveStructure(window=M.TEST_WINDOW)
 
 
 @query
 def stream_structure_replay(spark, sf):
+    _stateful(spark)
     bars = M.bars(spark, sf, "event_type", 3600)
     found = LV.replay(spark, _thirds(bars), lambda s: LV.stream_structure(s, _live))
     return found.select("symbol", "time", "range_scale", "swing", "swing_price", "swing_time", "hunting",
@@ -635,6 +654,7 @@ def stream_structure_replay(spark, sf):
 @query
 def stream_seek(spark, sf):
     """Start mid-month from a silently warmed state; the rest equals having played into it."""
+    _stateful(spark)
     parts = _thirds(M.bars(spark, sf, "event_type", 3600))
     warm = settle(LV.warm_state(parts[0].unionByName(parts[1]), _live))
     found = LV.replay(spark, [parts[2]], lambda s: LV.stream_structure(s, _live, warm))
@@ -644,6 +664,7 @@ def stream_seek(spark, sf):
 
 @query
 def stream_prevailing_quote(spark, sf):
+    _stateful(spark)
     quotes, trades = _quotes_and_trades(spark, sf)
     none = F.lit(None).cast("double")
     merged = settle(
@@ -703,10 +724,10 @@ def first_touch(spark, sf):
     return RE.first_touch(rows, 2.0).select("symbol", F.col("at").alias("time"), "label", "touched")
 
 
-def _moves(spark, sf) -> DataFrame:
+def _moves(spark, sf, horizons=(1, 4, 12)) -> DataFrame:
     rows = X.absorption(_scaled(M.bars(spark, sf, "event_type", 3600), 3600))
     rows = rows.withColumn("state", F.coalesce("absorption_side", F.lit("none")))
-    return settle(RE.forward_moves(rows, (1, 4, 12), ["state"]))
+    return settle(RE.forward_moves(rows, horizons, ["state"]))
 
 
 @query
@@ -719,7 +740,7 @@ def forward_returns(spark, sf):
 
 @query
 def signal_episodes(spark, sf):
-    one = _moves(spark, sf).where("horizon = 4")
+    one = _moves(spark, sf, (4,))
     found = settle(RE.episodes(one, "state"))
     return RE.concentration(found, "state").select("symbol", "state", "episodes", *_rounded("total", "top_share"))
 
@@ -768,13 +789,13 @@ def overnight_returns(spark, sf):
 
 @query
 def sign_flip_null(spark, sf):
-    found = RE.sign_flipped(_moves(spark, sf).where("horizon = 4"), 10)
+    found = RE.sign_flipped(_moves(spark, sf, (4,)), 10)
     return found.select("symbol", F.col("seed").cast("long").alias("seed"), "n", *_rounded("mean"))
 
 
 @query
 def shuffled_null(spark, sf):
-    found = RE.shuffled(_moves(spark, sf).where("horizon = 4"), "state", 3)
+    found = RE.shuffled(_moves(spark, sf, (4,)), "state", 3)
     return found.select("symbol", "state", F.col("seed").cast("long").alias("seed"), "n", *_rounded("mean"))
 
 

@@ -89,6 +89,8 @@ def walk_forward(bars: DataFrame, strategy: Strategy, grid: dict[str, list], obj
     keys = ["symbol", "fold"]
     by = [*keys, "param_id"]
     folds = settle(fold_windows(bars, is_days, oos_days, step_days, anchored))
+    if folds.isEmpty():
+        raise ValueError(f"no fold of {is_days} and {oos_days} days fits the bars")
     combos = expand(grid)
     ranked = sweep(_inside(bars, folds, "is_start", "is_end"), strategy, grid, objective, keys=keys,
                    min_trades=min_trades, capital=capital, **book)

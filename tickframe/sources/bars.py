@@ -51,14 +51,16 @@ def write_bars(bars: DataFrame, root: str) -> None:
 
 def read_bars(spark: SparkSession, root: str, symbol: str | None = None,
               timeframe: str | None = None) -> DataFrame:
-    """Stored bars; symbol and timeframe prune partitions."""
-    if timeframe is not None:
-        config.seconds(timeframe)
+    """Stored bars; symbol and timeframe prune partitions. A dataset that is not there is an error."""
+    if timeframe is not None and timeframe not in config.TIMEFRAMES:
+        raise ValueError(f"not a timeframe: {timeframe!r}")
     out = spark.read.parquet(root)
     if symbol is not None:
         out = out.where(F.col("symbol") == symbol)
     if timeframe is not None:
         out = out.where(F.col("timeframe") == timeframe)
+    if (symbol is not None or timeframe is not None) and out.isEmpty():
+        raise LookupError(f"no bars of {symbol or 'any symbol'}, {timeframe or 'any timeframe'} in {root}")
     return out
 
 

@@ -1,7 +1,9 @@
 """Streams: closed bars, prevailing quotes, and the structure fold with its own scale.
 
-Event time rules: rows later than the watermark are dropped and counted by ``observe``; bars
-leave once the watermark passes their close.
+Event time rules: rows later than the watermark are dropped (the query's progress counts them as
+``numRowsDroppedByWatermark``; ``observe`` counts what came in); bars
+leave once the watermark passes their close. Stateful streams need the session's state store provider
+set to RocksDB.
 """
 
 from __future__ import annotations
@@ -115,9 +117,6 @@ def _rows(bars: DataFrame) -> DataFrame:
 def stream_structure(bars: DataFrame, make: Callable[[], LiveStructure] = LiveStructure,
                      warm: DataFrame | None = None) -> DataFrame:
     """Swings and breaks of a bar stream; ``warm`` (symbol, text) starts it mid-way."""
-    bars.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return _rows(bars).groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=_StructureProcessor(make), outputStructType=live_schema(),
         outputMode="Append", timeMode="None",
@@ -168,9 +167,6 @@ class _QuoteProcessor(StatefulProcessor):
 def stream_prevailing(merged: DataFrame) -> DataFrame:
     """Trades of a merged stream (symbol, time, kind 0 quote / 1 trade, seq, price, bid, ask)
     with the prevailing quote of each side."""
-    merged.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return merged.groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=_QuoteProcessor(), outputMode="Append", timeMode="None",
         outputStructType="symbol string, time long, seq long, price double, bid double, ask double")
