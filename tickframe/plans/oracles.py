@@ -934,31 +934,58 @@ def _after_with(sql: str) -> str:
     return sql.split("WITH RECURSIVE ", 1)[1]
 
 
+def _mean(p: int) -> str:
+    return f"CASE WHEN b.rn >= {p} THEN avg(b.close) OVER (ORDER BY b.t ROWS {p - 1} PRECEDING) END AS ma_{p}"
+
+
 SQL["snapshot"] = f"""
-WITH base AS MATERIALIZED ({STRUCT_ALL + LEGS_CTE + ribbon_cte() + REGIME_CTE} 
-  SELECT b.symbol, b.t, b.close, b.delta, b.range_scale, s.swing, s.swing_price, s.bos, s.bos_level, s.retrace,
+WITH base AS MATERIALIZED ({STRUCT_ALL + LEGS_CTE + ribbon_cte() + REGIME_CTE}
+  SELECT b.symbol, b.t, b.close, b.delta, b.buy_volume, b.sell_volume, b.trades, b.range_scale, s.swing, s.swing_price,
+         s.swing_time, s.extreme_high, s.extreme_high_time, s.extreme_low, s.extreme_low_time, s.hunting, s."trigger",
+         s.bos, s.bos_level, s.bos_time, s.retrace,
          CASE WHEN b.close > b.open AND b.delta < 0 THEN 'buy' WHEN b.close < b.open AND b.delta > 0 THEN 'sell' END AS absorption_side,
-         CASE WHEN tu.ft IS NOT NULL THEN tu.fp END AS leg_from_price, r.ribbon_align, r.ribbon_width,
-         r.ribbon[10] AS ma_50,
+         CASE WHEN tu.ft IS NOT NULL THEN CASE WHEN tu.swing_price > tu.fp THEN 'up' ELSE 'down' END END AS leg,
+         CASE WHEN tu.ft IS NOT NULL THEN tu.fp END AS leg_from_price, tu.ft AS leg_from_time,
+         CASE WHEN tu.ft IS NOT NULL THEN tu.swing_price END AS leg_to_price,
+         CASE WHEN tu.ft IS NOT NULL THEN tu.swing_time END AS leg_to_time,
+         r.ribbon_align, r.ribbon_agree, r.ribbon_width, f.ribbon, f.ribbon_prev, {_mean(50)}, {_mean(100)}, {_mean(200)},
          count(s.swing) OVER (ORDER BY b.t ROWS UNBOUNDED PRECEDING) AS n_sw
-  FROM scaled b JOIN struct s ON s.t = b.t JOIN readings r ON r.t = b.t LEFT JOIN turns tu ON tu.t = b.t),
+  FROM scaled b JOIN struct s ON s.t = b.t JOIN readings r ON r.t = b.t JOIN fan f ON f.t = b.t
+  LEFT JOIN turns tu ON tu.t = b.t),
 lab AS MATERIALIZED ({SQL["regime_label"]}),
 ses AS MATERIALIZED ({SQL["session_labels"]}),
 pr AS MATERIALIZED ({SQL["profile_readings"]}),
 cp AS MATERIALIZED ({SQL["card_profile"]}),
 cs AS MATERIALIZED ({SQL["card_shape"]}),
+cf AS MATERIALIZED ({SQL["card_flow"]}),
 ph AS MATERIALIZED ({SQL["card_phase"]}),
 pc AS MATERIALIZED ({SQL["card_percentiles"]}),
-tb AS MATERIALIZED ({SQL["travel_budget"].replace("AND session_id < " + SEAL, "")})
-SELECT b.symbol, b.t AS time, b.close, ses.session, ses.session_new, b.range_scale, b.delta, b.absorption_side, b.swing,
-       b.swing_price, b.bos, b.bos_level, b.leg_from_price, lab.regime, lab.regime_new, pr.profile_volume,
-       CASE WHEN pr.poc IS NOT NULL AND n_sw > 0 THEN least(n_sw, 6) END AS n_closed, pr.price_vs_value, cs.session_bars,
-       round(b.retrace, 6) AS retrace, round(b.ribbon_align, 6) AS ribbon_align, round(b.ribbon_width, 6) AS ribbon_width,
-       pr.poc AS profile_poc, pr.value_width, cs.session_range, ph.session_efficiency_recent, cp.session_poc,
-       pc.session_range_percentile, tb.session_travel_budget, round(b.ma_50, 6) AS ma_50, cp.n_hvn
+tb AS MATERIALIZED ({SQL["travel_budget"].replace("AND session_id < " + SEAL, "")}),
+tv AS MATERIALIZED (SELECT t, sum(volume) OVER (PARTITION BY session_id ORDER BY t) AS traded FROM (
+  WITH {bars_cte() + sessions_cte()} SELECT t, session_id, volume FROM sess WHERE session_id IS NOT NULL))
+SELECT b.symbol, b.t AS time, b.close, ses.session, ses.session_new, round(b.range_scale, 6) AS range_scale, b.delta,
+       b.buy_volume, b.sell_volume, b.trades, b.absorption_side IS NOT NULL AS absorption, b.absorption_side, b.swing,
+       b.swing_price, b.swing_time, b.extreme_high, b.extreme_high_time, b.extreme_low, b.extreme_low_time, b.hunting,
+       round(b.retrace, 6) AS retrace, round(b."trigger", 6) AS "trigger", b.bos, b.bos_level, b.bos_time,
+       b.leg, b.leg_from_price, b.leg_from_time, b.leg_to_price, b.leg_to_time,
+       round(b.ribbon_align, 6) AS ribbon_align, round(b.ribbon_agree, 6) AS ribbon_agree, round(b.ribbon_width, 6) AS ribbon_width,
+       lab.regime, lab.regime_new, round(coalesce(list_sum(b.ribbon), 0), 4) AS ribbon_sum,
+       round(coalesce(list_sum(b.ribbon_prev), 0), 4) AS ribbon_prev_sum,
+       {", ".join(f"round(ma_{p}, 6) AS ma_{p}, round(lag(ma_{p}) OVER (ORDER BY b.t), 6) AS ma_prev_{p}" for p in (50, 100, 200))},
+       pr.poc AS profile_poc, pr.val AS profile_val, pr.vah AS profile_vah, pr.from_time AS profile_from_time,
+       CASE WHEN pr.poc IS NOT NULL THEN b.t END AS profile_to_time, pr.profile_volume, pr.value_width, pr.poc_position,
+       pr.poc_distance, pr.price_vs_value, pr.delta_at_poc, pr.profile_volume AS profile_bins_volume,
+       CASE WHEN pr.poc IS NOT NULL AND n_sw > 0 THEN least(n_sw, 6) END AS n_closed,
+       cs.session_bars, cs.session_range, cs.session_net, cs.session_net_ratio, cs.session_closed_ratio,
+       cs.session_high_at_ratio, cs.session_low_at_ratio, cf.session_volume, cf.session_delta_recent,
+       ph.session_efficiency_recent, ph.session_efficiency_prior, ph.session_range_ratio, ph.session_volume_ratio,
+       ph.session_dir_change_rate, cp.session_poc, cp.session_poc_ratio, cp.session_val, cp.session_vah,
+       cp.session_from_time, CASE WHEN cp.session_poc IS NOT NULL THEN b.t END AS session_to_time,
+       CASE WHEN cp.session_poc IS NOT NULL THEN CAST(tv.traded AS BIGINT) END AS session_bins_volume, cp.n_hvn, cp.n_lvn,
+       pc.session_range_percentile, pc.session_travel_percentile, pc.session_volume_percentile, tb.session_travel_budget
 FROM base b JOIN ses ON ses.time = b.t LEFT JOIN lab ON lab.time = b.t LEFT JOIN pr ON pr.time = b.t
-LEFT JOIN cp ON cp.time = b.t LEFT JOIN cs ON cs.time = b.t LEFT JOIN ph ON ph.time = b.t
-LEFT JOIN pc ON pc.time = b.t LEFT JOIN tb ON tb.time = b.t"""
+LEFT JOIN cp ON cp.time = b.t LEFT JOIN cs ON cs.time = b.t LEFT JOIN cf ON cf.time = b.t LEFT JOIN ph ON ph.time = b.t
+LEFT JOIN pc ON pc.time = b.t LEFT JOIN tb ON tb.time = b.t LEFT JOIN tv ON tv.t = b.t"""
 
 
 # ---- audits and studies -----------------------------------------------------

@@ -676,17 +676,23 @@ def stream_prevailing_quote(spark, sf):
 
 @query
 def snapshot(spark, sf):
-    """Selected scalars of the full 76-field row."""
+    """Every field of the 76-field row; lists by their length and sum."""
     dials = SN.Dials(M.TEST_WINDOW, M.TEST_WINDOW, H.FULL, M.SEALED_FROM)
     rows = SN.snapshot(M.bars(spark, sf), M.STEP, levels=M.levels(spark, sf), dials=dials)
+    lists = ("ribbon", "ribbon_prev", "ma", "ma_prev", "profile_bins", "profile_closed", "session_bins", "session_hvn",
+             "session_lvn")
+    total = lambda c: F.round(F.aggregate(F.coalesce(c, F.array().cast("array<double>")), F.lit(0.0),
+                                          lambda a, x: a + F.coalesce(x, F.lit(0.0))), 4)
+    volume = lambda c: F.aggregate(F.col(f"{c}.volume"), F.lit(0).cast("long"), lambda a, x: a + x)
+    kinds = dict(rows.dtypes)
+    scalars = [c for c in SN.fields() if c not in lists]
     return rows.select(
-        "symbol", _time(), "close", "session", "session_new", "range_scale", "delta", "absorption_side", "swing",
-        "swing_price", "bos", "bos_level", "leg_from_price", "regime", "regime_new", "profile_volume",
-        F.size("profile_closed").cast("long").alias("n_closed"), "price_vs_value", "session_bars",
-        *_rounded("retrace", "ribbon_align", "ribbon_width", "profile_poc", "value_width", "session_range",
-                  "session_efficiency_recent", "session_poc", "session_range_percentile", "session_travel_budget"),
-        F.round(F.get("ma", F.lit(0)), 6).alias("ma_50"),
-        F.size("session_hvn").cast("long").alias("n_hvn"))
+        "symbol", _time(), "close", *[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in scalars],
+        *[total(F.col(c)).alias(f"{c}_sum") for c in ("ribbon", "ribbon_prev")],
+        *[F.round(F.get(c, F.lit(i)), 6).alias(f"{c}_{p}") for c in ("ma", "ma_prev") for i, p in enumerate(config.NAMED_AVERAGES)],
+        volume("profile_bins").alias("profile_bins_volume"), volume("session_bins").alias("session_bins_volume"),
+        F.size("profile_closed").cast("long").alias("n_closed"),
+        F.size("session_hvn").cast("long").alias("n_hvn"), F.size("session_lvn").cast("long").alias("n_lvn"))
 
 
 # ---- audits and studies -----------------------------------------------------

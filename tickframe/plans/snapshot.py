@@ -94,11 +94,15 @@ def _profiles(rows: DataFrame, levels: DataFrame) -> DataFrame:
     made = VP.swing_profiles(rows, nested)
     closed = VP.closed_profiles(rows, nested, levels)
     one = F.struct("poc", "val", "vah", "from_time", "to_time", F.col("profile_volume").alias("volume"), "bins")
-    # A bar in range n has seen the profiles before n; range numbers are dense, so the last few
-    # are found by number. Each closed profile reaches at most that many following ranges.
-    held = closed.select("symbol", F.explode(F.sequence(
-        F.col("range_no") + 1, F.col("range_no") + config.MAX_CLOSED_PROFILES)).alias("range_no"),
-        F.col("range_no").alias("_no"), one.alias("_p"))
+    # A bar in range n has seen the profiles before n. A range without a usable bar has no profile, so
+    # profiles are ranked: each reaches the ranges after it, up to the one that closes the last newer profile it outlives.
+    ranked = settle(number_rows(closed.select("symbol", "range_no", F.timestamp_seconds("to_time").alias("_to"), one.alias("_p")),
+                                ["symbol"], ["_to"], name="_no", time="_to"))
+    ends = ranked.select("symbol", (F.col("_no") - config.MAX_CLOSED_PROFILES).alias("_no"), F.col("range_no").alias("_until"))
+    newest = made.groupBy("symbol").agg(F.max("range_no").alias("_newest"))
+    reach = ranked.join(ends, ["symbol", "_no"], "left").join(newest, "symbol").withColumn(
+        "_until", F.coalesce("_until", "_newest")).where("_until > range_no")
+    held = reach.select("symbol", F.explode(F.sequence(F.col("range_no") + 1, F.col("_until"))).alias("range_no"), "_no", "_p")
     lists = held.groupBy("symbol", "range_no").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("_no", "_p"))), lambda x: x["_p"]).alias("profile_closed"))
     return (made.join(lists, ["symbol", "range_no"], "left").select(
