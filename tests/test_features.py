@@ -186,10 +186,20 @@ def grow_model(v, cover=0.7):
     return at, lo, hi
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 50), min_size=1, max_size=30))
-def test_value_area_in_the_fold(v):
-    assert VP._area(np.array(v)) == grow_model(v)
+def test_value_area_in_the_fold(spark):
+    """Developing profiles carry the value area of their bins, whatever the histogram."""
+    rnd = random.Random(5)
+    hists = {f"s{i}": [rnd.randint(1, 50) for _ in range(rnd.randint(1, 30))] for i in range(200)}
+    rows = spark.createDataFrame(
+        [(k, 1.0, True, list(range(400, 400 + len(v))), v, [0] * len(v)) for k, v in hists.items()],
+        "symbol string, range_scale double, publish boolean, ticks array<long>, volumes array<long>, buys array<long>")
+    made = VP.developing(rows.withColumn("ts", F.timestamp_seconds(F.lit(60))), ["symbol"]).collect()
+    assert len(made) == len(hists)
+    for r in made:
+        v = hists[r.symbol]
+        at, lo, hi = grow_model(v)
+        assert (r.poc, r.val, r.vah, r.poc_at) == (100 + at / 4, 100 + lo / 4, 100 + hi / 4, at)
+        assert r.profile_volume == sum(v) and [b.volume for b in r.bins] == v
 
 
 def test_value_area_as_column(spark):
