@@ -7,33 +7,53 @@ the others the columns of documents.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm import decontaminate, jaccard, language, packing, secrets
 from tickframe.llm.tokens import tokenizer_path
 from tickframe.operators.series import settle
+from tickframe.ship import ship
 
+#: Texts can be long: rows go to Python in batches of so many bytes, so a task holds a few megabytes.
+BATCH = "4m"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _stage(work: Callable) -> Callable:
+    """The stage as it runs: the package on the workers, small batches to Python."""
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return work(spark, docs, sf_dir)
+    return run
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null, empty or without letters."""
     model = language.fit(docs.where(language.crc_fold("doc_id", 5) != 0))
     return language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
     return jaccard.keep_one(docs).select(*COLUMNS)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark window occurs."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.benchmark_hits(docs, benchmark).where(~F.col("contaminated")).select(*COLUMNS)
 
 
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; every document stays."""
     found = secrets.find_secrets(docs)
@@ -42,6 +62,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                             .otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences of 4096."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
