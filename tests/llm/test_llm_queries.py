@@ -14,7 +14,9 @@ SF = os.environ.get("TICKFRAME_SF", "/root/testdata/sf0.001")
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
-    said, n, _, _ = differences(spark, name, entry.queries()[name], SQL.get(name), SF)
+    # none of the fifty smallest pages is among the damaged records
+    sf = SF.replace("sf0.001", "sf0.01") if name == "op2_warc_merkle_fixity" else SF
+    said, n, _, _ = differences(spark, name, entry.queries()[name], SQL.get(name), sf)
     assert not said and n > 0
 
 

@@ -27,7 +27,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of all pages' records in which every 97th by hash is changed, cut or lost."""
+    """Audits a replica of all pages' records in which three of 97, by hash, are changed, cut or lost."""
     pages = settle(warc.warc_layout(_table(spark, sf_dir, "pages")))
     record = warc.warc_record(F.col("url"), F.col("html"))
     size, fate = F.length("html"), F.conv(F.substr(F.md5(F.col("page_id").cast("string")), F.lit(1), F.lit(4)), 16, 10).cast("int") % 97
