@@ -1,4 +1,4 @@
-"""Time the headline queries; prints one JSON line.
+"""Time the headline queries, and bars and levels over a dense stored tape; prints one JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [name prefix ...]
 """
@@ -20,6 +20,34 @@ HEADLINE = (
     "sweep_ranked", "walk_forward_oos", "prevailing_quote", "forward_returns", "snapshot")
 
 
+COPIES = 200        # of the events, a month each: 20 million ticks of one symbol at sf0.1
+
+
+def throughput(spark, sf_dir: str) -> dict:
+    """Ticks a second from stored files to 30 s bars and to volume at price."""
+    import tempfile
+
+    from pyspark.sql import functions as F
+    from tickframe.operators import bars as B
+    from tickframe.plans import market as M
+    from tickframe.sources.bars import TICK_COLUMNS, read_ticks
+
+    path = tempfile.mkdtemp(prefix="tickframe-bench-") + "/ticks"
+    month = F.make_interval(days=F.col("copy") * 31)
+    rows = M.ticks(spark, sf_dir, "ALL").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    (rows.withColumn("ts", F.col("ts") + month + F.make_interval(secs=F.pmod("seq", F.lit(60))))
+     .repartitionByRange(16, "copy", "ts").sortWithinPartitions("copy", "ts", "seq")
+     .select("symbol", *TICK_COLUMNS).write.parquet(path))
+    ticks = read_ticks(spark, path)
+    count, out = ticks.count(), {}
+    for name, made in (("bars_30s", B.fold_ticks(ticks, 30)), ("levels_30s", B.price_levels(B.back_adjust(ticks), 30))):
+        start = time.time()
+        made.write.format("noop").mode("overwrite").save()
+        took = time.time() - start
+        out[name] = {"ticks": count, "sec": round(took, 3), "ticks_per_sec": round(count / took)}
+    return out
+
+
 def main():
     from pyspark.sql import SparkSession
     from tickframe.plans.registered import QUERIES
@@ -44,8 +72,9 @@ def main():
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 3)
+    dense = {} if wanted else throughput(spark, sf_dir)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3),
-                      "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+                      "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")), "dense": dense}))
 
 
 if __name__ == "__main__":
