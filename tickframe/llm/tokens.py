@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-CACHE = 800_000    # different words a worker keeps
+CACHE = 400_000    # different words a worker keeps
 
 # Latin letters in composed, lower-case form: one letter run, its own normal form.
 _PLAIN_LOWER = re.compile(r"[a-zß-öø-ÿ]+")
@@ -128,13 +127,13 @@ class WordEncoder:
         self.words = _Cache(self._word)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         if len(word) > 1 and word[-1] in ",." and _PLAIN_LOWER.fullmatch(word, 0, len(word) - 1):
             return self.words[word[:-1]] + self.words[word[-1]]
         if _PLAIN_LOWER.fullmatch(word):
-            return np.array([t.id for t in self.model.tokenize(spelled(word))], np.uint16).tobytes()
+            return array("H", [t.id for t in self.model.tokenize(spelled(word))]).tobytes()
         return self.whole(word)
 
     def encode(self, text: str | None) -> bytes:
@@ -142,16 +141,20 @@ class WordEncoder:
             return b""
         if any([m in text for m in _MARKS]):
             return self.whole(text)
-        # ASCII letters lower-case one by one, as the tokenizer does; words end at ASCII white space
-        return b"".join(map(self.words.__getitem__, _ascii_lower(text).split()))
+        return b"".join(map(self.words.__getitem__, _lower(text).split()))
 
 
 # str.split() parts words here, the tokenizer does not; and special strings.
 _MARKS = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
-def _ascii_lower(text: str) -> str:
-    return text.encode().lower().decode()
+def _lower(text: str) -> str:
+    """Letters that lower-case one by one in any context, as the tokenizer does it: Latin-1, else ASCII."""
+    try:
+        text.encode("latin-1")
+        return text.lower()
+    except UnicodeEncodeError:
+        return text.encode().lower().decode()
 
 
 @lru_cache(maxsize=4)
