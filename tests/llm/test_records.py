@@ -93,6 +93,33 @@ def test_classes_share_vectors(spark):
     assert (4, 1, 3) in sizes and (4, 4, 3) in sizes      # div, p, "same" once a page; ul, li, "x" k times
 
 
+def texts_of(spark, rows):
+    pages = spark.createDataFrame([(k, f"http://h.example.com/{k}", r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    return [r.text for r in html.main_text(pages).orderBy("page_id").collect()]
+
+
+STORY = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+
+
+def test_near_copies_keep_their_text(spark):
+    """Copies with another date are counted once; copies that make up half a host have no block of their own."""
+    rows = [f"<body><div>{STORY}</div><p>Updated {k} May 2024" for k in range(4)]
+    assert texts_of(spark, rows) == [f"{STORY}\n\nUpdated {k} May 2024" for k in range(4)]
+    rows = [f"<body><div><p>{STORY}<p>{STORY[::-1]}<p>{'abc'[k]} seen" for k in range(3)] + [
+        f"<body><div><p>{'xyz'[k]} other" for k in range(3)]
+    got = texts_of(spark, rows)
+    assert all(t.startswith(f"{STORY}\n\n{STORY[::-1]}\n\n") for t in got[:3])
+
+
+def test_order_and_blocks_decide(spark):
+    """A text that is common but out of order, or alone in its vector, is no template; a block that comes whole is."""
+    move = ["<p>Same words</p><p>text {0}</p><div id=a></div><div id=b></div>", "<div id=a></div><div id=b></div><p>text {0}</p><p>Same words</p>"]
+    got = texts_of(spark, ["<body>" + move[k == 4].format(f"nr {'abcde'[k]}") for k in range(5)])
+    assert got[:4] == [f"text nr {c}" for c in "abcd"] and got[4] == "text nr e\n\nSame words"
+    rows = [f"<body><ul><li>m</ul><p>text {'abcde'[k]}</p>{'<div class=msg>We moved</div>' * (k < 3)}{'<p>Read on</p>' * (k > 1)}" for k in range(5)]
+    assert texts_of(spark, rows) == [f"text {c}" for c in "ab"] + ["text c\n\nRead on"] + [f"text {c}\n\nRead on" for c in "de"]
+
+
 # ---- fixity -----------------------------------------------------------------
 
 def leaves(spark, rows):

@@ -3,21 +3,27 @@
 A page is a sequence of tokens: tags in the place they have in the page (the path of open
 elements), and runs of text in that place. Tokens of a host with equal occurrence vectors, the counts page
 by page, form an equivalence class. Vectors are compared by a hash that is combined page by page, so no
-host is ever gathered. Classes on at least half of a host's pages are its template; they
-nest as their places do, and a host's template is no longer than twice its mean page.
+host is ever gathered. Only tokens on at least half of a host's pages come in, so a host's classes are no
+longer than twice its mean page. Near copies of a page count once (``near_mark``).
 
-What the template leaves is slots. Text runs of the template are menus and notices whatever
-their markup; slots inside menus, headers, footers, sidebars, forms, adverts and reader comments
-are left out, and so is a slot outside the article where the page has one. The remaining slots
-are the main text. Inside an article nothing is taken for template text.
+A class of several tokens has an order: that of its tokens' first places, summed over the host's pages. On a
+page its tokens are template where they stand in that order; a class that occurs n times must repeat as a
+whole n times. A text of it is template if the class holds a tag and is on nine tenths of the pages (the frame of the
+host), or if the tag of its own place belongs to the class, so that the text comes and goes with its block.
+Classes nest in each other's slots by these places; what the template leaves are the slots.
+
+The remaining slots are the main text but for those in menus, headers, footers, sidebars, forms, adverts and
+reader comments, and for those outside the article where the page has one. Inside an article nothing is taken for template text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -29,6 +35,7 @@ from tickframe.operators.series import settle
 
 SALTS = 16      # parts the pages of a host are dealt to when its template is joined
 SUPPORT = 3     # pages a host needs for a template
+LONG = 50       # words from which pages that differ in numbers and short dated blocks only are near copies
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -36,6 +43,7 @@ _TOKEN = re.compile(
     r"(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>", re.S | re.I)
+_DIGITS = re.compile(r"\d+")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 # Elements of HTML by what they do here, and the names by which pages mark what is not main text.
@@ -50,12 +58,10 @@ NOTES = frozenset("ad ads adv advert advertisement advertising banner breadcrumb
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _CLOSES_P = BLOCK - {"body", "html", "head", "caption", "tbody", "tfoot", "thead", "tr", "li", "dd", "dt"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
-_KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "p": {"article", "section", "div", "main", "td", "li", "body", "blockquote"}}
+_KEEPS = {"head": set(), "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "p": {"article", "section", "div", "main", "td", "li", "body", "blockquote"}}
 
 
-def _aside(tag: str, attributes: str, inside_main: bool) -> bool:
-    if tag in ASIDE and not (tag == "header" and inside_main):
-        return True
+def _named_aside(attributes: str) -> bool:
     for name, *values in _NAMED.findall(attributes):
         own = "".join(values).lower()
         if name.lower() == "role":
@@ -66,14 +72,32 @@ def _aside(tag: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
+class Open(NamedTuple):
+    """An open element: its aside is certain by its tag, or claimed by ``marks``, elements it is or lies in."""
+    tag: str
+    aside: bool
+    marks: tuple[int, ...]
+    main: bool
+    article: bool
+    place: str
+    block: int     # the token of the innermost block tag
+
+
+class Block(NamedTuple):
+    place: str
+    text: str
+    top: Open
+
+
 class Page:
-    """Blocks of a page in order, as (place, text, aside, in main), and its tag places."""
+    """Blocks of a page in order, and its tokens: tags and texts with their place."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.tags: list[str] = []
-        self.stack: list[tuple[str, bool, bool, str]] = []     # tag, aside, in main, place
+        self.blocks: list[Block] = []
+        self.sequence: list[tuple[int, int]] = []     # token, number of its block or -1 for a tag
+        self.stack: list[Open] = []
         self.text: list[str] = []
+        self.has_main = False
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -86,25 +110,26 @@ class Page:
         self.text.append(source[at:])
         self._block()
 
-    def _top(self) -> tuple[str, bool, bool, str]:
-        return self.stack[-1] if self.stack else ("", False, False, "")
+    def _top(self) -> Open:
+        return self.stack[-1] if self.stack else Open("", False, (), False, False, "", 0)
 
     def _block(self) -> None:
         text = " ".join(html.unescape("".join(self.text)).split())
         self.text.clear()
         if text:
-            _, aside, main, place = self._top()
-            self.blocks.append((place, text, aside, main))
+            top = self._top()
+            self.sequence.append((text_token(top.place, text), len(self.blocks)))
+            self.blocks.append(Block(top.place, text, top))
 
     def _tag(self, tag: str, closing: bool, attributes: str) -> None:
         if closing:
             if tag in BLOCK:
                 self._block()
             for depth in range(len(self.stack) - 1, -1, -1):
-                if self.stack[depth][0] == tag:
+                if self.stack[depth].tag == tag:
                     del self.stack[depth:]
                     return
-                if tag not in BLOCK and self.stack[depth][0] in BLOCK:
+                if tag not in BLOCK and self.stack[depth].tag in BLOCK:
                     return
             return
         if tag in BLOCK:
@@ -115,34 +140,97 @@ class Page:
                 self._end(_SAME[tag], tag)
         elif tag in ("br", "td", "th"):
             self.text.append(" ")
-        _, aside, main, place = self._top()
-        main = main or tag in MAIN
+        if tag == "body":
+            self._end({"head"}, "head")
+        top = self._top()
+        main = top.main or tag in MAIN
         named = "".join(sorted("".join(v) for n, *v in _NAMED.findall(attributes))) if "=" in attributes else ""
-        place = f"{place}/{tag}.{named}" if named else f"{place}/{tag}"
+        place = f"{top.place}/{tag}.{named}" if named else f"{top.place}/{tag}"
+        block = top.block
         if tag in BLOCK:
-            self.tags.append(place)
+            block = xxhash.xxh3_64_intdigest(place)
+            self.sequence.append((block, -1))
         if tag not in VOID and not attributes.endswith("/"):
-            self.stack.append((tag, aside or _aside(tag, attributes, main), main, place))
+            self.has_main |= tag in MAIN
+            aside = top.aside or (tag in ASIDE and tag != "form" and not (tag == "header" and main))
+            claimed = tag == "form" or (tag not in ("html", "body") and _named_aside(attributes))
+            self.stack.append(Open(tag, aside, (*top.marks, len(self.sequence)) if claimed else top.marks, main,
+                                   top.article or tag == "article", place, block))
 
     def _end(self, tags: set[str], kind: str) -> None:
         for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] in tags:
+            if self.stack[depth].tag in tags:
                 del self.stack[depth:]
                 return
-            if self.stack[depth][0] in _KEEPS[kind]:
+            if self.stack[depth].tag in _KEEPS[kind]:
                 return
 
-    def tokens(self) -> Counter:
-        """How often each token of the page occurs: tags, and texts with their place."""
-        return Counter([xxhash.xxh3_64_intdigest(t) for t in self.tags]
-                       + [text_token(place, text) for place, text, _, main in self.blocks if not main])
-
-    def main_text(self, template: frozenset[int]) -> list[str]:
-        inside = [text for _, text, aside, main in self.blocks if main and not aside]
-        if inside:
-            return inside
-        return [text for place, text, aside, _ in self.blocks
-                if not aside and text_token(place, text) not in template]
+    def tokens(self) -> dict[int, tuple[int, int]]:
+        """How often each token of the page occurs, and where first: tags, and texts with their place."""
+        first: dict[int, int] = {}
+        for at, (token, _) in enumerate(self.sequence):
+            first.setdefault(token, at)
+        counts = Counter(token for token, _ in self.sequence)
+        return {token: (n, first[token]) for token, n in counts.items()}
+
+    def near_mark(self) -> int:
+        """A hash of the block texts, equal for near copies.
+
+        Pages of ``LONG`` words or more are near copies if they differ in numbers only, or in blocks of up to six words with a
+        number in them, such as dates and counters. Shorter ones must have equal texts.
+        """
+        texts = [b.text for b in self.blocks]
+        if sum(t.count(" ") + 1 for t in texts) >= LONG:
+            folded = [_DIGITS.sub("0", t) for t in texts if t.count(" ") > 5 or not _DIGITS.search(t)]
+            texts = folded or texts
+        return xxhash.xxh3_64_intdigest("\n".join(texts))
+
+    def template_blocks(self, classes: list[tuple[int, list[int]]], of: int) -> set[int]:
+        """Numbers of the blocks that are template text; ``classes`` are (pages, tokens in order) of ``of`` pages."""
+        rank = {t: (k, r) for k, (_, tokens) in enumerate(classes) for r, t in enumerate(tokens)}
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for token, block in self.sequence:
+            if token in rank:
+                k, r = rank[token]
+                found[k].append((r, block))
+        out: set[int] = set()
+        for k, own in found.items():
+            pages, tokens = classes[k]
+            times, over = divmod(len(own), len(tokens))
+            if over:
+                continue                                  # no whole class on this page
+            if times == 1:
+                own = _ascending(own)
+            elif [r for r, _ in own] != [*range(len(tokens))] * times:
+                continue
+            if len(own) < 2:
+                continue
+            frame = 10 * pages >= 9 * of and any(b < 0 for _, b in own)
+            held = {tokens[r] for r, b in own if b < 0}
+            out.update(b for _, b in own if b >= 0 and (frame or self.blocks[b].top.block in held))
+        return out
+
+    def main_text(self, classes: list[tuple[int, list[int]]] = (), of: int = 0) -> list[str]:
+        template = self.template_blocks(classes, of)
+        inside = [b.text for b in self.blocks if b.top.main and not b.top.aside and not b.top.marks]
+        return inside or [b.text for k, b in enumerate(self.blocks) if k not in template and not b.top.aside and not b.top.marks]
+
+
+def _ascending(own: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of a page's tokens of a class that stands in the class's order."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for at, (r, _) in enumerate(own):
+        k = bisect_left(tails, r)
+        before.append(ends[k - 1] if k else -1)
+        tails[k:k + 1] = [r]
+        ends[k:k + 1] = [at]
+    out, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        out.append(own[at])
+        at = before[at]
+    return out[::-1]
 
 
 def text_token(place: str, text: str) -> int:
@@ -154,17 +242,20 @@ def _signed(x: int) -> int:
 
 
 def _occurrences(batches) -> Iterator[pa.RecordBatch]:
+    """A row per page: its near-copy mark, and its tokens with their counts and first places."""
     for batch in batches:
-        hosts, tokens, counts, vectors = [], [], [], []
-        for host, mark, source in zip(*(batch.column(k).to_pylist() for k in ("host", "mark", "html"))):
-            for token, n in Page(source or "").tokens().items():
-                hosts.append(host)
-                tokens.append(_signed(token))
-                counts.append(n)
-                vectors.append(_signed(xxhash.xxh3_64_intdigest(f"{mark} {n}")))
+        near, tokens, counts, firsts = [], [], [], []
+        for source in batch.column("html").to_pylist():
+            page = Page(source or "")
+            own = page.tokens()
+            near.append(_signed(page.near_mark()))
+            tokens.append([_signed(t) for t in own])
+            counts.append([n for n, _ in own.values()])
+            firsts.append([at for _, at in own.values()])
+        longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int64()),
-             pa.array(vectors, pa.int64())], names=["host", "token", "n", "vector"])
+            [batch.column("host"), batch.column("mark"), pa.array(near, pa.int64()), pa.array(tokens, longs),
+             pa.array(counts, longs), pa.array(firsts, longs)], names=["host", "mark", "near", "token", "n", "at"])
 
 
 def host_of(url: Column) -> Column:
@@ -173,28 +264,33 @@ def host_of(url: Column) -> Column:
 
 
 def equivalence_classes(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, mark, html) → (host, vector, pages, most, tokens): classes of equal vectors.
+    """``pages`` (host, mark, html) → (host, vector, pages, most, tokens, of): classes of equal vectors.
 
-    Only tokens on at least half of a host's pages come in, and hosts of ``SUPPORT`` pages or more.
-    ``most`` is 1 for classes that occur once a page: the template's root. Different pages need different marks; copies of a page share
-    one and count once, so copies alone make no template.
+    Only tokens on at least half of a host's ``of`` pages come in, and hosts of ``SUPPORT`` pages or more.
+    ``most`` is how often the class occurs on a page at most; ``tokens`` stand in the class's order. Different pages
+    need different marks; near copies of a page count once, so copies alone make no template.
     """
-    distinct = pages.dropDuplicates(["host", "mark"])
+    parsed = pages.select("host", "mark", "html").mapInArrow(
+        _occurrences, "host string, mark long, near long, token array<long>, n array<long>, at array<long>")
+    distinct = settle(parsed.groupBy("host", "near").agg(F.min(F.struct("mark", "token", "n", "at")).alias("x"))
+                      .select("host", "x.*"))
     sizes = distinct.groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= SUPPORT)
-    found = (distinct.mapInArrow(_occurrences, "host string, token long, n long, vector long")
-             .groupBy("host", "token").agg(
-                 F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"))
-             .join(sizes, "host").where(F.col("pages") >= SUPPORT).where(2 * F.col("pages") >= F.col("of")))
-    return found.groupBy("host", "vector", "pages", "most").agg(F.collect_list("token").alias("tokens"))
+    each = distinct.select("host", "mark", F.explode(F.arrays_zip("token", "n", "at")).alias("x")).select("host", "mark", "x.*")
+    found = (each.groupBy("host", "token").agg(
+        F.bit_xor(F.xxhash64("mark", "n")).alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("at").alias("at"))
+        .join(sizes, "host").where(F.col("pages") >= SUPPORT).where(2 * F.col("pages") >= F.col("of")))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "token")))
+    return found.groupBy("host", "vector", "pages", "most", "of").agg(ordered.alias("x")).select(
+        "host", "vector", "pages", "most", F.col("x.token").alias("tokens"), "of")
 
 
 def _extracted(others: list[str]):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, template in zip(batch.column("html").to_pylist(), batch.column("_template").to_pylist()):
-                known = frozenset(x % (1 << 64) for x in template or ())
-                texts.append("\n\n".join(Page(source).main_text(known)) if source else "")
+            for source, template, of in zip(*(batch.column(k).to_pylist() for k in ("html", "_template", "_of"))):
+                classes = [(c["pages"], [x % (1 << 64) for x in c["tokens"]]) for c in template or ()]
+                texts.append("\n\n".join(Page(source).main_text(classes, of or 0)) if source else "")
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), pa.array(texts, pa.string())],
                                              names=[*others, "text"])
     return run
@@ -213,9 +309,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     known = pages.withColumns({"_host": host_of(F.col("url")), "_mark": F.xxhash64("html")})
     classes = equivalence_classes(known.where("_host <> '' and html is not null").select(
         F.col("_host").alias("host"), F.col("_mark").alias("mark"), "html"))
-    templates = settle(classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("_template")))
+    templates = settle(classes.where(F.size("tokens") > 1).groupBy("host", F.col("of").alias("_of")).agg(
+        F.collect_list(F.struct("pages", "tokens")).alias("_template")))
     spread = templates.withColumn("_salt", F.explode(F.lit(list(range(SALTS))))).withColumnRenamed("host", "_host")
     salted = known.withColumn("_salt", F.pmod(F.col("_mark"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(spread, ["_host", "_salt"], "left").select(*pages.columns, "_template")
+    joined = salted.join(spread, ["_host", "_salt"], "left").select(*pages.columns, "_template", "_of")
     schema = StructType([f for f in pages.schema if f.name != "html"]).add("text", "string")
     return joined.mapInArrow(_extracted(names), schema)
