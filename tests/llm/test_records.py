@@ -120,6 +120,20 @@ def test_order_and_blocks_decide(spark):
     assert texts_of(spark, rows) == [f"text {c}" for c in "ab"] + ["text c\n\nRead on"] + [f"text {c}\n\nRead on" for c in "de"]
 
 
+def test_articles_are_chosen_by_their_slots(spark):
+    wrapped = "<main><div class=msg>A notice on all pages</div><div><p>Body {0}</p></div></main>"
+    assert texts_of(spark, [wrapped.format(c) for c in "abcd"]) == [f"Body {c}" for c in "abcd"]
+    teaser = "<article>Teaser {0}</article><div>" + STORY + " {0}</div>"
+    assert texts_of(spark, [teaser.format("a")]) == [f"Teaser a\n\n{STORY} a"]
+
+
+@pytest.mark.parametrize("outer", ["<body class='no-sidebar'>", "<body class=modal-open>", "<body><form id=aspnetForm>",
+                                   "<html class=nav-open><body>", "<head><body>", "<body><div class=comments-open>"])
+def test_wrappers_are_no_aside(spark, outer):
+    assert texts_of(spark, [f"{outer}<nav>menu</nav><article><p>Real text</p></article><div class=ad>buy"]) == ["Real text"]
+    assert texts_of(spark, [f"{outer}<nav>menu</nav><div><p>Real text here</p></div><div class=ad>buy"]) == ["Real text here"]
+
+
 # ---- fixity -----------------------------------------------------------------
 
 def leaves(spark, rows):

@@ -13,7 +13,9 @@ host), or if the tag of its own place belongs to the class, so that the text com
 Classes nest in each other's slots by these places; what the template leaves are the slots.
 
 The remaining slots are the main text but for those in menus, headers, footers, sidebars, forms, adverts and
-reader comments, and for those outside the article where the page has one. Inside an article nothing is taken for template text.
+reader comments. Names, roles and forms are evidence only: an element that holds most of the slots is no aside. Where at
+least half of what remains lies in an article or main element, only that is kept. In an article, a template text stays
+where its block's place also holds other text, for it is one of several paragraphs.
 """
 
 from __future__ import annotations
@@ -212,8 +214,21 @@ class Page:
 
     def main_text(self, classes: list[tuple[int, list[int]]] = (), of: int = 0) -> list[str]:
         template = self.template_blocks(classes, of)
-        inside = [b.text for b in self.blocks if b.top.main and not b.top.aside and not b.top.marks]
-        return inside or [b.text for k, b in enumerate(self.blocks) if k not in template and not b.top.aside and not b.top.marks]
+        other = {b.top.block for k, b in enumerate(self.blocks) if k not in template}
+        slots = [b for k, b in enumerate(self.blocks) if k not in template or (b.top.article and b.top.block in other)]
+        # an element that holds most of the articles' slots, or of all slots where there is no article, is no aside
+        base = [b for b in slots if not b.top.aside and (b.top.main or not self.has_main)]
+        share: Counter = Counter()
+        for b in base:
+            for mark in b.top.marks:
+                share[mark] += len(b.text)
+        whole = sum(len(b.text) for b in base)
+        wide = {mark for mark, n in share.items() if 2 * n > whole}
+        slots = [b for b in slots if not b.top.aside and wide.issuperset(b.top.marks)]
+        inside = [b for b in slots if b.top.main]
+        if 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in slots):
+            slots = inside
+        return [b.text for b in slots]
 
 
 def _ascending(own: list[tuple[int, int]]) -> list[tuple[int, int]]:
