@@ -52,6 +52,20 @@ def test_phrases_are_longest_matches(docs):
             assert got[text, at] == count
 
 
+def test_every_letter_of_the_sample_counts(spark):
+    """Languages in scripts of more than a hundred letters are told apart, though the samples differ in size."""
+    rng = random.Random(5)
+    def text(first, n):     # of 60 words of two letters
+        return "".join(chr(first + 2 * k) + chr(first + 2 * k + 1) for k in (rng.randrange(60) for _ in range(n // 2)))
+    firsts = {"han": 0x4E00, "more": 0x6000, "hangul": 0xAC00}
+    rows = [(text(first, 120), lang) for lang, first in firsts.items() for _ in range(8 if lang == "more" else 20)]
+    rows += [(f"plain latin words {k} of a short sample", "latin") for k in range(4)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert any(len(t.keys) for t in model.tables)
+    asked = spark.createDataFrame([(text(first, 80), lang) for lang, first in firsts.items() for _ in range(3)], "text string, lang string")
+    assert all(r.lang == r.lang_pred for r in language.identify(asked, model).collect())
+
+
 def test_held_out_accuracy(docs):
     fold = language.crc_fold("doc_id", 5) == 0
     model = language.fit(docs.where(~fold))

@@ -26,6 +26,7 @@ from tickframe.llm import words
 UNKNOWN = "und"
 SPAN = 256
 PIECE = 1 << 19     # characters parsed at once
+DENSE = 64          # symbols a language whose edges are a dense table
 POINTS = 0x110000
 
 
@@ -34,16 +35,59 @@ def crc_fold(key: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
 
 
-def suffix_automaton(codes: Sequence[int], symbols: int) -> np.ndarray:
-    """The suffix automaton of a string of symbols as a dense table: state x symbol → state or -1."""
-    nexts, links, lengths, last = [[-1] * symbols], [-1], [0], 0
+class Automaton:
+    """Edges of an automaton: a dense table of the most used symbols, the others' as sorted keys.
+
+    ``shape`` is states and symbols; ``automaton[state]`` is a state's row, symbol → state or -1.
+    """
+
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, to: np.ndarray, shape: tuple[int, int]):
+        self.shape = shape
+        used, counts = np.unique(symbols, return_counts=True)
+        dense = used[np.lexsort((used, -counts))][:DENSE]
+        self.width = len(dense) + 1
+        self.column = np.full(shape[1], len(dense), np.int32)      # the last column has no edges
+        self.column[dense] = np.arange(len(dense))
+        # one state more, from which nothing goes on: before the first phrase and after an unknown character
+        self.flat = np.full((shape[0] + 1) * self.width, -1, np.int32)
+        column = self.column[symbols]
+        near = column < len(dense)
+        self.flat[states[near] * self.width + column[near]] = to[near]
+        self.rare = np.zeros(shape[1], bool)
+        self.rare[used] = self.column[used] == len(dense)
+        keys = states[~near] * shape[1] + symbols[~near]
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], to[~near][order]
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, state: int) -> np.ndarray:
+        return self.step(np.full(self.shape[1], state, np.int64), np.arange(self.shape[1]))
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Where each state goes by its symbol, or -1."""
+        to = self.flat[states * self.width + self.column[symbols]]
+        if len(self.keys):
+            at = np.flatnonzero(self.rare[symbols])
+            if len(at):
+                key = states[at].astype(np.int64) * self.shape[1] + symbols[at]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                to[at] = np.where(self.keys[place] == key, self.targets[place], -1)
+        return to
+
+
+def suffix_automaton(codes: Sequence[int], symbols: int) -> Automaton:
+    """The suffix automaton of a string of symbols."""
+    nexts: list[dict[int, int]] = [{}]
+    links, lengths, last = [-1], [0], 0
     for c in codes:
         here = len(nexts)
-        nexts.append([-1] * symbols)
+        nexts.append({})
         links.append(0)
         lengths.append(lengths[last] + 1)
         p = last
-        while p >= 0 and nexts[p][c] < 0:
+        while p >= 0 and c not in nexts[p]:
             nexts[p][c] = here
             p = links[p]
         if p >= 0:
@@ -52,15 +96,17 @@ def suffix_automaton(codes: Sequence[int], symbols: int) -> np.ndarray:
                 links[here] = q
             else:
                 copy = len(nexts)
-                nexts.append(nexts[q][:])
+                nexts.append(dict(nexts[q]))
                 links.append(links[q])
                 lengths.append(lengths[p] + 1)
-                while p >= 0 and nexts[p][c] == q:
+                while p >= 0 and nexts[p].get(c) == q:
                     nexts[p][c] = copy
                     p = links[p]
                 links[q] = links[here] = copy
         last = here
-    return np.array(nexts, dtype=np.int32)
+    states = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
+    return Automaton(states, np.array([c for x in nexts for c in x], np.int64),
+                     np.array([t for x in nexts for t in x.values()], np.int32), (len(nexts), symbols))
 
 
 def point_classes() -> np.ndarray:
@@ -86,7 +132,7 @@ def fold(points: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> tuple[n
 @dataclass
 class LanguageModel:
     languages: list[str]
-    tables: list[np.ndarray]     # a dense automaton per language; the last symbol is never in it
+    tables: list[Automaton]      # an automaton per language; the last symbol is in none
     bits: np.ndarray             # log2 of each sample's length
     symbols: np.ndarray          # code point → symbol
     classes: np.ndarray          # code point → lower-case letter, 0 for others
@@ -107,13 +153,11 @@ class LanguageModel:
         alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
         steps = [symbols[begin[:n] + k] for k, n in enumerate(alive.tolist())]
         for at, table in enumerate(self.tables):
-            # one state more, from which nothing goes on: before the first phrase and after an unknown character
-            flat, width = np.append(table.ravel(), np.full(table.shape[1], -1, np.int32)), table.shape[1]
             root = np.where(table[0] < 0, len(table), table[0])
             state = np.full(len(begin), len(table), np.int32)
             made = np.zeros(len(begin), np.int32)
             for n, c in zip(alive.tolist(), steps):
-                to = flat[state[:n] * width + c]
+                to = table.step(state[:n], c)
                 failed = to < 0
                 # where the automaton cannot go on, a phrase begins with c
                 made[:n] += failed
@@ -171,13 +215,13 @@ def sample_texts(docs: DataFrame, language: str, rows: int) -> DataFrame:
             .groupBy(language, "_mark").agg(F.min("text").alias("text")))
 
 
-def fit(docs: DataFrame, *, language: str = "lang", rows: int = 120, chars: int = 300,
-        symbols: int = 64) -> LanguageModel:
+def fit(docs: DataFrame, *, language: str = "lang", rows: int = 120, chars: int = 300) -> LanguageModel:
     """A model from ``docs`` (text, language).
 
     The sample is bounded and documented: per language at most ``rows`` texts of a labelled
     corpus, of each a passage of ``chars`` folded characters from its middle, so an automaton of at most
-    ``2 * rows * chars`` states. Letters beyond the ``symbols`` most used ones are unknown.
+    ``2 * rows * chars`` states. Every letter of the sample is a symbol; unknown to a language are those its
+    own sample lacks.
     Without labelled rows there is no language and every prediction is ``und``.
     """
     found = sample_texts(docs, language, rows).select(language, "text").orderBy(language, F.xxhash64("text"), "text")
@@ -190,13 +234,10 @@ def fit(docs: DataFrame, *, language: str = "lang", rows: int = 120, chars: int
             at = max(0, (len(low) - chars) // 2)
             joined.setdefault(str(row[language]), []).append(np.append(low[at:at + chars], 0))
     texts = {k: np.concatenate(v) for k, v in sorted(joined.items())}
-    letters, counts = np.unique(np.concatenate([*texts.values(), np.zeros(1, np.int32)]), return_counts=True)
-    letters = letters[np.lexsort((letters, -counts))][:symbols - 1]
-    table = np.full(POINTS, len(letters), np.int16)
+    letters = np.unique(np.concatenate([*texts.values(), np.zeros(1, np.int32)]))
+    table = np.full(POINTS, len(letters), np.int32)
     table[letters] = np.arange(len(letters))
     tables = [suffix_automaton(table[v].tolist(), len(letters) + 1) for v in texts.values()]
-    for automaton in tables:
-        automaton[:, -1] = -1
     return LanguageModel(list(texts), tables, np.log2([len(v) + 1 for v in texts.values()]), table, classes)
 
 
