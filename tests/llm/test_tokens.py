@@ -94,3 +94,20 @@ def test_scores_are_bm25():
     shard = packing.Shard(docs, idf, 2.0, 10)
     weight = lambda i, tf, n: i * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 2))
     assert np.allclose(shard.scores(0), [weight(2, 2, 3) + weight(0.5, 1, 3), weight(0.5, 1, 2), 0])
+
+
+def test_all_terms_of_a_seed_ask():
+    """A seed with many terms that nobody shares still finds the neighbour that shares the others."""
+    rng = np.random.default_rng(6)
+    own = np.arange(1000, 1040)                       # rare, in the seed alone
+    docs = [np.append(own, [1, 2, 3])] + [rng.integers(10, 90, 40) for _ in range(30)] + [np.array([1, 2, 3])]
+    docs = [x.astype(np.uint16) for x in docs]
+    df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=packing.VOCABULARY)
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+    scores = packing.Shard(docs, idf, 40.0).scores(0)
+    assert scores[-1] > 0 and scores[1:].argmax() == len(docs) - 2
+    assert not packing.Shard(docs, idf, 40.0, 24).scores(0)[1:].any()
+    many = [rng.integers(0, 50, 40).astype(np.uint16) for _ in range(30)]
+    shard = packing.Shard(many, np.ones(packing.VOCABULARY), 40.0)      # most of the index: read by document
+    want = [sum(2.2 * tf / (tf + 1.2) for t, tf in zip(*np.unique(x, return_counts=True)) if t in many[0]) for x in many]
+    assert np.allclose(shard.scores(0), want)

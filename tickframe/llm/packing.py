@@ -4,8 +4,8 @@ Texts are encoded once. Documents are laid out in ranges by a lexical anchor (tw
 of their token set), so like ones come to the same shard, whatever the sizes of the groups. A
 shard is a bounded run of documents with its own inverted index; document frequencies, the number
 and the mean length of documents are those of the whole corpus, over the tokenizer's bounded vocabulary.
-The next unused document seeds a window, the index returns its unused neighbours by BM25 score,
-and they fill the window in that order; the one that no longer fits is cut, and its rest seeds the next.
+The next unused document seeds a window; all its terms ask the index of its own shard, which returns its unused
+neighbours by BM25 score, and they fill the window in that order; the one that no longer fits is cut, and its rest seeds the next.
 What is left of a task's documents goes to sequences of powers of two, which need no padding.
 """
 
@@ -58,7 +58,7 @@ def _frequencies(batches) -> Iterator[pa.RecordBatch]:
 class Shard:
     """A BM25 inverted index over a bounded run of documents."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None = None):
         parts = [np.unique(x, return_counts=True) for x in docs]
         terms = np.concatenate([t for t, _ in parts])
         owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in parts])
@@ -68,13 +68,21 @@ class Shard:
         order = np.argsort(terms, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.first = np.searchsorted(terms[order], np.arange(VOCABULARY + 1))
-        self.queries = [t[np.argsort(-idf[t], kind="stable")[:query_terms]] for t, _ in parts]
+        self.queries = [t if query_terms is None else t[np.argsort(-idf[t], kind="stable")[:query_terms]] for t, _ in parts]
         self.count = len(docs)
+        # the same by document (none is without its end id), for seeds that would read much of the index
+        self.terms, self.by_doc = terms, weight
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in parts])[:-1]])
 
     def scores(self, seed: int) -> np.ndarray:
-        """The BM25 score of every document for the seed's most telling terms."""
-        a, b = self.first[self.queries[seed]], self.first[self.queries[seed].astype(np.int64) + 1]
+        """The BM25 score of every document for the seed's terms."""
+        query = self.queries[seed]
+        a, b = self.first[query], self.first[query.astype(np.int64) + 1]
         size = b - a
+        if 8 * size.sum() > len(self.terms):
+            asked = np.zeros(VOCABULARY)
+            asked[query] = 1
+            return np.add.reduceat(asked[self.terms] * self.by_doc, self.starts)
         place = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return np.bincount(self.owner[place], weights=self.weight[place], minlength=self.count)
 
@@ -114,7 +122,7 @@ def _fill(docs: list[tuple], shard: Shard, length: int, final: bool) -> Iterator
     yield 0, [(k, begin[k], 0) for k in ([carry] if carry is not None else []) + rest]
 
 
-def _packed(length: int, shard_tokens: int, query_terms: int, known):
+def _packed(length: int, shard_tokens: int, query_terms: int | None, known):
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -157,7 +165,7 @@ def _packed(length: int, shard_tokens: int, query_terms: int, known):
 
 
 def pack_documents(docs: DataFrame, path: str, *, length: int = 4096, end: int = 2, shard_tokens: int = 1 << 20,
-                   query_terms: int = 24, spread: int | None = None) -> DataFrame:
+                   query_terms: int | None = None, spread: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text) → a row per piece of a document in a packed sequence.
 
     Columns: doc_id, start (its document's ids before it), length, ids (little-endian unsigned
@@ -166,6 +174,7 @@ def pack_documents(docs: DataFrame, path: str, *, length: int = 4096, end: int =
     task's documents, where their lengths are powers of two; so nothing is padded. Null and
     empty texts are the end id alone. Repeated rows are packed each for themselves. No rows give
     no rows; other columns are ignored. ``spread``: ranges the documents are laid out in.
+    A seed asks with all its terms, or with the ``query_terms`` of highest idf; it asks its own shard only.
     """
     spark = docs.sparkSession
     coded = settle(docs.select("doc_id", "text").mapInArrow(
