@@ -52,6 +52,23 @@ def test_mixed_json_records(spark):
     assert by[1] == by[2] == by[4] == [("user", "q"), ("assistant", "a")] and by[3][0] == ("user", "q\n\nmore")
 
 
+def test_more_and_fewer_fields_in_json(spark):
+    """Fields no layout knows are ignored, input may be missing; what fits no layout is returned with a reason."""
+    records = [(1, '{"id": 4, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "name": "n"}]}'),
+               (2, '{"system": "s", "completion": "a", "prompt": "q", "meta": {"k": [1]}}'), (3, '{"instruction": "q", "output": "a"}'),
+               (4, '{"source": null, "conversations": [{"from": "human", "value": "q", "w": 1}, {"from": "gpt", "value": "a"}]}'),
+               (5, '{"other": 1}'), (6, "no json"), (7, None), (8, "[1]"), (9, '{"prompt": "q", "completion": "a", "output": "b"}'),
+               (10, '{"messages": [{"role": "user", "content": [{"text": "q"}]}]}')]
+    df = spark.createDataFrame(records, "conv_id long, json string")
+    got = [tuple(t) for t in chat.json_to_turns(df).orderBy("conv_id", "turn").collect()]
+    assert got == [t for k in (1, 2, 3, 4) for t in ((k, 0, "user", "q"), (k, 1, "assistant", "a"))]
+    reasons = {r.conv_id: r.reason for r in chat.unmatched(df).collect()}
+    assert reasons == {5: "no layout has its fields", 6: "no JSON", 7: "no JSON", 8: "no layout has its fields",
+                       9: "no layout has its fields", 10: "a text or role is no plain value"}
+    turns = chat.to_turns(spark.sql("select 7L as conv_id, 'q' as instruction, 'a' as output")).orderBy("turn").collect()
+    assert [tuple(t) for t in turns] == [(7, 0, "user", "q"), (7, 1, "assistant", "a")]
+
+
 def test_no_python_in_the_plan(spark):
     turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
     plan = chat.read_chats(chat.format_chats(turns))._jdf.queryExecution().executedPlan().toString()

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +51,9 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-_KNOWN = {p for paths, _ in LAYOUTS.values() for p in paths}
-_BY_PRINT = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
+OPTIONAL = {"input"}     # may be left out of a record, and of the print
+_KNOWN = {p for paths, _ in LAYOUTS.values() for p in paths} - OPTIONAL
+_BY_PRINT = {fingerprint(set(paths) - OPTIONAL): name for name, (paths, _) in LAYOUTS.items()}
 
 
 def to_turns(records: DataFrame) -> DataFrame:
@@ -63,7 +64,8 @@ def to_turns(records: DataFrame) -> DataFrame:
     found = _BY_PRINT.get(fingerprint(p for p in field_paths(records.schema) if p in _KNOWN))
     if found is None:
         raise ValueError(f"no layout has the fields {sorted(field_paths(records.schema))}")
-    turns = LAYOUTS[found][1]
+    paths, turns = LAYOUTS[found]
+    records = records.withColumns({p: F.lit(None).cast("string") for p in OPTIONAL.intersection(paths).difference(records.columns)})
     if turns is None:
         return records.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return records.select(F.col("conv_id").cast("long"), F.posexplode(F.expr(turns)).alias("turn", "x")).select(
@@ -76,29 +78,57 @@ _JSON = {"messages": "messages array<struct<role string, content string>>",
          "instruction": "instruction string, input string, output string"}
 
 
+def _has_key(name: str) -> Callable[[Column], Column]:
+    return lambda record: F.array_contains(F.json_object_keys(record), name)
+
+
+def _print(column: str) -> Column:
+    """The hash of those field paths of a JSON record that layouts know; a list has the paths of all its elements."""
+    keys, found = F.json_object_keys(column), []
+    for path in sorted(_KNOWN - set(LAYOUTS["rows"][0])):
+        key, _, inner = path.partition("[].")
+        has = F.array_contains(keys, key)
+        if inner:
+            items = F.from_json(F.get_json_object(column, f"$.{key}"), "array<string>")
+            has = has & F.exists(items, _has_key(inner))
+        found.append(F.when(F.coalesce(has, F.lit(False)), F.lit(path)))
+    return F.sha2(F.array_join(F.array(*found), "\n"), 256)
+
+
+def _matched(column: str) -> tuple[dict[str, Column], Column]:
+    """Per layout whether a JSON record fits it, and why it fits none (null if it fits one)."""
+    shape = F.expr(f"schema_of_variant(try_parse_json({column}))")
+    nested = shape.rlike(r"\b(content|role|from|value|prompt|completion|instruction|input|output): (ARRAY|OBJECT)<")
+    own = _print(column)
+    fits = {name: own == fingerprint(set(LAYOUTS[name][0]) - OPTIONAL - {"conv_id"}) for name in _JSON}
+    known = own.isin([fingerprint(set(LAYOUTS[name][0]) - OPTIONAL - {"conv_id"}) for name in _JSON])
+    reason = (F.when(shape.isNull(), "no JSON").when(~known, "no layout has its fields")
+              .when(nested, "a text or role is no plain value"))
+    return {name: reason.isNull() & fit for name, fit in fits.items()}, reason
+
+
 def json_to_turns(records: DataFrame, column: str = "json") -> DataFrame:
     """``records`` (conv_id, JSON text in mixed layouts) → turns; each record's paths are hashed.
 
-    Records that are no JSON, or whose layout is unknown, have no turns.
+    Fields that no layout knows are ignored. Records that are no JSON, or whose layout is unknown, have no turns:
+    ``unmatched`` returns them.
     """
-    shape = F.regexp_replace(F.expr(f"schema_of_variant(try_parse_json({column}))"),
-                             r"\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DATE|TIMESTAMP|DECIMAL\([0-9,]+\))", "*")
-    print_ = F.sha2(shape, 256)
-    shapes = {"messages": "OBJECT<messages: ARRAY<OBJECT<content: *, role: *>>>",
-              "shared": "OBJECT<conversations: ARRAY<OBJECT<from: *, value: *>>>",
-              "prompt": "OBJECT<completion: *, prompt: *>",
-              "instruction": "OBJECT<input: *, instruction: *, output: *>"}
+    fits, _ = _matched(column)
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for name, fields in _JSON.items():
-        known = hashlib.sha256(shapes[name].encode()).hexdigest()
         # the mapping of the layout, over the record's fields
         records = records.withColumns({f"_{name}": F.from_json(column, fields)})
         lists = re.sub(r"\b(messages|conversations|prompt|completion|instruction|input|output)\b", rf"_{name}.\1", LAYOUTS[name][1])
-        turns = F.when(print_ == known, F.expr(lists)).otherwise(turns)
+        turns = F.when(fits[name], F.expr(lists)).otherwise(turns)
     return records.select(F.col("conv_id").cast("long"), F.posexplode(turns).alias("turn", "x")).select(
         "conv_id", F.col("turn").cast("long"), "x.role", "x.text")
 
 
+def unmatched(records: DataFrame, column: str = "json") -> DataFrame:
+    """The records that ``json_to_turns`` gives no turns for want of a layout, with ``reason`` added."""
+    return records.withColumn("reason", _matched(column)[1]).where("reason is not null")
+
+
 def escaped(text: Column) -> Column:
     """The text without control strings, reversibly."""
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
