@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import chat, decontaminate, html, jaccard, language, packing, rules, secrets, token_counts, warc
+from tickframe.llm import (chat, decontaminate, html, jaccard, language, nbsvm, negatives, packing, rules, runs, secrets,
+                           token_counts, warc)
 from tickframe.llm.tokens import tokenizer_path
 from tickframe.operators.series import settle
 
@@ -96,11 +97,57 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) in which every tenth text, by hash of its id, repeats a block of its words to its end."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.withColumn("g", F.floor(mark / 10)).withColumn(
+        "w", F.when(mark % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    n = F.size("w").cast("long")
+    a = F.pmod(F.col("g"), n)
+    p = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
+    block = F.slice("w", (a + 1).cast("int"), p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    told = F.concat_ws(" ", F.slice("w", F.lit(1), a.cast("int")), tail)
+    return chosen.select("doc_id", F.when(F.col("w").isNotNull() & (n > 0), told).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(planted_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                                 (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"),
+                                                                F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"), F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def whole(x):      # floor(256 * x); null where that is no number, as it is beyond 2 ** 53
+        y = 256 * x.cast("double")
+        return F.when(F.abs(y) < 2.0 ** 53, F.floor(y).cast("double")).when(F.abs(y) < float("inf"), y)
+
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", whole).alias("v"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(language.crc_fold("doc_id", 4) == 2, F.lit(False))
+    model = nbsvm.fit(docs.where(~held_out), _table(spark, sf_dir, "labels"))
+    return nbsvm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score",
+                                           F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_warc_merkle_fixity, op3_chat_formatting, op4_multipart_secrets, op5_template_html,
         op6_lexical_packing, op7_decision_list_quality, op8_cross_parsing_language, op9_wu_manber_decontamination,
-        op10_token_counts)}
+        op10_token_counts, op11_periodic_runs, op12_hard_negatives,
+        op13_nb_svm_quality)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -171,4 +218,23 @@ select conv_id, count(*) n_turns,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (role = 'assistant'), '')) loss_sha256,
   cast(sum(length(role) + length(body) + 24) as bigint) formatted_chars
 from marked group by conv_id""",
+    "op12_hard_negatives": r"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end lab,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id anchor, b.vec_id other, a.lab = b.lab alike, cast(list_inner_product(a.v, b.v) as bigint) score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+pos as (
+  select anchor, other positive, score from s where alike
+  qualify row_number() over (partition by anchor order by score desc, other) <= 5),
+neg as (
+  select p.anchor, positive, p.score ps, s.other, s.score,
+    row_number() over (partition by p.anchor, positive order by s.score desc, s.other) r
+  from pos p join s on s.anchor = p.anchor and not alike and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor anchor_id, positive positive_id, cast(r as int) rank, other negative_id, ps positive_score, score negative_score
+from neg where r <= 5""",
 }
