@@ -9,6 +9,7 @@ margins of the part of the sample not fitted on are turned to probabilities.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickframe.llm import words
+from tickframe.operators.series import settle
 
 BITS = 17
+LABELS = 2_000_000                    # up to so many labels go to the texts; more, and labelled texts go to them
 GRAMS = {"words": 2, "shapes": 3}     # the longest n-gram of each stream
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[48:58] = 48                     # digits
@@ -157,8 +160,9 @@ class QualityModel:
 
     def margins(self, found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         value = self.ratio[found]
-        sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[cuts])
-        length = np.sqrt(np.maximum(sums(value * value), 0))
+        row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        sums = lambda x: np.bincount(row, weights=x, minlength=len(cuts) - 1).astype(float)
+        length = np.sqrt(sums(value * value))
         told = sums(value * self.weights[found])
         return np.divide(told, length, out=np.zeros_like(told), where=length > 0) + self.weights[-1]
 
@@ -177,7 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = 3000, smooth: float =
     part; repeated documents count each; null texts hold nothing. With one class the score is 1 or 0, without labels a half.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    told = docs.select("doc_id", "text").join(known, "doc_id")
+    known = settle(known)
+    if known.count() <= LABELS:
+        known = F.broadcast(known)
+    docs = docs.select("doc_id", "text")
+    told = docs.join(known, "doc_id")
     counts = (told.select("text", "quality").mapInArrow(_counted, "feature long, bad long, good long")
               .groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow())
     table = np.zeros((2, 1 << BITS))
@@ -191,14 +199,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = 3000, smooth: float =
     table += smooth
     model = QualityModel(ratio=np.log(table[1] / table[1].sum()) - np.log(table[0] / table[0].sum()))
 
-    mark = told.select("doc_id", "quality", F.xxhash64("doc_id", "text").alias("_at"))
-    chosen = mark.selectExpr("*", "row_number() over (partition by quality order by _at, doc_id) as _n").where(F.col("_n") <= rows)
-    sample = (told.withColumn("_at", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen.select("doc_id", "_at").distinct()), ["doc_id", "_at"])
-              .select("quality", "text", "_at").repartition(F.col("_at")).select("quality", "text")
+    mark = docs.withColumn("_at", F.xxhash64("doc_id", "text")).select("doc_id", "_at").join(known, "doc_id")
+    first = [mark.where(F.col("quality") == k).orderBy("_at", "doc_id").limit(rows) for k in (0, 1)]
+    chosen = F.broadcast(first[0].unionByName(first[1]).distinct())
+    sample = (docs.withColumn("_at", F.xxhash64("doc_id", "text")).join(chosen, ["doc_id", "_at"]).select("quality", "text")
               .mapInArrow(_listed, "quality int, features array<int>").toArrow())
-    lists, good = [x.as_py() for x in sample["features"]], sample["quality"].to_numpy().astype(np.int64)
-    order = np.lexsort((np.array([hash(tuple(x)) for x in lists]), good))       # the same whatever the partitions
-    lists, good = [np.array(lists[k], np.int64) for k in order], good[order]
+    flat = sample["features"].combine_chunks()
+    cuts, values = flat.offsets.to_numpy(), flat.values.to_numpy().astype(np.int64)
+    lists = [values[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    good = sample["quality"].to_numpy().astype(np.int64)
+    order = np.lexsort((np.array([zlib.crc32(x.tobytes()) for x in lists]), good))       # the same whatever the partitions
+    lists, good = [lists[k] for k in order], good[order]
     target, weigh = 2 * good - 1, np.zeros(len(good), bool)
     for k in (0, 1):
         own = np.flatnonzero(good == k)
