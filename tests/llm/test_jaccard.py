@@ -91,3 +91,40 @@ def test_words_across_pieces():
     hashes = np.concatenate([f[0] for f in found])
     assert len(hashes) == 600_002 + 2 + 1
     assert hashes[0] == hashes[600_001] == hashes[600_002] and hashes[600_000] == hashes[-1]
+
+
+def test_many_near_copies_cost_few_pairs(spark, monkeypatch):
+    """Near copies of one text and strangers that share a passage: pairs compared stay far below all pairs."""
+    from tickframe.llm import jaccard
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base, passage = rng.choices(vocabulary, k=90), rng.choices(vocabulary, k=60)
+    texts = []
+    for _ in range(300):
+        own = list(base)
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        texts.append(" ".join(own))
+    texts += [" ".join(passage + rng.choices(vocabulary, k=40)) for _ in range(200)]
+    outsider = base[:70] + rng.choices(vocabulary, k=30)
+    texts.append(" ".join(outsider))
+    counted, plain = [], jaccard.similar_pairs
+
+    def counting(docs, marks, pairs, *rest):
+        counted.append(pairs.count())
+        return plain(docs, marks, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "similar_pairs", counting)
+    got = near_duplicates(corpus(spark, texts)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute(texts)
+    assert sum(counted) < 8 * len(texts)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 2 ** 64 - 1), max_size=200))
+def test_bitmaps_never_say_no_to_what_they_hold(values):
+    from tickframe.llm.jaccard import Bitmap
+    bitmap, held = Bitmap(10), np.array(sorted(values), np.uint64)
+    place = held & np.uint64(1023)
+    np.bitwise_or.at(bitmap.words, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    assert bitmap.has(held).all()

@@ -1,18 +1,21 @@
 """Near duplicates: an exact Jaccard self-join on word shingles by vertical partitioning.
 
-The global order of shingles is: those in no more than ``frequent`` prefixes first, by hash, then
-the frequent ones, by hash. Two sets with similarity of ``percent`` or more share a shingle among
-the first ``n - ceil(percent * n) + 1`` of either (prefix filter), so only those shingles meet.
+The global order of shingles is by how often they occur in whole texts: those in no more than ``frequent``
+texts first, by hash, then the others, by hash; so a passage that many texts share leaves their prefixes.
+Two sets with similarity of ``percent`` or more share a shingle among the first
+``n - ceil(percent * n) + 1`` of either (prefix filter), so only those shingles meet.
 The order is then cut into ``fragments`` by hash range; for every candidate pair each fragment counts its
 partial overlap by itself, and the partial counts are summed per pair.
 
 Before that, a parity bitmap a class bounds a pair from below: every shingle flips one bit, so two
 sets differ by at least as many shingles as their bitmaps differ in bits.
 
-Documents with equal sets are one class and meet nobody on each other's behalf. A class links
-first with two hubs per shingle; whatever that leaves in different components and still shares a
-prefix shingle is compared pair by pair. So a group of thousands of near copies costs a few
-comparisons a member, and no link between different texts is lost.
+Documents with equal sets are one class and meet nobody on each other's behalf. Classes link in rounds:
+in each, two classes drawn by hash stand for every shingle, and a class is compared with the
+``TRIES`` of those it meets under its prefix with which it shares most shingles. So a group of
+thousands of near copies costs a few comparisons a member. When a round links less than a hundredth of what those
+before it linked, whatever still shares a prefix shingle across components is compared pair by pair; no link between different
+texts is lost.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from tickframe.llm import words
 from tickframe.llm.graph import components
 from tickframe.operators.series import settle
 
-BITS = 26      # of the two bitmaps: 8 MB each, whatever the corpus holds
+BITS = 16, 27  # of a bitmap: by what it has to hold, 16 MB at most, whatever the corpus holds
 SALTS = 64     # parts a frequent shingle's rows are dealt to
+TRIES = 2      # pairs of a class in a round
 MARKS = 8      # 64-bit words of a class's parity bitmap
 
 
@@ -80,14 +84,17 @@ def _flush(held: list[tuple], names: tuple[str, ...]) -> Iterator[pa.RecordBatch
         held.clear()
 
 
-def _first_prefixes(size: int, percent: int):
-    """The prefix under the plain hash order, to learn which shingles are frequent in prefixes."""
+def _every_shingle(size: int):
+    """The shingles of every text, of equal sets once from a task, to learn which are frequent."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, seen = [], 0, set()
         for _, _, found in _sets(batches, "text", size):
-            if len(found):
-                held.append((found[:prefix_length(len(found), percent)].view(np.int64),))
-                rows += len(held[-1][0])
+            if not len(found) or (cls := set_class(found)) in seen:
+                continue
+            if len(seen) < 1 << 18:
+                seen.add(cls)
+            held.append((found.view(np.int64),))
+            rows += len(found)
             if rows > 1 << 18:
                 yield from _flush(held, ("h",))
                 rows = 0
@@ -95,25 +102,31 @@ def _first_prefixes(size: int, percent: int):
     return run
 
 
-def bit(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether each 64-bit value's bit is set."""
-    place = values & np.uint64((1 << BITS) - 1)
-    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+class Bitmap:
+    """A bit for the low ``bits`` bits of each value held; never says no to one of them."""
+
+    def __init__(self, bits: int):
+        self.bits, self.words = bits, np.zeros(1 << (bits - 6), np.uint64)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        place = values & np.uint64((1 << self.bits) - 1)
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitmap_of(values: DataFrame, name: str) -> np.ndarray:
-    """A bitmap of the values' low bits; at most 2 ** (BITS - 6) words reach the driver."""
-    low = F.col(name).bitwiseAND(F.lit((1 << BITS) - 1))
+def bitmap_of(values: DataFrame, name: str) -> Bitmap:
+    """A bitmap of the values, 32 bits a value as far as ``BITS`` allows; only its words reach the driver."""
+    bits = min(max(int(32 * values.count()).bit_length(), BITS[0]), BITS[1])
+    low = F.col(name).bitwiseAND(F.lit((1 << bits) - 1))
     found = (values.select(F.shiftright(low, 6).alias("w"), low.bitwiseAND(F.lit(63)).cast("int").alias("b"))
              .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow())
-    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
-    bitmap[found["w"].to_numpy()] = found["v"].to_numpy().view(np.uint64)
+    bitmap = Bitmap(bits)
+    bitmap.words[found["w"].to_numpy()] = found["v"].to_numpy().view(np.uint64)
     return bitmap
 
 
 def _prefixes(size: int, percent: int, frequent):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held, rows, seen, bitmap = [], 0, set(), frequent.value
+        held, rows, seen = [], 0, set()
         names = ("h", "cls", "n", "pos", "late")
         for _, _, found in _sets(batches, "text", size):
             n = len(found)
@@ -121,7 +134,7 @@ def _prefixes(size: int, percent: int, frequent):
                 continue                      # a class needs its prefix once from a task
             if len(seen) < 1 << 18:           # beyond that only repeats reach the shuffle
                 seen.add(cls)
-            late = bit(bitmap, found)
+            late = frequent.value.has(found)
             length = prefix_length(n, percent)
             order = np.flatnonzero(~late)[:length]
             if len(order) < length:
@@ -137,9 +150,9 @@ def _prefixes(size: int, percent: int, frequent):
 
 
 def _fragments(size: int, fragments: int, wanted):
-    """(class, fragment, shingles) of the texts whose class may be wanted, once from a task."""
+    """(class, fragment, shingles) of the texts whose hash may be wanted, once from a task."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held, rows, seen, bitmap = [], 0, set(), wanted.value
+        held, rows, seen = [], 0, set()
         cuts = np.array([(k << 64) // fragments for k in range(1, fragments)], dtype=np.uint64)
 
         def flush():
@@ -148,11 +161,15 @@ def _fragments(size: int, fragments: int, wanted):
             held.clear()
             return words.batches(table)
 
-        for _, _, found in _sets(batches, "text", size):
+        def asked():
+            for batch in batches:
+                chosen = wanted.value.has(batch.column("text_hash").to_numpy().view(np.uint64))
+                if chosen.any():
+                    yield batch.filter(pa.array(chosen))
+
+        for _, _, found in _sets(asked(), "text", size):
             if not len(found) or (cls := set_class(found)) in seen:
                 continue
-            if not bit(bitmap, np.array([cls]).view(np.uint64))[0]:
-                continue
             if len(seen) < 1 << 18:
                 seen.add(cls)
             for k, part in enumerate(np.split(found, np.searchsorted(found, cuts))):
@@ -188,13 +205,17 @@ def _pairs(rows: DataFrame) -> DataFrame:
                     F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("nb")).distinct())
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, size: int, percent: int, fragments: int) -> DataFrame:
-    """The candidate pairs (a, b, na, nb) whose overlap, summed over fragments, suffices."""
+def similar_pairs(docs: DataFrame, marks: DataFrame, pairs: DataFrame, size: int, percent: int, fragments: int) -> DataFrame:
+    """The candidate pairs (a, b, na, nb) whose overlap, summed over fragments, suffices.
+
+    ``marks`` names the hash of one text of each class; only texts with such a hash are read into sets.
+    """
     spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-    wanted = spark.sparkContext.broadcast(bitmap_of(nodes, "cls"))
-    sets = (docs.select("text").mapInArrow(_fragments(size, fragments, wanted), "cls long, part int, hs array<long>")
-            .dropDuplicates(["cls", "part"]))
+    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    texts = settle(nodes.join(marks.select("cls", "text_hash"), "cls").select("text_hash"))
+    wanted = spark.sparkContext.broadcast(bitmap_of(texts, "text_hash"))
+    sets = (docs.select("text", F.xxhash64("text").alias("text_hash"))
+            .mapInArrow(_fragments(size, fragments, wanted), "cls long, part int, hs array<long>").dropDuplicates(["cls", "part"]))
     spread = pairs.withColumn("part", F.explode(F.lit(list(range(fragments)))))
     left = sets.select(F.col("cls").alias("a"), "part", F.col("hs").alias("x"))
     right = sets.select(F.col("cls").alias("b"), "part", F.col("hs").alias("y"))
@@ -204,6 +225,54 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, size: int, percent: int, fr
             .where(F.col("shared") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))))
 
 
+def _bounded(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose parity bitmaps leave room for enough overlap."""
+    side = lambda k, c: marks.select(F.col("cls").alias(c), F.col("marks").alias(f"marks{k}"))
+    return (pairs.withColumns({"n1": F.col("na"), "n2": F.col("nb")}).join(side(1, "a"), "a").join(side(2, "b"), "b")
+            .where(_close(percent, "marks1", "marks2")).select("a", "b", "na", "nb"))
+
+
+def _rooted(shared: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The rows with ``root``, the component of their class."""
+    if links is None:
+        return shared.withColumn("root", F.col("cls"))
+    roots = components(links).withColumnRenamed("node", "cls")
+    return settle(shared.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+
+
+def _few_each(rooted: DataFrame, tried: DataFrame | None, percent: int, turn: int) -> DataFrame:
+    """For each class at most ``TRIES`` new pairs with classes of other components.
+
+    Under every shingle that several components have stand two classes, drawn anew in every ``turn``; of those
+    a class meets so, it takes the ones with which it shares most such shingles.
+    """
+    row = F.struct(F.xxhash64("cls", F.lit(turn)).alias("draw"), "root", "cls", "n", "pos")
+    ends = rooted.groupBy("h").agg(F.min(row).alias("lo"), F.max(row).alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    ends = ends.where("r1 <> r2").select("h", "lo", "hi")
+    met = rooted.join(ends, "h").withColumn("o", F.explode(F.array("lo", "hi"))).where("root <> o.root").select(
+        F.col("cls").alias("cls1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"),
+        F.col("o.cls").alias("cls2"), F.col("o.n").alias("n2"), F.col("o.pos").alias("pos2")).where(_possible(percent))
+    counted = met.groupBy("cls1", "n1", "cls2", "n2").agg(F.count("*").alias("c"))
+    if tried is not None:
+        counted = counted.withColumns({"a": F.greatest("cls1", "cls2"), "b": F.least("cls1", "cls2")}).join(tried, ["a", "b"], "left_anti")
+    ranked = counted.withColumn("at", F.expr("row_number() over (partition by cls1 order by c desc, cls2)"))
+    return _pairs(ranked.where(F.col("at") <= TRIES))
+
+
+def _all_apart(rooted: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes that share a prefix shingle and are in different components, within bounds.
+
+    A frequent shingle's rows are dealt to ``SALTS`` parts, each of which meets all of them.
+    """
+    split = rooted.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h")
+    open_ = settle(rooted.join(split, "h").select("h", "late", "cls", "n", "pos", "root").join(marks.select("cls", "marks"), "cls"))
+    part = F.when(F.col("late"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(0).cast("int")
+    every = F.explode(F.when(F.col("late"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    side = lambda k, salt: open_.select("h", salt.alias("salt"), *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "pos", "root", "marks")))
+    met = side(1, part).join(side(2, every), ["h", "salt"]).where("root1 <> root2 and cls1 < cls2")
+    return _pairs(met.where(_possible(percent)).where(_close(percent, "marks1", "marks2")))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, frequent: int = 24,
                     fragments: int = 4) -> DataFrame:
     """``docs`` (doc_id, text) → doc_id, n_shingles, component_id, cls, root, text_hash; a row per row.
@@ -218,38 +287,28 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, freque
     docs = docs.select("doc_id", "text")
     members = settle(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
         _signatures(size), "doc_id long, text_hash long, n long, cls long, marks array<long>"))
-    marks = settle(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("marks").alias("marks")))
-    first = docs.select("text").mapInArrow(_first_prefixes(size, percent), "h long")
-    often = first.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > frequent)
+    marks = settle(members.where("n > 0").groupBy("cls").agg(
+        F.min("doc_id").alias("least"), F.min("marks").alias("marks"), F.min("text_hash").alias("text_hash")))
+    every = docs.select("text").mapInArrow(_every_shingle(size), "h long")
+    often = settle(every.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > frequent).select("h"))
     bitmap = spark.sparkContext.broadcast(bitmap_of(often, "h"))
     rows = docs.select("text").mapInArrow(
         _prefixes(size, percent, bitmap), "h long, cls long, n int, pos int, late boolean")
     rows = rows.withColumn("salt", F.when(F.col("late"), F.pmod(F.col("cls"), F.lit(SALTS))).otherwise(0).cast("int"))
     met = F.expr("min(cls) over (partition by h, salt) <> max(cls) over (partition by h, salt)")
     shared = settle(rows.withColumn("met", F.col("late") | met).where("met")
-                    .dropDuplicates(["h", "salt", "cls"]).select("h", "cls", "n", "pos"))
-
-    hub = F.struct("cls", "n", "pos")
-    hubs = shared.groupBy("h").agg(F.min(hub).alias("lo"), F.max(hub).alias("hi")).where("lo.cls <> hi.cls")
-    hubs = hubs.select("h", F.explode(F.array("lo", "hi")).alias("hub"))
-    met = shared.select("h", F.col("cls").alias("cls1"), F.col("n").alias("n1"), F.col("pos").alias("pos1")).join(
-        hubs.select("h", F.col("hub.cls").alias("cls2"), F.col("hub.n").alias("n2"), F.col("hub.pos").alias("pos2")), "h")
-    near = _pairs(met.where(_possible(percent)))
-    side = lambda k, c: marks.select(F.col("cls").alias(c), F.col("marks").alias(f"marks{k}"))
-    near = settle(near.withColumns({"n1": F.col("na"), "n2": F.col("nb")}).join(side(1, "a"), "a").join(side(2, "b"), "b")
-                  .where(_close(percent, "marks1", "marks2")).select("a", "b", "na", "nb"))
-    links = settle(similar_pairs(docs, near, size, percent, fragments).select("a", "b"))
-    roots = settle(components(links))
-
-    placed = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "root", F.coalesce("root", "cls"))
-    split = placed.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
-    open_ = settle(placed.join(split.select("h"), "h").join(marks.select("cls", "marks"), "cls"))
-    side = lambda k: open_.select("h", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "pos", "root", "marks")))
-    rest = side(1).join(side(2), "h").where("root1 <> root2 and cls1 < cls2").where(_possible(percent)).where(
-        _close(percent, "marks1", "marks2"))
-    rest = settle(_pairs(rest).join(near.select("a", "b"), ["a", "b"], "left_anti"))
-    more = similar_pairs(docs, rest, size, percent, fragments).select("a", "b")
+                    .dropDuplicates(["h", "salt", "cls"]).select("h", "cls", "n", "pos", "late"))
+
+    links, tried, found, total, turn = None, None, True, 0, 0
+    while found:
+        near = settle(_bounded(_few_each(_rooted(shared, links), tried, percent, turn), marks, percent))
+        more = settle(similar_pairs(docs, marks, near, size, percent, fragments).select("a", "b"))
+        count = more.count()
+        found, total, turn = 100 * count > total, total + count, turn + 1
+        links = more if links is None else settle(links.unionByName(more))
+        tried = near.select("a", "b") if tried is None else settle(tried.unionByName(near.select("a", "b")))
+    rest = settle(_all_apart(_rooted(shared, links), marks, percent).join(tried, ["a", "b"], "left_anti"))
+    more = similar_pairs(docs, marks, rest, size, percent, fragments).select("a", "b")
     links = settle(links.unionByName(more))
     roots = settle(components(links))
 
