@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickframe.llm import words
+from tickframe.operators.series import settle
 
 BLOCK = 2
 TABLE = 1 << 20    # entries of a shift table, one byte each
+HELD = 64 << 20    # bytes of windows, with what goes with each, that are broadcast at once
+NO_ID = -(1 << 63)     # stands for a null item_id while windows are gathered
 SPAN = 256         # words a cursor covers
 
 
@@ -148,7 +151,7 @@ def _scan(patterns, others: list[str]):
                     edge = np.diff(np.concatenate([[0], one.astype(np.int8), [0]]))
                     hits.append([{"first": x, "end": y} for x, y in zip(
                         np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist())])
-                    items.append(sorted(own[k], key=str))
+                    items.append(sorted(own[k] - {NO_ID}, key=str) + [None] * (NO_ID in own[k]))
             span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in others), pa.array(counts, pa.int64()), pa.array(hit_counts, pa.int64()),
@@ -163,20 +166,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, blo
     Adds ``n_words``, ``n_hit`` (words inside any occurrence), ``hits`` (those words as merged
     ranges), ``items`` (ids with an occurring window, as sorted strings) and ``contaminated``;
     columns of these names are replaced, others pass through. Null and empty texts have no
-    words; a benchmark item without words, or with a null id, has no windows. Repeated windows
-    and items count once. An empty benchmark hits nothing, an empty corpus gives no rows.
+    words; a benchmark item without words has no windows. Items with a null id count as one item, a null at
+    the end of ``items``. Repeated windows and items count once. An empty benchmark hits nothing, an
+    empty corpus gives no rows.
 
-    At most ``block`` windows are broadcast at once. A larger benchmark is searched in blocks:
+    At most ``block`` windows or ``HELD`` bytes of them are broadcast at once. A larger benchmark is searched in blocks:
     one pass each, the ranges of which are united row by row in the same stage.
     """
     spark = docs.sparkSession
     added = ["n_words", "n_hit", "hits", "items", "contaminated"]
     docs = docs.drop(*added)
     own = docs.columns
-    windows = (benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
-               .mapInArrow(_windows(size), "item_id long, text string")
-               .groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids")))
-    blocks = max(1, -(-windows.count() // block))
+    windows = settle(benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), "text")
+                     .mapInArrow(_windows(size), "item_id long, text string")
+                     .groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids")))
+    count, weight = windows.agg(F.count("*"), F.sum(F.octet_length("text") + 8 * F.size("ids") + 8 * size + 100)).first()
+    blocks = max(1, -(-count // block), -(-(weight or 0) // HELD))
     out = docs
     for k in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toArrow()

@@ -169,10 +169,7 @@ class LanguageModel:
         """Language and score of every text given as UTF-8 bytes with row limits."""
         total = np.zeros((len(limits) - 1, len(self.languages)))
         letters = np.zeros(len(limits) - 1, bool)
-        for a, b, part, cuts in _pieces(data, limits):
-            points = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-            lead = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[cuts]
-            low, starts = fold(points, self.classes, np.minimum(lead, len(points)))
+        for a, b, low, starts in _folded(data, limits, self.classes):
             seen = np.concatenate([[0], np.cumsum(low != 0)])
             letters[a:b] |= np.diff(seen[starts]) > 0
             total[a:b] += self.phrases(self.symbols[low], starts)
@@ -184,20 +181,34 @@ class LanguageModel:
         return names, score
 
 
-def _pieces(data: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row range, bytes and row limits of bounded pieces; a long text comes in several."""
+def _points(part: np.ndarray) -> np.ndarray:
+    return np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+
+def _folded(data: np.ndarray, limits: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row range, folded characters and the rows' limits among them, in pieces of bounded size.
+
+    A long text comes in several, each of whole spans but the last, so it is parsed as in one piece.
+    """
     for a, b in words.slices(limits, PIECE):
         part, cuts = data[limits[a]:limits[b]], limits[a:b + 1] - limits[a]
         if len(part) <= PIECE:
-            yield a, b, part, cuts
+            points = _points(part)
+            lead = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[cuts]
+            yield (a, b, *fold(points, classes, np.minimum(lead, len(points))))
             continue
-        at = 0
+        at, left, last = 0, np.zeros(0, np.int32), -1
         while at < len(part):
             end = min(at + PIECE, len(part))
             while end < len(part) and part[end] & 0xC0 == 0x80:
                 end += 1
-            yield a, b, part[at:end], np.array([0, end - at])
-            at = end
+            low, _ = fold(_points(part[at:end]), classes, np.array([0]))
+            low = low[1:] if last == 0 and len(low) and low[0] == 0 else low
+            last, at = int(low[-1]) if len(low) else last, end
+            left = np.concatenate([left, low])
+            whole = len(left) // SPAN * SPAN if at < len(part) else len(left)
+            yield a, b, left[:whole], np.array([0, whole])
+            left = left[whole:]
 
 
 def sample_texts(docs: DataFrame, language: str, rows: int) -> DataFrame:
@@ -224,15 +235,26 @@ def fit(docs: DataFrame, *, language: str = "lang", rows: int = 120, chars: int
     own sample lacks.
     Without labelled rows there is no language and every prediction is ``und``.
     """
-    found = sample_texts(docs, language, rows).select(language, "text").orderBy(language, F.xxhash64("text"), "text")
     classes = point_classes()
+    held = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def passages(batches):
+        for batch in batches:
+            cut = []
+            for text in batch.column("text"):
+                points = np.frombuffer(text.as_py().encode("utf-32-le"), np.uint32)
+                low, _ = fold(points, held.value, np.array([0, len(points)]))
+                at = max(0, (len(low) - chars) // 2)
+                cut.append(low[at:at + chars] if low.any() else low[:0])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("_mark"), pa.array(cut, pa.list_(pa.int32()))],
+                                             names=["name", "_mark", "passage"])
+
+    found = sample_texts(docs, language, rows).select(F.col(language).cast("string").alias("name"), "_mark", "text").mapInArrow(
+        passages, "name string, _mark long, passage array<int>")
     joined: dict[str, list[np.ndarray]] = {}
-    for row in found.toLocalIterator():
-        points = np.frombuffer(row["text"].encode("utf-32-le"), np.uint32)
-        low, _ = fold(points, classes, np.array([0, len(points)]))
-        if low.any():
-            at = max(0, (len(low) - chars) // 2)
-            joined.setdefault(str(row[language]), []).append(np.append(low[at:at + chars], 0))
+    for row in found.orderBy("name", "_mark", "passage").collect():      # at most ``rows`` passages a language
+        if row["passage"]:
+            joined.setdefault(row["name"], []).append(np.append(np.array(row["passage"], np.int32), 0))
     texts = {k: np.concatenate(v) for k, v in sorted(joined.items())}
     letters = np.unique(np.concatenate([*texts.values(), np.zeros(1, np.int32)]))
     table = np.full(POINTS, len(letters), np.int32)

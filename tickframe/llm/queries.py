@@ -79,7 +79,7 @@ def op7_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = language.crc_fold("doc_id", FOLDS) == 0
+    held_out = F.coalesce(language.crc_fold("doc_id", FOLDS) == 0, F.lit(False))
     model = language.fit(docs.where(~held_out))
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
