@@ -7,7 +7,6 @@ with adverse slippage. Targets fill exactly. A bar touching both stop and target
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Sequence
 
@@ -17,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickframe import config
-from tickframe.operators.fold import chunked_fold, ordered_fold
-from tickframe.operators.series import Running, running
+from tickframe.operators.fold import chunked_fold
+from tickframe.operators.reach import block_tree, first_reach
+from tickframe.operators.series import Running, number_rows, running, settle
 from tickframe.sources.bars import with_instrument
 
 SLIP = config.SLIPPAGE_TICKS * config.TICK_SIZE
@@ -71,117 +71,52 @@ def _usable(direction, entry):
     return isinstance(direction, str) and entry is not None and entry == entry
 
 
-class BracketFold:
-    """Outcome of every signal on its own within one unbroken run of bars.
-
-    Waiting orders and open positions sit in heaps by price, so a bar only meets those it
-    touches: the work is O(n log n) in the signals, never bars times signals.
-    """
-
-    OUT = ("time", "direction", "entry_time", "entry_price", "exit_time", "exit_price", "reason",
-           "ambiguous", "same_bar")
-
-    def __init__(self, slip: float = SLIP):
-        self.slip = slip
-        self.waiting = {True: [], False: []}     # by entry; True is long
-        self.stops = {True: [], False: []}
-        self.targets = {True: [], False: []}
-        self.open = {}                           # id -> (time, up, entry time, entry price)
-        self.last = None
-        self.n = 0
-
-    def _row(self, pos, exit_time, exit_price, reason, ambiguous, same):
-        t, up, entry_time, entry = pos
-        return (t, "long" if up else "short", entry_time, entry, exit_time, exit_price, reason,
-                ambiguous, same)
-
-    def _exits(self, t, o, h, low, out):
-        for up in (True, False):
-            # Heaps hold signed prices so that the nearest to the market is on top.
-            stops, targets = self.stops[up], self.targets[up]
-            hit = {}
-            while stops and (low <= -stops[0][0] if up else h >= stops[0][0]):
-                _, i, stop = heapq.heappop(stops)
-                hit[i] = stop
-            reached = {}
-            while targets and (h >= targets[0][0] if up else low <= -targets[0][0]):
-                _, i, target = heapq.heappop(targets)
-                reached[i] = target
-            for i in sorted({*hit, *reached} & self.open.keys()):
-                stop = hit.get(i)
-                if stop is not None:
-                    price = min(o, stop) - self.slip if up else max(o, stop) + self.slip
-                    out.append(self._row(self.open.pop(i), t, price, "stop", i in reached, False))
-                else:
-                    out.append(self._row(self.open.pop(i), t, reached[i], "target", False, False))
-
-    def _entries(self, t, o, h, low, out):
-        for up in (True, False):
-            queue = self.waiting[up]
-            while queue and (h >= queue[0][0] if up else low <= -queue[0][0]):
-                _, i, armed, entry, stop, target = heapq.heappop(queue)
-                pos = (armed, up, t, _touch_entry(up, entry, o, h, low, self.slip))
-                done = _touch_exit(up, stop, target, o, h, low, self.slip)
-                if done:
-                    out.append(self._row(pos, t, *done, True))
-                    continue
-                self.open[i] = pos
-                heapq.heappush(self.stops[up], (-stop if up else stop, i, stop))
-                heapq.heappush(self.targets[up], (target if up else -target, i, target))
-
-    def feed(self, frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for t, o, h, low, c, way, entry, stop, target in zip(*(frame[x].tolist() for x in BAR)):
-            self._exits(t, o, h, low, out)
-            self._entries(t, o, h, low, out)
-            if _usable(way, entry):
-                up = way == "long"
-                self.n += 1
-                heapq.heappush(self.waiting[up], (entry if up else -entry, self.n, t, entry, stop, target))
-            self.last = (t, c)
-        return self._frame(frame, out)
-
-    def _frame(self, frame, out):
-        made = pd.DataFrame(out, columns=list(self.OUT))
-        if frame is not None:
-            for k in frame.columns:
-                if k not in made.columns and k not in BAR:
-                    made[k] = frame[k].iloc[0]
-        for k in ("entry_time", "exit_time"):
-            made[k] = made[k].astype("Int64")
-        return made
-
-    def finish(self) -> pd.DataFrame:
-        out = [self._row(pos, *self.last, "end", False, False) for pos in self.open.values()]
-        out += [(armed, "long" if up else "short", None, None, None, None, "unfilled", False, False)
-                for up in (True, False) for _, _, armed, *_ in self.waiting[up]]
-        return self._frame(None, out)
-
-
-def bracket_outcomes(signals: DataFrame, *, keys: Sequence[str] = ("symbol",),
+def bracket_outcomes(signals: DataFrame, *, keys: Sequence[str] = ("symbol",), series: Sequence[str] | None = None,
                      slip: float = SLIP) -> DataFrame:
     """What became of every signal taken alone, inside its gap-free ``segment``.
 
-    Earliest trigger is the bar after arming. A position still open when the segment ends is
-    flattened at the last close (``session``); in the newest segment it is still ``open``.
+    Earliest trigger is the bar after arming; the bar that triggers may also end the trade. A position still open when the
+    segment ends is flattened at the last close (``session``); in the newest segment it is still ``open``. Entries
+    and exits descend trees of block extremes (``reach``). ``series`` are the keys that tell bars apart, where
+    ``keys`` also hold parameters. Signals without a direction or an entry price are none.
     """
-    by = [*keys, "segment"]
-    rows = signals.select(*by, F.unix_seconds("ts").alias("time"), *BAR[1:])
-    schema = T.StructType([
-        *[rows.schema[k] for k in by], T.StructField("time", T.LongType()),
-        T.StructField("direction", T.StringType()), T.StructField("entry_time", T.LongType()),
-        T.StructField("entry_price", T.DoubleType()), T.StructField("exit_time", T.LongType()),
-        T.StructField("exit_price", T.DoubleType()), T.StructField("reason", T.StringType()),
-        T.StructField("ambiguous", T.BooleanType()), T.StructField("same_bar", T.BooleanType())])
-    found = ordered_fold(rows, by, ["time"], lambda: BracketFold(slip), schema)
-    newest = signals.groupBy(*keys).agg(F.max("segment").alias("_newest"))
-    ended = F.col("reason") == "end"
+    series = list(keys if series is None else series)
+    by = [*series, "segment"]
+    shown = ["ts", "open", "high", "low", "close"]
+    bars = settle(number_rows(signals.select(*by, *shown).dropDuplicates([*by, "ts"]), by, name="_no")
+                  .withColumn("time", F.unix_seconds("ts")))
+    tree = block_tree(bars, by, "_no", ["open", "close", "time"])
+    armed = (signals.where(F.col("direction").isin("long", "short") & F.col("entry_stop").isNotNull() & ~F.isnan("entry_stop"))
+             .select(*dict.fromkeys([*keys, *by]), "ts", "direction", "entry_stop", "stop_price", "target_price")
+             .join(bars.select(*by, "ts", F.col("_no").alias("_from"), "time"), [*by, "ts"]).drop("ts"))
+    long, none = F.col("direction") == "long", F.lit(None).cast("double")
+    entry = first_reach(armed.withColumns({"up": F.when(long, F.col("entry_stop")), "down": F.when(~long, F.col("entry_stop"))}), tree, by)
+    bar = {c: F.col(f"_bar.{c}") for c in ("open", "high", "low", "close", "time")}
+    filled = settle(entry.withColumnRenamed("reached", "_bar").withColumns({
+        "entry_price": entry_price(F.col("direction"), F.col("entry_stop"), bar["open"], bar["high"], bar["low"], slip),
+        "entry_time": bar["time"],
+        "_fill": exit_fill(F.col("direction"), F.col("stop_price"), F.col("target_price"), bar["open"], bar["high"], bar["low"], slip)})
+        .drop("up", "down", "_from"))
+    inside = filled.where("_bar is not null and _fill is null").withColumn("_from", F.col("_bar._at"))
+    out = first_reach(inside.drop("_fill", "_bar").withColumns({
+        "up": F.when(long, F.col("target_price")).otherwise(F.col("stop_price")),
+        "down": F.when(long, F.col("stop_price")).otherwise(F.col("target_price"))}), tree, by)
+    out = out.withColumnRenamed("reached", "_bar").withColumns({
+        "_fill": exit_fill(F.col("direction"), F.col("stop_price"), F.col("target_price"), bar["open"], bar["high"], bar["low"], slip),
+        "exit_time": bar["time"]}).drop("up", "down", "_from")
+    same = filled.where("_bar is null or _fill is not null").withColumn("exit_time", F.when(F.col("_fill").isNotNull(), bar["time"]))
+    rows = same.withColumn("same_bar", F.col("_fill").isNotNull()).unionByName(out.withColumn("same_bar", F.lit(False)))
+    ends = bars.groupBy(*by).agg(F.max("time").alias("_end"), F.max_by("close", "time").alias("_last"))
+    newest = bars.groupBy(*series).agg(F.max("segment").alias("_newest"))
+    closed, entered = F.col("_fill").isNotNull(), F.col("entry_time").isNotNull()
+    ended = entered & ~closed
     live = ended & (F.col("segment") == F.col("_newest"))
-    return (found.join(newest, list(keys))
-            .withColumn("exit_time", F.when(~live, F.col("exit_time")))
-            .withColumn("exit_price", F.when(~live, F.col("exit_price")))
-            .withColumn("reason", F.when(live, "open").when(ended, "session").otherwise(F.col("reason")))
-            .drop("_newest"))
+    return (rows.join(ends, by).join(newest, series).select(
+        *keys, "segment", "time", "direction", "entry_time", "entry_price",
+        F.when(ended & ~live, F.col("_end")).otherwise(F.col("exit_time")).alias("exit_time"),
+        F.when(ended & ~live, F.col("_last")).when(closed, F.col("_fill.price")).otherwise(none).alias("exit_price"),
+        F.when(live, "open").when(ended, "session").when(closed, F.col("_fill.reason")).otherwise("unfilled").alias("reason"),
+        F.coalesce("_fill.ambiguous", F.lit(False)).alias("ambiguous"), "same_bar"))
 
 
 class BookFold:

@@ -16,30 +16,39 @@ from tickframe.operators.fold import ordered_fold
 from tickframe.operators.series import Running, running, secs, settle
 
 
-def histogram(levels: DataFrame, ranges: DataFrame, bucket: int = 86400) -> DataFrame:
+def histogram(levels: DataFrame, ranges: DataFrame, unit: int = 1) -> DataFrame:
     """Volume per tick inside ``(start, end]`` for every row of ``ranges``
     (symbol, range_id, start, end in seconds).
 
-    A range is laid over time buckets. Buckets it covers whole read one folded histogram per
-    bucket; only its two ragged ends read single bars. Both are equi-joins on (symbol, bucket),
-    so no bar meets a range it is not near, and a long range does not re-read its bars.
+    An index over time: cells of ``unit`` seconds, blocks of two cells, of four, and so on. The whole cells of a
+    range are covered by at most two blocks of each size, so however long it is it meets a logarithm of
+    them; at its two ends bars of cells it cuts are read singly. Blocks nobody asks for are not folded. All
+    joins are equi-joins on (symbol, size, block). ``unit`` is best the bars' step; it never changes results.
+    Empty ranges (``end <= start``) and those without levels give no rows; repeated ranges are summed as one range_id.
     """
-    of_bar = F.floor((secs("ts") - 1) / bucket)
-    marked = levels.select("symbol", secs("ts").alias("at"), of_bar.alias("_bucket"),
-                           "tick", "volume", "buy")
-    whole = marked.groupBy("symbol", "_bucket", "tick").agg(
-        F.sum("volume").alias("volume"), F.sum("buy").alias("buy"))
-    asked = (ranges.where("end > start")
-             .withColumn("_bucket", F.explode(F.sequence(
-                 F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
-             .withColumn("_full", (F.col("_bucket") * bucket >= F.col("start"))
-                         & ((F.col("_bucket") + 1) * bucket <= F.col("end"))))
+    asked = ranges.where("end > start").select("symbol", "range_id", "start", "end")
+    asked = settle(asked.withColumns({"_l": F.ceil(F.col("start") / unit), "_r": F.floor(F.col("end") / unit)}))
+    widest = asked.agg(F.max(F.col("_r") - F.col("_l"))).first()[0] or 0
+    sizes = list(range(max(1, int(widest)).bit_length()))
+    size, power = F.col("_k"), F.expr("shiftleft(1L, _k)")
+    cover = asked.where("_r > _l").withColumn("_k", F.explode(F.lit(sizes))).withColumns(
+        {"_a": F.ceil(F.col("_l") / power), "_b": F.floor(F.col("_r") / power)}).where("_a < _b")
+    odd = lambda c: F.pmod(c, F.lit(2)) == 1
+    cover = cover.select("symbol", "range_id", size, F.explode(F.array_compact(F.array(
+        F.when(odd(F.col("_a")), F.col("_a")), F.when(odd(F.col("_b")), F.col("_b") - 1)))).alias("_block"))
+    marked = levels.select("symbol", secs("ts").alias("at"), F.floor((secs("ts") - 1) / unit).alias("_cell"), "tick", "volume", "buy")
+    totals = [F.sum("volume").alias("volume"), F.sum("buy").alias("buy")]
+    key = ["symbol", "_k", "_block"]
+    blocks = (marked.withColumn("_k", F.explode(F.lit(sizes))).withColumn("_block", F.floor(F.col("_cell") / power))
+              .join(cover.select(key).distinct(), key, "left_semi").groupBy(*key, "tick").agg(*totals))
     cols = ["symbol", "range_id", "tick", "volume", "buy"]
-    inner = asked.where("_full").join(whole, ["symbol", "_bucket"]).select(cols)
-    ends = (asked.where("not _full").join(marked, ["symbol", "_bucket"])
+    inner = cover.join(blocks, key).select(cols)
+    first, last = F.floor(F.col("start") / unit), F.floor((F.col("end") - 1) / unit)
+    cut = F.array_distinct(F.array_compact(F.array(
+        F.when(F.col("start") % unit != 0, first), F.when(F.col("end") % unit != 0, last))))
+    ends = (asked.withColumn("_cell", F.explode(cut)).join(marked, ["symbol", "_cell"])
             .where("at > start and at <= end").select(cols))
-    return inner.unionByName(ends).groupBy("symbol", "range_id", "tick").agg(
-        F.sum("volume").alias("volume"), F.sum("buy").alias("buy"))
+    return inner.unionByName(ends).groupBy("symbol", "range_id", "tick").agg(*totals)
 
 
 def rebin(levels: DataFrame, keys: Sequence[str], bin_size: str = "bin_size",

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickframe.functions.columns import exchange_minute
-from tickframe.operators.fold import ordered_fold
-from tickframe.operators.series import Running, number_rows, running, secs
+from tickframe.operators.reach import block_tree, first_reach
+from tickframe.operators.series import Running, number_rows, running, secs, settle
 from tickframe.schemas import OHLC
 
 
@@ -77,51 +74,21 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
 
 # ---- outcomes ---------------------------------------------------------------
 
-class FirstTouchFold:
-    """Which barrier each bar's price met first. Barriers wait in two heaps, nearest on top."""
-
-    IN = ("time", "high", "low", "close", "range_scale")
-
-    def __init__(self, k: float):
-        self.k = k
-        self.over, self.under, self.live = [], [], set()
-
-    def feed(self, frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for t, h, low, c, scale in zip(*(frame[x].tolist() for x in self.IN)):
-            up, down = set(), set()
-            while self.over and self.over[0][0] <= h:
-                up.add(heapq.heappop(self.over)[1])
-            while self.under and -self.under[0][0] >= low:
-                down.add(heapq.heappop(self.under)[1])
-            for at in sorted((up | down) & self.live):
-                self.live.discard(at)
-                out.append((at, "both" if at in up and at in down else "up" if at in up else "down", t))
-            if scale is not None and scale == scale:
-                self.live.add(t)
-                heapq.heappush(self.over, (c + self.k * scale, t))
-                heapq.heappush(self.under, (-(c - self.k * scale), t))
-        return self._frame(out, frame)
-
-    @staticmethod
-    def _frame(out, frame):
-        made = pd.DataFrame(out, columns=["at", "label", "touched"])
-        made["touched"] = made["touched"].astype("Int64")
-        if frame is not None:
-            made["symbol"] = frame["symbol"].iloc[0]
-        return made
-
-    def finish(self) -> pd.DataFrame:
-        return self._frame([(at, "none", None) for at in sorted(self.live)], None)
-
-
 def first_touch(bars: DataFrame, k: float) -> DataFrame:
-    """Label every bar by the barrier ``close +- k x range_scale`` later bars touch first."""
-    rows = bars.select("symbol", secs("ts").alias("time"), "high", "low", "close", "range_scale")
-    schema = T.StructType([
-        T.StructField("symbol", T.StringType()), T.StructField("at", T.LongType()),
-        T.StructField("label", T.StringType()), T.StructField("touched", T.LongType())])
-    return ordered_fold(rows, ["symbol"], ["time"], lambda: FirstTouchFold(k), schema)
+    """Label every bar with a scale by the barrier ``close +- k x range_scale`` that a later bar touches first.
+
+    ``both`` where one bar touches both, ``none`` where no later bar touches either. Barriers descend a tree of block
+    extremes (``reach``), so a symbol is spread over its blocks.
+    """
+    rows = settle(number_rows(bars.select("symbol", "ts", secs("ts").alias("time"), "high", "low", "close", "range_scale"), ["symbol"]))
+    reach = k * F.col("range_scale")
+    orders = rows.where("range_scale is not null").select(
+        "symbol", F.col("time").alias("at"), F.col("bar_no").alias("_from"),
+        (F.col("close") + reach).alias("up"), (F.col("close") - reach).alias("down"))
+    met = first_reach(orders, block_tree(rows, ["symbol"], "bar_no", ["time"]), ["symbol"])
+    over, under = F.col("reached.high") >= F.col("up"), F.col("reached.low") <= F.col("down")
+    label = F.when(over & under, "both").when(over, "up").when(under, "down").otherwise("none")
+    return met.select("symbol", "at", label.alias("label"), F.col("reached.time").alias("touched"))
 
 
 def forward_moves(bars: DataFrame, horizons: Sequence[int], keep: Sequence[str] = ()) -> DataFrame:

@@ -67,6 +67,8 @@ class StructureFold:
         return None
 
     def _break(self, high, low, close):
+        if close is None or (self.wick and (high is None or low is None)):
+            return None, None, None
         over, under = (high, low) if self.wick else (close, close)
         for kind, name, through in (("high", "up", over), ("low", "down", under)):
             level = self.levels[kind]
@@ -75,20 +77,22 @@ class StructureFold:
                 return name, *level
         return None, None, None
 
+    def row(self, t, high, low, close, scale) -> tuple:
+        """One bar's fields, in the order of ``FIELDS``."""
+        turn, rails = None, (None,) * 7
+        if scale is not None and scale == scale:
+            need = self.retrace * scale
+            turn = self._turn(t, high, low, need)
+            way = self.hunted
+            live = self.rails[way][0]
+            rails = (*self.rails[1], *self.rails[-1], HUNT[way], way * (live - close) / scale, live - way * need)
+        broke = self._break(high, low, close)
+        if turn:
+            self.levels[turn[0]] = [turn[1], turn[2]]
+        return (*(turn or (None, None, None)), *rails, *broke)
+
     def feed(self, frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for t, high, low, close, scale in zip(*(frame[c].tolist() for c in INPUT)):
-            turn, rails = None, (None,) * 7
-            if scale is not None and scale == scale:
-                need = self.retrace * scale
-                turn = self._turn(t, high, low, need)
-                way = self.hunted
-                live = self.rails[way][0]
-                rails = (*self.rails[1], *self.rails[-1], HUNT[way], way * (live - close) / scale, live - way * need)
-            broke = self._break(high, low, close)
-            if turn:
-                self.levels[turn[0]] = [turn[1], turn[2]]
-            out.append((*(turn or (None, None, None)), *rails, *broke))
+        out = [self.row(*bar) for bar in zip(*(frame[c].tolist() for c in INPUT))]
         made = pd.DataFrame(out, columns=[n for n, _ in FIELDS], index=frame.index)
         for name, kind in FIELDS:
             if kind is _L:

@@ -442,6 +442,12 @@ ranges AS (SELECT DISTINCT symbol, (t // 86400) * 86400 + 30000 AS s, (t // 8640
 SELECT r.symbol, r.s AS range_id, tick, CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(buy) AS BIGINT) AS buy
 FROM ranges r JOIN levels l ON l.symbol = r.symbol AND l.t > r.s AND l.t <= r.e GROUP BY ALL"""
 
+SQL["range_histogram_every_bar"] = "WITH " + bars_cte() + levels_cte() + """,
+h AS (SELECT b.symbol, b.t AS time, tick, sum(l.volume) AS v, sum(l.buy) AS y FROM bars b
+      JOIN levels l ON l.symbol = b.symbol AND l.t > b.t - 86000 AND l.t <= b.t GROUP BY ALL)
+SELECT symbol, time, CAST(sum(v) AS BIGINT) AS volume, CAST(sum(y) AS BIGINT) AS buy, count(*) AS ticks, min(tick) AS low,
+       max(tick) AS high, CAST(max(v) AS BIGINT) AS fullest FROM h GROUP BY ALL"""
+
 SESSION_PROFILE = ("WITH RECURSIVE " + bars_cte() + levels_cte() + scale_cte() + sessions_cte("scaled") + """,
 sz AS (SELECT symbol, session_id, arg_max(range_scale, t) AS sc FROM sess
        WHERE session_id IS NOT NULL AND range_scale IS NOT NULL GROUP BY ALL),
@@ -987,6 +993,8 @@ FROM base b JOIN ses ON ses.time = b.t LEFT JOIN lab ON lab.time = b.t LEFT JOIN
 LEFT JOIN cp ON cp.time = b.t LEFT JOIN cs ON cs.time = b.t LEFT JOIN cf ON cf.time = b.t LEFT JOIN ph ON ph.time = b.t
 LEFT JOIN pc ON pc.time = b.t LEFT JOIN tb ON tb.time = b.t LEFT JOIN tv ON tv.t = b.t"""
 
+SQL["stream_snapshot_replay"] = SQL["snapshot"]
+
 
 # ---- audits and studies -----------------------------------------------------
 

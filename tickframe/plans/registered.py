@@ -31,6 +31,7 @@ from tickframe.sources import bars as SB
 from tickframe.sources import capture as CP
 from tickframe.sources import results as RS
 from tickframe.streaming import live as LV
+from tickframe.streaming import rows as RW
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -281,7 +282,17 @@ def range_histogram(spark, sf):
     start = F.col("d") * 86400 + 30000
     ranges = days.select("symbol", start.alias("range_id"), start.alias("start"),
                          (start + 200000).alias("end"))
-    return VP.histogram(M.levels(spark, sf), ranges)
+    return VP.histogram(M.levels(spark, sf), ranges, M.STEP)
+
+
+@query
+def range_histogram_every_bar(spark, sf):
+    """One range a bar, the day up to it: total and fullest tick of each."""
+    bars, levels = M.bars(spark, sf), M.levels(spark, sf)
+    ranges = bars.select("symbol", secs("ts").alias("range_id"), (secs("ts") - 86000).alias("start"), secs("ts").alias("end"))
+    return VP.histogram(levels, ranges, M.STEP).groupBy("symbol", F.col("range_id").alias("time")).agg(
+        F.sum("volume").alias("volume"), F.sum("buy").alias("buy"), F.count("*").alias("ticks"), F.min("tick").alias("low"),
+        F.max("tick").alias("high"), F.max("volume").alias("fullest"))
 
 
 def _session_bins(spark, sf) -> DataFrame:
@@ -484,7 +495,7 @@ def next_bar_fills(spark, sf):
 @query
 def bracket_outcomes(spark, sf):
     signals = breakout(_tradable(spark, sf), SG.expand(GRID))
-    return O.bracket_outcomes(signals, keys=["symbol", "param_id"]).select(
+    return O.bracket_outcomes(signals, keys=["symbol", "param_id"], series=["symbol"]).select(
         "symbol", F.col("param_id").cast("long").alias("param_id"), "segment", "time", "direction", "entry_time", "entry_price", "exit_time",
         "exit_price", "reason", "ambiguous", "same_bar")
 
@@ -623,6 +634,11 @@ def _thirds(rows: DataFrame) -> list[DataFrame]:
     return [rows.where(ts <= cuts[0]), rows.where((ts > cuts[0]) & (ts <= cuts[1])), rows.where(ts > cuts[1])]
 
 
+def _shuffled(rows: DataFrame) -> list[DataFrame]:
+    """The month in three parts, every part's rows in an order of their hash, and what lets the last ones go."""
+    return [p.orderBy(F.xxhash64("symbol", "ts")) for p in _thirds(rows)] + [LV.closing(rows)]
+
+
 @query
 def stream_bars_replay(spark, sf):
     rows = settle(B.back_adjust(M.ticks(spark, sf, "ALL")).select("symbol", "ts", "seq", "price", "volume", "side"))
@@ -646,7 +662,7 @@ def _live():
 def stream_structure_replay(spark, sf):
     _stateful(spark)
     bars = M.bars(spark, sf, "event_type", 3600)
-    found = LV.replay(spark, _thirds(bars), lambda s: LV.stream_structure(s, _live))
+    found = LV.replay(spark, _shuffled(bars), lambda s: LV.stream_structure(s, _live)).where("not late")
     return found.select("symbol", "time", "range_scale", "swing", "swing_price", "swing_time", "hunting",
                         F.round("retrace", 6).alias("retrace"), "trigger", "bos", "bos_level", "bos_time")
 
@@ -657,7 +673,7 @@ def stream_seek(spark, sf):
     _stateful(spark)
     parts = _thirds(M.bars(spark, sf, "event_type", 3600))
     warm = settle(LV.warm_state(parts[0].unionByName(parts[1]), _live))
-    found = LV.replay(spark, [parts[2]], lambda s: LV.stream_structure(s, _live, warm))
+    found = LV.replay(spark, [parts[2], LV.closing(parts[2])], lambda s: LV.stream_structure(s, _live, warm)).where("not late")
     return found.select("symbol", "time", "range_scale", "swing", "swing_price", "swing_time", "hunting",
                         F.round("retrace", 6).alias("retrace"), "trigger", "bos", "bos_level", "bos_time")
 
@@ -671,14 +687,11 @@ def stream_prevailing_quote(spark, sf):
         quotes.select("symbol", "ts", secs("ts").alias("time"), F.lit(0).alias("kind"), "seq", none.alias("price"), "bid", "ask")
         .unionByName(trades.select("symbol", "ts", secs("ts").alias("time"), F.lit(1).alias("kind"), "seq", "price",
                                    none.alias("bid"), none.alias("ask"))))
-    return LV.replay(spark, _thirds(merged), LV.stream_prevailing)
+    return LV.replay(spark, _shuffled(merged), LV.stream_prevailing).where("not late").drop("kind", "late")
 
 
-@query
-def snapshot(spark, sf):
+def _row_out(rows: DataFrame) -> DataFrame:
     """Every field of the 76-field row; lists by their length and sum."""
-    dials = SN.Dials(M.TEST_WINDOW, M.TEST_WINDOW, H.FULL, M.SEALED_FROM)
-    rows = SN.snapshot(M.bars(spark, sf), M.STEP, levels=M.levels(spark, sf), dials=dials)
     lists = ("ribbon", "ribbon_prev", "ma", "ma_prev", "profile_bins", "profile_closed", "session_bins", "session_hvn",
              "session_lvn")
     total = lambda c: F.round(F.aggregate(F.coalesce(c, F.array().cast("array<double>")), F.lit(0.0),
@@ -695,6 +708,27 @@ def snapshot(spark, sf):
         F.size("session_hvn").cast("long").alias("n_hvn"), F.size("session_lvn").cast("long").alias("n_lvn"))
 
 
+def _dials():
+    return SN.Dials(M.TEST_WINDOW, M.TEST_WINDOW, H.FULL, M.SEALED_FROM)
+
+
+@query
+def snapshot(spark, sf):
+    return _row_out(SN.snapshot(M.bars(spark, sf), M.STEP, levels=M.levels(spark, sf), dials=_dials()))
+
+
+@query
+def stream_snapshot_replay(spark, sf):
+    """The whole row from a stream: three parts, each in scrambled order, the stream started anew for each."""
+    _stateful(spark)
+    card = settle(_card(spark, sf))
+    table = settle(H.percentile_table(card, population=H.FULL, cutoff=_cutoff()))
+    finals = settle(H.final_travel(card, population=H.FULL, cutoff=_cutoff()))
+    given = settle(RW.with_levels(M.bars(spark, sf), M.levels(spark, sf)))
+    rows = LV.replay(spark, _shuffled(given), lambda s: RW.stream_rows(s, dials=_dials(), table=table, finals=finals))
+    return _row_out(rows.where("not late"))
+
+
 # ---- audits and studies -----------------------------------------------------
 
 @query

@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 from tickframe import config
 from tickframe.operators.bars import _flow_sums
@@ -24,6 +23,7 @@ from tickframe.operators.series import shared_folder
 from tickframe.operators.structure import FIELDS, StructureFold
 from tickframe.functions.columns import aggressor
 from tickframe.schemas import FLOW, OHLC
+from tickframe.streaming.ordered import InOrder, in_order, milliseconds
 
 
 def stream_bars(ticks: DataFrame, step: int, delay: str = "1 minute") -> DataFrame:
@@ -48,6 +48,7 @@ def stream_rungs(ticks: DataFrame, timeframes: Iterable[str], delay: str = "1 mi
 
 class LiveStructure:
     """Scale and structure of one series, bar by bar: what the batch windows and fold give.
+    A bar without a range has no scale and leaves the swings as they are.
 
     Serves the stream and the silent warm-up alike; ``save`` holds all there is to know.
     """
@@ -64,7 +65,9 @@ class LiveStructure:
         self.seen, inner = json.loads(text)
         self.fold.load(inner)
 
-    def _scale(self, t, spread):
+    def scale(self, t, spread):
+        if spread is None or spread != spread:
+            return None
         self.seen.append([t, spread])
         fresh = sum(1 for at, _ in self.seen if at > t - self.window)
         self.seen = self.seen[-max(fresh, self.floor):]
@@ -74,7 +77,7 @@ class LiveStructure:
         return median if median > 0 else None
 
     def feed(self, frame: pd.DataFrame) -> pd.DataFrame:
-        scales = [self._scale(t, h - low) for t, h, low in
+        scales = [self.scale(t, h - low) for t, h, low in
                   zip(frame["time"].tolist(), frame["high"].tolist(), frame["low"].tolist())]
         return self.fold.feed(frame.assign(range_scale=pd.Series(scales, index=frame.index, dtype="float64")))
 
@@ -82,45 +85,48 @@ class LiveStructure:
 def live_schema() -> T.StructType:
     return T.StructType([
         T.StructField("symbol", T.StringType()), T.StructField("time", T.LongType()),
-        T.StructField("range_scale", T.DoubleType()), *[T.StructField(n, t) for n, t in FIELDS]])
+        T.StructField("range_scale", T.DoubleType()), *[T.StructField(n, t) for n, t in FIELDS],
+        T.StructField("late", T.BooleanType())])
 
 
-class _StructureProcessor(StatefulProcessor):
-    """Keeps a ``LiveStructure`` per symbol in the state store."""
+class _StructureProcessor(InOrder):
+    """Keeps a ``LiveStructure`` per symbol, fed in order of time."""
 
-    def __init__(self, make: Callable[[], LiveStructure]):
+    def __init__(self, rows: T.StructType, hold: int, make: Callable[[], LiveStructure]):
+        super().__init__(rows, live_schema(), ["us"], hold)
         self.make = make
 
-    def init(self, handle):
+    def start(self, handle):
         self.kept = handle.getValueState("fold", "text string")
 
     def handleInitialState(self, key, initialState, timerValues):
         self.kept.update((initialState["text"].iloc[0],))
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows)).sort_values("time", kind="stable").reset_index(drop=True)
-        live = self.make()
+    def load(self):
+        self.live = self.make()
         if self.kept.exists():
-            live.load(self.kept.get()[0])
-        out = live.feed(frame)
-        self.kept.update((live.save(),))
-        yield out[live_schema().fieldNames()]
+            self.live.load(self.kept.get()[0])
+
+    def save(self):
+        self.kept.update((self.live.save(),))
 
-    def close(self):
-        pass
+    def feed(self, frame):
+        return self.live.feed(frame.astype({"high": "float64", "low": "float64", "close": "float64"}))
 
 
 def _rows(bars: DataFrame) -> DataFrame:
-    return bars.select("symbol", F.unix_seconds("ts").alias("time"), "high", "low", "close")
+    return bars.select("symbol", "ts", F.unix_seconds("ts").alias("time"), "high", "low", "close")
 
 
 def stream_structure(bars: DataFrame, make: Callable[[], LiveStructure] = LiveStructure,
-                     warm: DataFrame | None = None) -> DataFrame:
-    """Swings and breaks of a bar stream; ``warm`` (symbol, text) starts it mid-way."""
-    return _rows(bars).groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=_StructureProcessor(make), outputStructType=live_schema(),
-        outputMode="Append", timeMode="None",
-        initialState=None if warm is None else warm.groupBy("symbol"))
+                     warm: DataFrame | None = None, delay: str = "1 minute") -> DataFrame:
+    """Swings and breaks of a bar stream; ``warm`` (symbol, text) starts it mid-way.
+
+    Bars may arrive in any order: they wait until event time is ``delay`` past them. What comes later than
+    that is a row with ``late`` set and no fields, and leaves the rest as it was.
+    """
+    hold = milliseconds(delay)
+    return in_order(_rows(bars), lambda rows: _StructureProcessor(rows, hold, make), warm)
 
 
 def warm_state(bars: DataFrame, make: Callable[[], LiveStructure] = LiveStructure) -> DataFrame:
@@ -143,33 +149,47 @@ def warm_state(bars: DataFrame, make: Callable[[], LiveStructure] = LiveStructur
             .mapInPandas(run, schema))
 
 
-class _QuoteProcessor(StatefulProcessor):
+class _QuoteProcessor(InOrder):
     """Holds the last known bid and ask per symbol and stamps them on trades."""
 
-    def init(self, handle):
+    def __init__(self, rows: T.StructType, hold: int):
+        super().__init__(rows, T.StructType.fromDDL(
+            "symbol string, time long, seq long, kind int, price double, bid double, ask double, late boolean"), ["us", "kind", "seq"], hold)
+
+    def start(self, handle):
         self.kept = handle.getValueState("quote", "bid double, ask double")
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows)).sort_values(["time", "kind", "seq"], kind="stable")
-        known = self.kept.get() if self.kept.exists() else (None, None)
-        for side, value in zip(("bid", "ask"), known):
+    def load(self):
+        self.known = dict(zip(("bid", "ask"), self.kept.get() if self.kept.exists() else (None, None)))
+
+    def save(self):
+        self.kept.update((self.known["bid"], self.known["ask"]))
+
+    def feed(self, frame):
+        for side, value in self.known.items():
             frame[side] = frame[side].astype("float64").ffill()
             if value is not None:
                 frame[side] = frame[side].fillna(value)
-        last = frame.iloc[-1]
-        self.kept.update(tuple(None if pd.isna(last[s]) else float(last[s]) for s in ("bid", "ask")))
-        yield frame.loc[frame["kind"] == 1, ["symbol", "time", "seq", "price", "bid", "ask"]]
+            last = frame[side].iloc[-1]
+            self.known[side] = None if pd.isna(last) else float(last)
+        return frame[frame["kind"] == 1]
+
 
-    def close(self):
-        pass
+def stream_prevailing(merged: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Trades of a merged stream (symbol, ts, time, kind 0 quote / 1 trade, seq, price, bid, ask) with the prevailing
+    quote of each side, whatever order both arrive in.
+
+    A trade leaves once event time is ``delay`` past it. Trades and quotes that come later are rows with ``late``
+    set, as they came; a late quote changes no trade.
+    """
+    hold = milliseconds(delay)
+    return in_order(merged, lambda rows: _QuoteProcessor(rows, hold))
 
 
-def stream_prevailing(merged: DataFrame) -> DataFrame:
-    """Trades of a merged stream (symbol, time, kind 0 quote / 1 trade, seq, price, bid, ask)
-    with the prevailing quote of each side."""
-    return merged.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=_QuoteProcessor(), outputMode="Append", timeMode="None",
-        outputStructType="symbol string, time long, seq long, price double, bid double, ask double")
+def closing(rows: DataFrame) -> DataFrame:
+    """One row of a symbol of its own, a year on: it moves event time past all others and never leaves itself."""
+    last = rows.agg(F.max("ts")).select(F.lit("~").alias("symbol"), (F.col("max(ts)") + F.expr("INTERVAL 1 YEAR")).alias("ts"))
+    return rows.limit(0).unionByName(last, allowMissingColumns=True).select(rows.columns)
 
 
 def replay(spark: SparkSession, slices: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
