@@ -13,7 +13,7 @@ sets differ by at least as many shingles as their bitmaps differ in bits.
 Documents with equal sets are one class and meet nobody on each other's behalf. Classes link in rounds:
 in each, two classes drawn by hash stand for every shingle, and a class is compared with the
 ``TRIES`` of those it meets under its prefix with which it shares most shingles. So a group of
-thousands of near copies costs a few comparisons a member. When a round links less than a hundredth of what those
+thousands of near copies costs a few comparisons a member. When a round links less than a tenth of what those
 before it linked, whatever still shares a prefix shingle across components is compared pair by pair; no link between different
 texts is lost.
 """
@@ -33,7 +33,9 @@ from tickframe.operators.series import settle
 
 BITS = 16, 27  # of a bitmap: by what it has to hold, 16 MB at most, whatever the corpus holds
 SALTS = 64     # parts a frequent shingle's rows are dealt to
-TRIES = 2      # pairs of a class in a round
+TRIES = 4      # pairs of a class in a round
+KEY = (1 << 48) - 1     # bits of a shingle by which it is counted
+RANGE = 1 << 21         # shingles of a range that is counted at once
 MARKS = 8      # 64-bit words of a class's parity bitmap
 
 
@@ -84,8 +86,24 @@ def _flush(held: list[tuple], names: tuple[str, ...]) -> Iterator[pa.RecordBatch
         held.clear()
 
 
-def _every_shingle(size: int):
-    """The shingles of every text, of equal sets once from a task, to learn which are frequent."""
+def _every_shingle(size: int, ranges: int):
+    """The shingles of every text, of equal sets once from a task, to learn which are frequent.
+
+    They leave in packed runs: a range's low 48 bits ascending, each once a run, and how often. Long runs of bytes
+    cost the shuffle next to nothing, where a row a shingle would cost it most of the join's time.
+    """
+    edges = np.array([(k << 48) // ranges for k in range(1, ranges)], np.uint64)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held) & np.uint64(KEY), return_counts=True)
+        held.clear()
+        cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        low, high = keys.astype("<u4"), (keys >> np.uint64(32)).astype("<u2")
+        often = np.minimum(counts, 65535).astype("<u2")
+        blobs = [pa.array([x[a:b].tobytes() for _, a, b in spans], pa.binary()) for x in (low, high, often)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in spans], pa.int32()), *blobs], names=["part", "low", "high", "often"])
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         held, rows, seen = [], 0, set()
         for _, _, found in _sets(batches, "text", size):
@@ -93,15 +111,53 @@ def _every_shingle(size: int):
                 continue
             if len(seen) < 1 << 18:
                 seen.add(cls)
-            held.append((found.view(np.int64),))
+            held.append(found)
             rows += len(found)
-            if rows > 1 << 18:
-                yield from _flush(held, ("h",))
+            if rows > 1 << 20:
+                yield packed(held)
                 rows = 0
-        yield from _flush(held, ("h",))
+        if held:
+            yield packed(held)
     return run
 
 
+def _frequent(least: int):
+    """From the runs of whole ranges, range after range: the low 48 bits of shingles in more than ``least`` texts."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def told():
+            keys, counts = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            often = keys[first][np.add.reduceat(counts, first) > least]
+            return pa.RecordBatch.from_arrays([pa.array(often.view(np.int64))], names=["h"])
+
+        for batch in batches:
+            for k, low, high, often in zip(*(batch.column(c).to_pylist() for c in ("part", "low", "high", "often"))):
+                if k != part and held:
+                    yield told()
+                    held.clear()
+                part = k
+                keys = np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32)
+                held.append((keys, np.frombuffer(often, "<u2").astype(np.int64)))
+        if held:
+            yield told()
+    return run
+
+
+def frequent_shingles(docs: DataFrame, total: int, size: int, least: int) -> DataFrame:
+    """``h``, the low 48 bits of shingles in more than ``least`` texts, of about ``total`` shingles in all.
+
+    Ranges hold some ``RANGE`` shingles; the same shingle leaves a task once in a million, so a frequent one fills none.
+    """
+    ranges = max(16, -(-total // RANGE))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = docs.select("text").mapInArrow(_every_shingle(size, ranges), "part int, low binary, high binary, often binary")
+    return runs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_frequent(least), "h long")
+
+
 class Bitmap:
     """A bit for the low ``bits`` bits of each value held; never says no to one of them."""
 
@@ -246,7 +302,7 @@ def _few_each(rooted: DataFrame, tried: DataFrame | None, percent: int, turn: in
     Under every shingle that several components have stand two classes, drawn anew in every ``turn``; of those
     a class meets so, it takes the ones with which it shares most such shingles.
     """
-    row = F.struct(F.xxhash64("cls", F.lit(turn)).alias("draw"), "root", "cls", "n", "pos")
+    row = F.struct(F.xxhash64("cls", "h", F.lit(turn)).alias("draw"), "root", "cls", "n", "pos")
     ends = rooted.groupBy("h").agg(F.min(row).alias("lo"), F.max(row).alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2"))
     ends = ends.where("r1 <> r2").select("h", "lo", "hi")
     met = rooted.join(ends, "h").withColumn("o", F.explode(F.array("lo", "hi"))).where("root <> o.root").select(
@@ -289,8 +345,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, freque
         _signatures(size), "doc_id long, text_hash long, n long, cls long, marks array<long>"))
     marks = settle(members.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min("marks").alias("marks"), F.min("text_hash").alias("text_hash")))
-    every = docs.select("text").mapInArrow(_every_shingle(size), "h long")
-    often = settle(every.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > frequent).select("h"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    often = settle(frequent_shingles(docs, total, size, frequent))
     bitmap = spark.sparkContext.broadcast(bitmap_of(often, "h"))
     rows = docs.select("text").mapInArrow(
         _prefixes(size, percent, bitmap), "h long, cls long, n int, pos int, late boolean")
@@ -304,7 +360,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, freque
         near = settle(_bounded(_few_each(_rooted(shared, links), tried, percent, turn), marks, percent))
         more = settle(similar_pairs(docs, marks, near, size, percent, fragments).select("a", "b"))
         count = more.count()
-        found, total, turn = 100 * count > total, total + count, turn + 1
+        found, total, turn = 10 * count > total, total + count, turn + 1
         links = more if links is None else settle(links.unionByName(more))
         tried = near.select("a", "b") if tried is None else settle(tried.unionByName(near.select("a", "b")))
     rest = settle(_all_apart(_rooted(shared, links), marks, percent).join(tried, ["a", "b"], "left_anti"))
