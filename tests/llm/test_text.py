@@ -227,3 +227,47 @@ def test_long_texts_are_parsed_as_in_one_piece(docs, monkeypatch):
         monkeypatch.setattr(language, "PIECE", piece)
         again = model.predict(*words.buffers(pa.array(texts)))
         assert again[0] == whole[0] and (again[1] == whole[1]).all()
+
+
+def linked_by_all_pairs(text, reach):
+    """Weak parts that have their complements near, comparing every part with every other."""
+    base = secrets.base_spans(text)
+    parts = secrets.weak_parts(text, base)
+    near = lambda x, y: x[3] == y[3] and abs(x[1] - y[1]) <= reach
+    keys = [p for p in parts if p[0] == 4 and any(q[0] in (1, 3) and near(p, q) for q in parts)
+            and any(q[0] == 5 and near(p, q) for q in parts)]
+    beside = [p for p in parts if p[0] in (3, 5) and any(near(p, q) for q in keys)]
+    return sorted((p[1], p[0], p[2]) for p in {*keys, *beside})
+
+
+def secret_texts(seed, n):
+    rng = random.Random(seed)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    mixed = lambda: "".join(rng.choice("aB3xY7qW") for _ in range(40)) + "aB3"
+    out = []
+    for _ in range(n):
+        bits = [rng.choice([word(rng.randint(3, 60)), "client_id=" + word(12), "user: " + word(9), mixed(), "https://" + word(8) + ".example.com/a",
+                            "host = " + word(5) + ".example.org", "\n\n", "AKIA" + "Q" * 18, "secret=" + mixed()]) for _ in range(rng.randint(5, 60))]
+        out.append(" ".join(bits))
+    return out
+
+
+def test_linking_equals_all_pairs(spark):
+    texts = secret_texts(3, 60) + AWKWARD
+    docs = corpus(spark, texts).withColumn("_key", F.lit("mine"))
+    got, some = secrets.find_secrets(docs, reach=120).collect(), 0
+    numbers = {"assign": 0, "access": 1, "hex": 2}
+    for r in got:
+        weak = sorted((s.start, s.end) for s in r.spans if s.kind not in numbers)
+        want = linked_by_all_pairs(texts[r.doc_id] or "", 120)
+        assert weak == sorted((a, b) for a, _, b in want) and r._key == "mine"
+        some += len(weak)
+    assert some > 20
+
+
+def test_long_texts_of_many_candidates_take_no_square():
+    import time
+    text = " ".join(secret_texts(5, 2500))[:4_000_000]
+    start = time.time()
+    parts = secrets.weak_parts(text, secrets.base_spans(text))
+    assert len(text) > 1_000_000 and len(parts) > 10_000 and time.time() - start < 30

@@ -10,6 +10,7 @@ identifiers and endpoints of those secrets. The joins are semi joins, so no pair
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,6 +48,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _outside(taken: list[tuple[int, int]]):
+    """A test whether [start, end) meets none of these spans, by bisection over their union."""
+    starts, ends = [], []
+    for a, b in sorted(taken):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end) - 1
+        return k < 0 or ends[k] <= start
+    return free
+
+
 def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(kind number, start, end, scope) of the parts that may belong together; none unless all do occur."""
     low = text.lower()
@@ -57,13 +74,15 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     keys = [(1, a, b) for a, k, b in base if k == 1]
     if not ends or not (ids or keys):
         return []
-    taken = [(a, b) for a, _, b in base] + [(a, b) for _, a, b in ids] + ends
+    strong = [(a, b) for a, _, b in base]
+    free = _outside([*strong, *((a, b) for _, a, b in ids), *ends])
     found = [(4, m.start(), m.end()) for m in _SECRET.finditer(text)
              if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])
-             and not any([a < m.end() and m.start() < b for a, b in taken])]
+             and free(m.start(), m.end())]
     if not found:
         return []
-    ids = [x for x in ids if not any([a < x[2] and x[1] < b for a, _, b in base])]
+    free = _outside(strong)
+    ids = [x for x in ids if free(x[1], x[2])]
     cuts = [m.start() for m in _BLANK.finditer(text)]
     out, scope = [], 0
     for kind, a, b in sorted([*ids, *keys, *found, *((5, a, b) for a, b in ends)], key=lambda x: x[1]):
@@ -115,9 +134,11 @@ def find_secrets(docs: DataFrame, *, reach: int = 400) -> DataFrame:
     once. Other columns pass through; columns already called so are replaced. No rows give none.
     """
     docs = docs.drop("base", "spans")
-    names = docs.columns
-    scanned = docs.withColumn("_key", F.coalesce(F.md5("text"), F.lit("")))
-    marks = settle(scanned.select("_key", "text").mapInArrow(_scan, (
+    names, own = docs.columns, "_key"
+    while own in names:
+        own = f"_{own}"
+    scanned = docs.withColumn(own, F.coalesce(F.md5("text"), F.lit("")))
+    marks = settle(scanned.select(F.col(own).alias("_key"), "text").mapInArrow(_scan, (
         "_key string, base array<struct<kind:int,start:long,end:long>>, "
         "parts array<struct<kind:int,start:long,end:long,scope:long>>"))
         .where("size(base) > 0 or size(parts) > 0").dropDuplicates(["_key"]))
@@ -129,7 +150,7 @@ def find_secrets(docs: DataFrame, *, reach: int = 400) -> DataFrame:
     found = found.select("_key", _named(F.col("base")).alias("base"),
                          _named(F.concat("base", F.coalesce("weak", none))).alias("spans"))
     empty = F.array().cast("array<struct<kind:string,start:long,end:long>>")
-    return (scanned.join(found, "_key", "left")
+    return (scanned.join(found.withColumnRenamed("_key", own), own, "left")
             .select(*names, F.coalesce("base", empty).alias("base"), F.coalesce("spans", empty).alias("spans")))
 
 
