@@ -61,3 +61,23 @@ def test_histograms_of_any_range_equal_looking_at_every_bar(spark, unit):
                 want[s, i, tick] = (x[0] + v, x[1] + y)
     assert got == want
     assert VP.histogram(lv, asked.where("range_id < 0"), unit).count() == 0
+
+
+def test_asked_bars_have_the_profiles_of_all_bars(spark):
+    """Profiles put together from the index equal those a fold keeps, for ranges that share bars too."""
+    import datetime as dt
+    rng = random.Random(3)
+    rows = []
+    for key in range(3):
+        for k in range(40):
+            ticks = sorted(rng.sample(range(400, 440), rng.randint(1, 6)))
+            at = dt.datetime(2024, 1, 1 + key, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=k)
+            rows.append(("X", key, at, None if k == 7 else 1.0 + k % 5, True, None if k == 9 else ticks,
+                         None if k == 9 else [rng.randint(1, 9) for _ in ticks], None if k == 9 else [0 for _ in ticks]))
+    df = spark.createDataFrame(rows, "symbol string, session_id long, ts timestamp, range_scale double, publish boolean, ticks array<long>, "
+                                     "volumes array<long>, buys array<long>")
+    asked = F.minute("ts") % 3 == 0
+    cols = ["session_id", "ts", "from_time", "to_time", "poc", "val", "vah", "profile_volume", "bins"]
+    every = VP.developing(df, ["symbol", "session_id"]).where(asked).select(cols).collect()
+    some = VP.at_bars(df, ["symbol", "session_id"], asked, 60).select(cols).collect()
+    assert sorted(map(str, every)) == sorted(map(str, some)) and len(some) == 3 * 14

@@ -143,7 +143,7 @@ def test_bars_without_range_or_levels(spark):
     bars = spark.createDataFrame(rows, BAR).withColumns({c: F.lit(None).cast("long") for c in ("delta", "buy_volume", "sell_volume", "trades")})
     levels = [{"ticks": None, "volumes": None, "buys": None}] * 60
     given = bars.withColumns({c: F.lit(None).cast("array<long>") for c in ("ticks", "volumes", "buys")})
-    given = given.withColumn("ticks", F.when(F.unix_seconds("ts") % 2700 != 0, F.array(F.floor(F.col("close") / 0.25))))
+    given = given.withColumn("ticks", F.when((F.unix_seconds("ts") % 2700 != 0) & F.col("close").isNotNull(), F.array(F.floor(F.col("close") / 0.25))))
     given = given.withColumns({c: F.when(F.col("ticks").isNotNull(), F.array(F.lit(n).cast("long"))) for c, n in (("volumes", 4), ("buys", 1))})
     found = LV.replay(spark, [given, LV.closing(given)], lambda s: RW.stream_rows(s, dials=SN.Dials(7200, 7200)))
     out = found.where("not late").orderBy("ts").collect()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe import config
@@ -81,11 +81,16 @@ def phase(rows: DataFrame, keys: Sequence[str] = ("symbol",), *, window: int = c
     return done.drop(*sums)
 
 
-def profile(rows: DataFrame, nested: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Add the session's own profile so far: poc, value area, bins, shelves and gaps."""
+def profile(rows: DataFrame, nested: DataFrame, keys: Sequence[str] = ("symbol",), asked: Column | None = None,
+            unit: int = 1) -> DataFrame:
+    """Add the session's own profile so far: poc, value area, bins, shelves and gaps.
+
+    ``asked``, a condition on ``ts`` and the keys: only those bars get one (see ``profile.at_bars``), the others stay null.
+    """
     fed = (rows.select(*keys, "session_id", "ts", "range_scale", F.lit(True).alias("publish"))
            .join(nested, ["symbol", "ts"], "left"))
-    made = VP.developing(fed, [*keys, "session_id"])
+    by = [*keys, "session_id"]
+    made = VP.developing(fed, by) if asked is None else VP.at_bars(fed, by, asked, unit)
     hvn, lvn = VP.shelves_and_gaps(F.col("bins"), F.col("poc"))
     made = made.select(
         *keys, "ts", F.col("poc").alias("session_poc"), F.col("val").alias("session_val"),

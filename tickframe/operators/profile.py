@@ -215,6 +215,29 @@ def developing(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return summarise(done.select(*keys, "ts", "from_time", secs("ts").alias("to_time"), zipped.alias("bins")))
 
 
+def at_bars(rows: DataFrame, keys: Sequence[str], asked: Column, unit: int = 1) -> DataFrame:
+    """What ``developing`` gives, for the bars where ``asked`` holds only, and without a fold.
+
+    The profile of an asked bar is the histogram from its range's first bar to it, put together from the blocks of the
+    dyadic index (``histogram``): nothing is made for bars nobody asks for, and a long range is not walked.
+    Bars that feed two ranges count once in the index. ``unit`` as there.
+    """
+    held = rows.select(*keys, "ts", "range_scale", "publish", "ticks", "volumes", "buys", asked.alias("_asked"))
+    starts = held.groupBy(*keys).agg(secs(F.min("ts")).alias("from_time"))
+    want = (held.where("publish and _asked and range_scale is not null").select(*keys, "ts", "range_scale")
+            .join(starts, list(keys)))
+    one = F.arrays_zip(F.col("ticks").alias("tick"), F.col("volumes").alias("volume"), F.col("buys").alias("buy"))
+    levels = (held.select("symbol", "ts", "ticks", "volumes", "buys").dropDuplicates(["symbol", "ts"])
+              .select("symbol", "ts", F.explode(one).alias("l")).select("symbol", "ts", "l.*"))
+    told = F.struct(*keys[1:], "ts", "range_scale", "from_time")
+    found = histogram(levels, want.select("symbol", told.alias("range_id"), (F.col("from_time") - 1).alias("start"),
+                                          secs("ts").alias("end")), unit)
+    shown = [*keys, "ts", "from_time"]
+    folded = found.select("symbol", "range_id.*", "tick", "volume", "buy").withColumn(
+        "bin_size", F.col("range_scale") / config.BINS_PER_SCALE)
+    return summarise(as_bins(rebin(folded, shown), shown).withColumn("to_time", secs("ts")))
+
+
 def _turns(bars: DataFrame, nested: DataFrame) -> DataFrame:
     """Bars with levels, and per bar: ``confirmed`` swings so far and ``turned`` ones before it.
 
@@ -233,11 +256,12 @@ def _turns(bars: DataFrame, nested: DataFrame) -> DataFrame:
     }).withColumn("turned", F.coalesce("turned", F.lit(0)))
 
 
-def swing_profiles(bars: DataFrame, nested: DataFrame) -> DataFrame:
+def swing_profiles(bars: DataFrame, nested: DataFrame, asked: Column | None = None, unit: int = 1) -> DataFrame:
     """Profile of the range since the last confirmed swing, on every bar that has one.
 
     ``bars`` carry swing, swing_time, range_scale and close. When a swing confirms, the bars
-    after its extreme open the new range, so those few bars feed two ranges.
+    after its extreme open the new range, so those few bars feed two ranges. ``asked``, a condition on ``ts``
+    and the symbol: only those bars (see ``at_bars``).
     """
     rows = _turns(bars, nested).where("_usable")
     shared = F.col("turned") > F.col("confirmed")
@@ -247,7 +271,7 @@ def swing_profiles(bars: DataFrame, nested: DataFrame) -> DataFrame:
     ).otherwise(F.array(F.struct(F.col("confirmed").alias("range_no"), F.lit(True).alias("publish"))))
     fed = rows.select("symbol", "ts", "range_scale", "ticks", "volumes", "buys",
                       F.explode(feeds).alias("f")).select("*", "f.*").drop("f")
-    made = developing(fed, ["symbol", "range_no"])
+    made = developing(fed, ["symbol", "range_no"]) if asked is None else at_bars(fed, ["symbol", "range_no"], asked, unit)
     return readings(made.join(rows.select("symbol", "ts", "close", "range_scale"), ["symbol", "ts"]))
 
 

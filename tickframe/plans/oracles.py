@@ -922,6 +922,19 @@ SELECT event_type AS symbol, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS ti
        arg_min(value, event_id) AS first_price
 FROM events GROUP BY 1, 2"""
 
+SQL["stream_capture_replay"] = """
+SELECT 'trade' AS kind, event_type AS symbol, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS time, count(*) AS rows,
+       CAST(sum(1 + user_id % 7) AS BIGINT) AS volume,
+       CAST(sum((1 + user_id % 7) * CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS delta
+FROM events GROUP BY 2, 3
+UNION ALL
+SELECT 'quote', event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT), count(*), count(value), count(*) FILTER (event_id % 5 <> 0)
+FROM events WHERE event_id % 3 = 0 GROUP BY 2, 3
+UNION ALL
+SELECT 'broken', NULL, NULL, count(DISTINCT (event_type, event_id // 32)), NULL, NULL FROM events WHERE (event_id // 32) % 11 = 0"""
+
+SQL["published_trades"] = SQL["trade_book"]
+
 SQL["stream_bars_replay"] = "WITH " + bars_cte() + f"""
 SELECT {BAR_COLS} FROM bars WHERE t < (SELECT max(epoch(ts)) FROM ticks) - 60"""
 
@@ -995,6 +1008,9 @@ LEFT JOIN pc ON pc.time = b.t LEFT JOIN tb ON tb.time = b.t LEFT JOIN tv ON tv.t
 
 SQL["stream_snapshot_replay"] = SQL["snapshot"]
 
+for _name, _at in (("profile_at_asked_bars", "profile_readings"), ("card_profile_at_asked_bars", "card_profile")):
+    SQL[_name] = f"SELECT * FROM ({SQL[_at]}) WHERE time % 3600 = 0"
+
 
 # ---- audits and studies -----------------------------------------------------
 

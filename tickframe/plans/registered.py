@@ -358,6 +358,15 @@ def profile_readings(spark, sf):
         *_rounded("value_width", "poc_position", "poc_distance", "delta_at_poc"), "price_vs_value")
 
 
+@query
+def profile_at_asked_bars(spark, sf):
+    """The developing profile on the bars that close an hour, from the index alone."""
+    rows, lv = _turned(spark, sf)
+    return VP.swing_profiles(rows, VP.nest_levels(lv), secs("ts") % 3600 == 0, M.STEP).select(
+        "symbol", _time(), "from_time", *_rounded("poc", "val", "vah"), "profile_volume",
+        *_rounded("value_width", "poc_position", "poc_distance", "delta_at_poc"), "price_vs_value")
+
+
 # ---- session card and history -----------------------------------------------
 
 def _card(spark, sf) -> DataFrame:
@@ -393,6 +402,15 @@ def card_profile(spark, sf):
                     F.size("session_lvn").cast("long").alias("n_lvn")))
 
 
+@query
+def card_profile_at_asked_bars(spark, sf):
+    rows = settle(_card(spark, sf))
+    found = K.profile(rows, VP.nest_levels(M.levels(spark, sf)), asked=secs("ts") % 3600 == 0, unit=M.STEP)
+    return found.where("session_poc is not null").select(
+        "symbol", _time(), "session_from_time", *_rounded("session_poc", "session_val", "session_vah", "session_poc_ratio"),
+        F.size("session_hvn").cast("long").alias("n_hvn"), F.size("session_lvn").cast("long").alias("n_lvn"))
+
+
 def _cutoff():
     return H.checked_cutoff(M.SEALED_FROM)
 
@@ -508,6 +526,20 @@ def trade_book(spark, sf):
         "reason", "ambiguous", "same_bar", "bars", "mae", "mfe", "etd", "cum_pnl")
 
 
+@query
+def published_trades(spark, sf):
+    """Trades of a run that was published twice, the first time without half of them."""
+    path = f"{shared_folder(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    trades = settle(_trades(spark, sf))
+    folds = trades.groupBy("symbol", "param_id").agg(F.sum("pnl_dollars").alias("pnl"))
+    RS.publish_run(spark, path, "breakout", {"trades": trades.where("num % 2 = 0")}, {"try": 1})
+    RS.publish_run(spark, path, "breakout", {"trades": trades, "folds": folds}, {"try": 2})
+    return RS.read_run(spark, path, "breakout", "trades").select(
+        "symbol", F.col("param_id").cast("long").alias("param_id"), "num", "entry_time", "exit_time",
+        "direction", "entry_price", "exit_price", "size", "pnl_points", "pnl_dollars", "commission",
+        "reason", "ambiguous", "same_bar", "bars", "mae", "mfe", "etd", "cum_pnl")
+
+
 def _no_infinity(df: DataFrame) -> DataFrame:
     return RS.storable(df).select(*[
         F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
@@ -618,6 +650,54 @@ def captured_trades(spark, sf):
         F.sum(F.col("volume") * F.col("side")).alias("delta"), F.min_by("price", "ts").alias("first_price"))
 
 
+def _captured_lines(spark, sf) -> DataFrame:
+    """``n`` (the file a line arrives in) and captured lines: trades by contract and 32 events, quotes of every third event.
+
+    Every fifth block of trades is sent again in the next file, of every eleventh half a line was left by a broken connection.
+    """
+    rows = M.events(spark, sf)
+    stamp = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    block = F.floor(F.col("event_id") / 32)
+    trade = F.struct(F.col("event_type").alias("symbolId"), F.col("value").alias("price"), stamp.alias("timestamp"),
+                     F.pmod("event_id", F.lit(2)).cast("int").alias("type"), (1 + F.pmod("user_id", F.lit(7))).alias("volume"))
+    trades = (rows.groupBy(F.col("event_type").alias("contract"), block.alias("b"))
+              .agg(F.sort_array(F.collect_list(F.struct("event_id", trade.alias("t")))).alias("l"), F.max("ts").alias("m"))
+              .select("b", F.col("m").cast("string").alias("recv"), F.lit(CP.TRADE_EVENT).alias("event"), "contract",
+                      F.to_json(F.transform("l", lambda x: x["t"])).alias("payload")))
+    bid, ask = F.col("value").alias("bestBid"), F.when(F.pmod("event_id", F.lit(5)) != 0, F.col("value") + 0.25).alias("bestAsk")
+    quotes = rows.where(F.pmod("event_id", F.lit(3)) == 0).select(
+        block.alias("b"), F.col("ts").cast("string").alias("recv"), F.lit(CP.QUOTE_EVENT).alias("event"), F.col("event_type").alias("contract"),
+        F.to_json(F.struct(bid, ask, stamp.alias("lastUpdated"), F.col("event_id").cast("string").alias("symbol"))).alias("payload"))
+    lines = trades.unionByName(quotes).withColumn("n", F.pmod("b", F.lit(3))).withColumn(
+        "value", F.to_json(F.struct("recv", "event", "contract", "payload")))
+    again = lines.where((F.col("event") == CP.TRADE_EVENT) & (F.col("b") % 5 == 0)).withColumn("n", F.col("n") + 1)
+    half = lines.where((F.col("event") == CP.TRADE_EVENT) & (F.col("b") % 11 == 0)).withColumn(
+        "value", F.expr("left(value, 40)"))
+    return lines.unionByName(again).unionByName(half).select("n", "value")
+
+
+@query
+def stream_capture_replay(spark, sf):
+    """Captured lines as a stream in four files, with lines sent twice and lines cut short: trades, quotes, broken lines."""
+    _stateful(spark)
+    home = f"{shared_folder(spark).rstrip('/')}/capture-{uuid.uuid4().hex}"
+    lines = settle(_captured_lines(spark, sf))
+    for n in range(4):
+        lines.where(F.col("n") == n).select("value").coalesce(4).write.mode("append").text(f"{home}/in")
+        for q in CP.ingest(CP.stream_capture(spark, f"{home}/in"), f"{home}/out", f"{home}/log", "3650 days", {"availableNow": True}):
+            q.awaitTermination()
+    hour = secs(F.date_trunc("hour", "ts")).alias("time")
+    none = F.lit(None)
+    trades = spark.read.parquet(f"{home}/out/trades").groupBy(F.lit("trade").alias("kind"), "symbol", hour).agg(
+        F.count("*").alias("rows"), F.sum("volume").alias("volume"), F.sum(F.col("volume") * F.col("side")).alias("delta"))
+    quotes = spark.read.parquet(f"{home}/out/quotes").groupBy(F.lit("quote").alias("kind"), "symbol", hour).agg(
+        F.count("*").alias("rows"), F.count("bid").alias("volume"), F.count("ask").alias("delta"))
+    broken = spark.read.parquet(f"{home}/out/broken").agg(F.count("*").alias("rows")).select(
+        F.lit("broken").alias("kind"), none.cast("string").alias("symbol"), none.cast("long").alias("time"), "rows",
+        none.cast("long").alias("volume"), none.cast("long").alias("delta"))
+    return trades.unionByName(quotes).unionByName(broken)
+
+
 RUNGS = ("30m", "60m")
 
 

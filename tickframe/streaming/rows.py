@@ -152,24 +152,27 @@ class Card:
     def __init__(self, window: int):
         self.window = window
         self.recent: list[tuple] = []
-        self.bar, self.high, self.low, self.opened, self.travel, self.flow = 0, None, None, None, 0.0, None
+        self.bar, self.high, self.low, self.opened, self.travel, self.flow = 0, None, None, None, None, None
         self.way, self.close, self.high_at, self.low_at = 0.0, None, None, None
         self.histogram = Histogram()
 
     def row(self, b: dict, scale) -> dict:
         high, low, close, n = b["high"], b["low"], b["close"], self.bar + 1
-        self.bar, self.high = n, high if self.high is None else max(self.high, high)
-        self.low = low if self.low is None else min(self.low, low)
+        self.bar, t = n, b["time"]
+        self.high = max((x for x in (self.high, high) if x is not None), default=None)
+        self.low = min((x for x in (self.low, low) if x is not None), default=None)
         self.opened = b["open"] if n == 1 else self.opened
-        self.travel += high - low
-        if b["delta"] is not None:
+        spread = None if high is None or low is None else high - low
+        self.travel = self.travel if spread is None else (self.travel or 0.0) + spread
+        if b["delta"] is not None and b["volume"] is not None:
             self.flow = (self.flow or 0.0) + b["volume"]
-        sign = 0.0 if self.close is None else float(np.sign(close - self.close))
+        sign = 0.0 if self.close is None or close is None else float(np.sign(close - self.close))
         turned = bool(sign and self.way and sign != self.way)
         self.way, self.close = sign or self.way, close
-        self.high_at = n if high >= self.high else self.high_at
-        self.low_at = n if low <= self.low else self.low_at
-        span, net, t = self.high - self.low, close - self.opened, b["time"]
+        self.high_at = n if high is not None and high >= self.high else self.high_at
+        self.low_at = n if low is not None and low <= self.low else self.low_at
+        minus = lambda x, y: None if x is None or y is None else x - y
+        span, net = minus(self.high, self.low), minus(close, self.opened)
         self.recent = [r for r in self.recent if r[0] > t - 2 * self.window] + [(t, high, low, b["volume"], b["delta"], turned)]
         self.histogram.add(t, b["ticks"], b["volumes"], b["buys"])
         near, far = ([r for r in self.recent if (r[0] > t - self.window) == k] for k in (True, False))
@@ -177,16 +180,17 @@ class Card:
         def told(rows):
             if len(rows) < config.RECENT_MIN_BARS:
                 return None, None, None
-            s = max(r[1] for r in rows) - min(r[2] for r in rows)
-            return s, sum(r[1] - r[2] for r in rows), sum(r[3] for r in rows)
+            known = lambda k: [r[k] for r in rows if r[k] is not None]
+            s = minus(max(known(1), default=None), min(known(2), default=None))
+            return s, sum(r[1] - r[2] for r in rows if None not in r[1:3]), sum(known(3))
 
         (s, travel, volume), (s0, travel0, volume0) = told(near), told(far)
         flows = [r[4] for r in near if r[4] is not None]
         whole, bins = len(near) >= config.RECENT_MIN_BARS, self.histogram.bins(scale)
         return {
             "session_bar": n, "_high": self.high, "_low": self.low, "session_range": _over(span, scale),
-            "session_net": _over(net, scale), "session_net_ratio": _over(net, span), "session_closed_ratio": _over(close - self.low, span),
-            "session_high_at_ratio": self.high_at / n, "session_low_at_ratio": self.low_at / n, "session_travel": _over(self.travel, scale),
+            "session_net": _over(net, scale), "session_net_ratio": _over(net, span), "session_closed_ratio": _over(minus(close, self.low), span),
+            "session_high_at_ratio": self.high_at and self.high_at / n, "session_low_at_ratio": self.low_at and self.low_at / n, "session_travel": _over(self.travel, scale),
             "session_volume": self.flow, "session_efficiency_recent": _over(s, travel), "session_efficiency_prior": _over(s0, travel0),
             "session_range_ratio": _over(s, s0), "session_volume_ratio": _over(volume, volume0),
             "session_dir_change_rate": sum(r[5] for r in near) / len(near) if whole else None,
